@@ -44,6 +44,32 @@ def dense_index(df: DataFrame, order_by: list, name: str = "idx") -> DataFrame:
             .drop("_pid", "_rn", "_off"))
 
 
+def first_per_key(df: DataFrame, key: list[str], order_cols: list[str],
+                  last: bool = False) -> DataFrame:
+    """One row per key: the first (or last) by ``order_cols``.
+
+    A grouped ``min_by``/``max_by`` over the whole row: partial aggregation
+    keeps one candidate per key per map task, so a key holding a third of
+    all rows never lands in one task (a ``row_number`` window would).
+    """
+    pick = F.max_by if last else F.min_by
+    return (df.groupBy(*key).agg(pick(F.struct(*df.columns), F.struct(*order_cols)).alias("_row"))
+            .select("_row.*"))
+
+
+def split_first_per_key(df: DataFrame, key: list[str], order_cols: list[str],
+                        last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(first row per key, all other rows); ``order_cols`` unique per key."""
+    first = first_per_key(df, key, order_cols, last)
+    marks = first.select(*key, *[F.col(c).alias(f"_f_{c}") for c in order_cols])
+    same = None
+    for c in order_cols:
+        e = F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+        same = e if same is None else (same & e)
+    rest = df.join(marks, key).filter(~same).drop(*[f"_f_{c}" for c in order_cols])
+    return first, rest
+
+
 def filter_ids(df: DataFrame, col: str, ids) -> DataFrame:
     """P5: keep rows whose ``col`` is in ``ids``; an empty list is a no-op.
 
@@ -360,11 +386,8 @@ def merge_keep_existing(existing: DataFrame, new: DataFrame, key: str = "id",
     """Union by key; an existing row wins over a new one; among existing
     duplicates the last (largest ``order_col``) wins, among new ones the
     first; result sorted by the integer key (T6)."""
-    we = Window.partitionBy(key).orderBy(F.desc(order_col))
-    wn = Window.partitionBy(key).orderBy(F.asc(order_col))
-    e = existing.withColumn("_r", F.row_number().over(we)).filter("_r = 1").drop("_r")
-    n = (new.join(existing.select(key).distinct(), key, "left_anti")
-         .withColumn("_r", F.row_number().over(wn)).filter("_r = 1").drop("_r"))
+    e = first_per_key(existing, [key], [order_col], last=True)
+    n = first_per_key(new.join(existing.select(key).distinct(), key, "left_anti"), [key], [order_col])
     return sort_by_numeric_id(e.unionByName(n), key)
 
 
