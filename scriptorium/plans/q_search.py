@@ -126,3 +126,110 @@ def q_snippet(spark, d):
     "(SELECT round(avg(n_tokens), 6) FROM doclen) AS avgdl FROM tok GROUP BY term"))
 def q_corpus_stats(spark, d):
     return S.corpus_stats(index(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+# ----------------------------------------------------- index upkeep (X9) ---
+# Fixed change set between the old and the new archive state.
+LINKS_BEFORE = "1996-01-01"          # old state: link rows shipped before this
+RENAMED_KEYWORD, NEW_KEYWORD_TEXT = "red widget", "crimson widget"
+RENAMED_AUTHOR, NEW_FIRST_NAME = 7, "Renamed"
+DELETED_LANG = "de"                  # papers in this language are deleted
+
+
+def _old_new_state(spark, d):
+    from ..sources.tables import table
+    li = table(spark, d, "lineitem")
+    docs_all = tb.docs(spark, d)
+    deleted = (table(spark, d, "documents").filter(F.col("lang") == DELETED_LANG)
+               .select(F.col("doc_id").alias("paper_id")))
+    kl_new = tb.keyword_links(spark, d)
+    al_new = tb.author_links(spark, d)
+    old_li = li.filter(F.col("l_shipdate") < F.lit(LINKS_BEFORE).cast("timestamp_ntz"))
+    kl_old = kl_new.join(
+        old_li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"),
+                    "l_partkey").join(tb.keywords(spark, d).withColumnRenamed("keyword", "p_name"),
+                                      "p_name")
+        .select("keyword_id", F.col("l_orderkey").alias("paper_id")).distinct(),
+        ["keyword_id", "paper_id"], "left_semi")
+    first = old_li.groupBy(F.col("l_orderkey").alias("paper_id"),
+                           F.col("l_suppkey").alias("author_id")).agg(
+        F.min("l_linenumber").alias("first_line"))
+    from ..operators.relations import author_positions
+    al_old = author_positions(first).select("author_id", "paper_id", "author_position")
+    kw_old = tb.keywords(spark, d)
+    kw_new = kw_old.withColumn("keyword", F.when(F.col("keyword") == RENAMED_KEYWORD,
+                                                 F.lit(NEW_KEYWORD_TEXT)).otherwise(F.col("keyword")))
+    au_old = tb.authors(spark, d)
+    au_new = au_old.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR,
+                                                    F.lit(NEW_FIRST_NAME)).otherwise(F.col("first_name")))
+    papers_new = docs_all.join(deleted, "paper_id", "left_anti")
+    old = S.build_search_docs(docs_all, au_old, kw_old, al_old, kl_old)
+    changes = S.ChangeSet(
+        papers_upserted=table(spark, d, "labels").select(F.col("doc_id").alias("paper_id")),
+        papers_deleted=deleted,
+        keyword_links=kl_new.join(kl_old, ["keyword_id", "paper_id"], "left_anti").select("paper_id"),
+        author_links=al_new.join(al_old, ["author_id", "paper_id", "author_position"], "left_anti")
+        .select("paper_id").unionByName(
+            al_old.join(al_new, ["author_id", "paper_id", "author_position"], "left_anti")
+            .select(F.col("paper_id"))),
+        keywords_renamed=kw_old.filter(F.col("keyword") == RENAMED_KEYWORD).select("keyword_id"),
+        authors_renamed=au_old.filter(F.col("author_id") == RENAMED_AUTHOR).select("author_id"))
+    new_rel = (papers_new, au_new, kw_new, al_new, kl_new)
+    return old, changes, new_rel
+
+
+def _new_state_sql(select: str) -> str:
+    """The new archive state as CTEs: deleted papers gone, one keyword and
+    one author renamed, all link rows present; then the search docs/tokens."""
+    from ..sources.tables import (AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_LINKS_SQL,
+                                  KEYWORDS_SQL)
+    from .search_sql import SEARCH_DOCS_SQL, TOK_SQL
+    ctes = [
+        DOCS_SQL.replace("docs AS (", "docs0 AS (", 1),
+        f"docs AS (SELECT * FROM docs0 WHERE paper_id NOT IN "
+        f"(SELECT doc_id FROM documents WHERE lang = '{DELETED_LANG}'))",
+        AUTHORS_SQL.replace("authors AS (", "authors0 AS (", 1),
+        f"authors AS (SELECT author_id, CASE WHEN author_id = {RENAMED_AUTHOR} THEN '{NEW_FIRST_NAME}' "
+        "ELSE first_name END AS first_name, last_name, username, email, affiliation FROM authors0)",
+        KEYWORDS_SQL.replace("keywords AS (", "keywords0 AS (", 1),
+        f"keywords AS (SELECT keyword_id, CASE WHEN keyword = '{RENAMED_KEYWORD}' THEN "
+        f"'{NEW_KEYWORD_TEXT}' ELSE keyword END AS keyword FROM keywords0)",
+        # link ids resolve through the texts the parts carry (the old ones)
+        KEYWORD_LINKS_SQL.replace("JOIN keywords k ON", "JOIN keywords0 k ON"),
+        AUTHOR_LINKS_SQL, SEARCH_DOCS_SQL, TOK_SQL]
+    return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+@register("refresh_search_docs", _new_state_sql("SELECT * FROM sd"))
+def q_refresh_search_docs(spark, d):
+    """Incremental upkeep from the old search docs and the change set;
+    the oracle is a full rebuild of the new state (X9 == X10)."""
+    old, changes, (p, a, k, al, kl) = _old_new_state(spark, d)
+    return S.refresh_search_docs(old, changes, p, a, k, al, kl)
+
+
+@register("rebuild_search_index", _new_state_sql(
+    "SELECT term, paper_id, field, CAST(count(*) AS BIGINT) AS tf FROM tok GROUP BY term, paper_id, field"))
+def q_rebuild_search_index(spark, d):
+    _old, _ch, (p, a, k, al, kl) = _old_new_state(spark, d)
+    return S.rebuild_search_index(p, a, k, al, kl).postings.select("term", "paper_id", "field", "tf")
+
+
+@register("refresh_postings", _new_state_sql(
+    "SELECT term, paper_id, field, CAST(count(*) AS BIGINT) AS tf FROM tok GROUP BY term, paper_id, field"))
+def q_refresh_postings(spark, d):
+    """Incremental postings: drop affected ids, append their new postings."""
+    old, changes, (p, a, k, al, kl) = _old_new_state(spark, d)
+    idx = S.build_postings(old)
+    aff = S.affected_papers(changes, kl, al)
+    fresh = S.build_search_docs(p.join(aff, "paper_id", "left_semi"), a, k,
+                                al.join(aff, "paper_id", "left_semi"), kl.join(aff, "paper_id", "left_semi"))
+    return S.refresh_index(idx, fresh, aff).postings.select("term", "paper_id", "field", "tf")
+
+
+@register("affected_papers")
+def q_affected_papers(spark, d):
+    """Distinct ids touched by the change set (rows-only: the change
+    set is derived from two states)."""
+    _old, changes, (p, a, k, al, kl) = _old_new_state(spark, d)
+    return S.affected_papers(changes, kl, al)
