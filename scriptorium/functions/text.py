@@ -118,10 +118,13 @@ def decode_uri(c) -> Column:
     ``+``; malformed input yields null (decodeURI would throw).
     """
     x = as_col(c)
-    # protect '+' and the reserved escapes from the form decoder
-    x = F.regexp_replace(x, r"\+", "%2B")
+    # keep reserved escapes encoded, then protect '+' from the form decoder
     x = F.regexp_replace(x, r"%(2[346BbCcFf]|3[AaBbDdFf]|40)", "%25$1")
-    return F.try_url_decode(x)
+    x = F.regexp_replace(x, r"\+", "%2B")
+    dec = F.try_url_decode(x)
+    # an escape that is not valid UTF-8 decodes to U+FFFD; decodeURI rejects it
+    bad = (F.instr(dec, "\ufffd") > 0) & (F.instr(as_col(c), "\ufffd") == 0)
+    return F.when(~bad, dec)
 
 
 def username_from_href(c) -> Column:
