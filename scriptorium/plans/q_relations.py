@@ -21,7 +21,12 @@ EMBED_BATCH = 100
 DELETED_STATUS = "P"
 MERGE_NEW_SINCE = "1997-01-01"
 
-LISTING_ORDER = [F.col("listed_at").desc(), F.col("listing_key").desc()]
+
+def listing_order():
+    """Listing order: newest first, ties by key (a total order)."""
+    return [F.col("listed_at").desc(), F.col("listing_key").desc()]
+
+
 LISTING_ORDER_SQL = "listed_at DESC, listing_key DESC"
 
 
@@ -269,7 +274,7 @@ kept AS (SELECT p.*, (cut.cutoff IS NULL OR p.page < cut.cutoff) AS process
 
 
 def cut_rows(spark, d):
-    paged = R.listing_pages(classified(spark, d), LISTING_ORDER)
+    paged = R.listing_pages(classified(spark, d), listing_order())
     return R.incremental_cutoff(paged)
 
 

@@ -53,10 +53,10 @@ def render_listing_pages(spark, d, order_by=None) -> DataFrame:
     """Listing pages (page_id, url, html): 30 rows on the first page, then
     100; two banner tables precede the content table.  One page is built
     from at most 100 rows (bounded group)."""
-    from ..plans.q_relations import LISTING_ORDER
+    from ..plans.q_relations import listing_order
     lst = tb.listing(spark, d)
     lst = lst.withColumn("_pk", F.col("listing_key"))
-    paged = listing_pages(lst, order_by or LISTING_ORDER)
+    paged = listing_pages(lst, order_by or listing_order())
     o = tb.table(spark, d, "orders").select(F.col("o_orderkey").alias("_pk"), "o_orderpriority")
     cells = _author_cells(spark, d).withColumnRenamed("paper_id", "_pk")
     rows = paged.join(cells, "_pk", "left").join(o, "_pk", "left")
