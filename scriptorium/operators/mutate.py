@@ -37,11 +37,10 @@ def _ts(now) -> Column:
 
 def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order_by: list) -> DataFrame:
     """M5: auto-increment ids for ``new`` rows: max(existing id) + 1 + index
-    in ``order_by`` order.  The max is one aggregate value."""
-    mx = existing.agg(F.max(id_col)).first()[0]
-    base = 0 if mx is None else int(mx)
+    in ``order_by`` order.  The max is a scalar subquery (one value)."""
+    base = F.coalesce(existing.select(F.max(id_col).cast("long")).scalar(), F.lit(0).cast("long"))
     x = dense_index(new, order_by, "_i")
-    return x.withColumn(id_col, (F.col("_i") + F.lit(base + 1)).cast("long")).drop("_i")
+    return x.withColumn(id_col, (F.col("_i") + base + F.lit(1)).cast("long")).drop("_i")
 
 
 def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "lingbuzz_id",

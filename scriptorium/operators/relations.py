@@ -342,17 +342,15 @@ def incremental_cutoff(actions: DataFrame, full: bool = False) -> DataFrame:
     The cutoff page itself counts as fetched and seen but its rows are not
     processed: returned rows carry ``process`` = false for it.  Pages after
     the cutoff are dropped.  The cutoff is one number (a min over per-page
-    totals) read on the driver and applied as a literal filter.
+    totals) planned as a scalar subquery and applied as a filter.
     """
     per_page = actions.groupBy("page").agg(
         F.count_if(F.col("action") != "skip").alias("actionable"))
     if full:
         return actions.withColumn("process", F.lit(True))
-    cutoff = per_page.agg(F.min(F.when(F.col("actionable") == 0, F.col("page")))).first()[0]
-    if cutoff is None:
-        return actions.withColumn("process", F.lit(True))
-    return (actions.filter(F.col("page") <= F.lit(cutoff))
-            .withColumn("process", F.col("page") < F.lit(cutoff)))
+    cutoff = per_page.select(F.min(F.when(F.col("actionable") == 0, F.col("page")))).scalar()
+    return (actions.filter(cutoff.isNull() | (F.col("page") <= cutoff))
+            .withColumn("process", cutoff.isNull() | (F.col("page") < cutoff)))
 
 
 def batch_assign(df: DataFrame, order_by: list, size: int, name: str = "batch") -> DataFrame:

@@ -250,14 +250,16 @@ class SearchIndex:
     docs: DataFrame
     postings: DataFrame
     doclen: DataFrame
-    stats: dict = dc_field(default_factory=dict)   # n_docs, avgdl (filled lazily)
+    stats: dict = dc_field(default_factory=dict)   # optional precomputed n_docs, avgdl
 
     def corpus_stats(self) -> dict:
-        if not self.stats:
-            r = self.doclen.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
-            n = int(r["n"] or 0)
-            self.stats = {"n_docs": n, "avgdl": (float(r["t"] or 0) / n) if n else 0.0}
-        return self.stats
+        """N and mean document length as Columns: literals when the index
+        carries them, else uncorrelated scalar subqueries (planned once,
+        no driver round trip, no join)."""
+        if self.stats:
+            return {"n_docs": F.lit(self.stats["n_docs"]), "avgdl": F.lit(self.stats["avgdl"])}
+        return {"n_docs": self.doclen.select(F.count("*")).scalar(),
+                "avgdl": self.doclen.select(F.avg("n_tokens")).scalar()}
 
 
 def build_postings(docs: DataFrame, fold: bool = False, stem: bool = False) -> SearchIndex:
@@ -279,24 +281,44 @@ def term_bucket(term_col: Column, n_buckets: int) -> Column:
 
 
 def write_index(index: SearchIndex, path: str, n_buckets: int = 64) -> SearchIndex:
-    """Persist the index (X10 compaction = this rewrite).
+    """Persist the index (X10 compaction = this rewrite) and return it
+    read back, with N and avgdl stored next to it.
 
-    Postings are clustered by term bucket and sorted by term inside each file
-    so Parquet min/max statistics prune row groups for a term lookup.
+    Postings are clustered by term bucket and sorted by term inside each
+    file, so a term lookup prunes to one bucket folder and Parquet min/max
+    statistics skip row groups.
     """
     spark = index.docs.sparkSession
+    # range partitioning on (bucket, term, paper) splits a hot term's postings
+    # over several files instead of one task per bucket
     (index.postings.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
-     .repartition(n_buckets, "bucket").sortWithinPartitions("term", "paper_id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.doclen.write.mode("overwrite").parquet(f"{path}/doclen")
+     .repartitionByRange(n_buckets * 4, "bucket", "term", "paper_id")
+     .sortWithinPartitions("term", "paper_id")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
+    index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+    index.doclen.write.mode("errorifexists").parquet(f"{path}/doclen")
+    dl = spark.read.parquet(f"{path}/doclen")
+    dl.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.lit(n_buckets).alias("n_buckets")) \
+        .coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
     return read_index(spark, path)
 
 
 def read_index(spark, path: str) -> SearchIndex:
+    st = spark.read.parquet(f"{path}/stats").first()          # one row
     return SearchIndex(spark.read.parquet(f"{path}/docs"),
-                       spark.read.parquet(f"{path}/postings").drop("bucket"),
-                       spark.read.parquet(f"{path}/doclen"))
+                       spark.read.parquet(f"{path}/postings"),
+                       spark.read.parquet(f"{path}/doclen"),
+                       {"n_docs": int(st["n_docs"]), "avgdl": float(st["avgdl"] or 0.0),
+                        "n_buckets": int(st["n_buckets"])})
+
+
+def _scan_terms(index: SearchIndex, p: DataFrame, toks, any_prefix: bool) -> DataFrame:
+    """Prune a persisted posting scan to the buckets of exact query terms."""
+    nb = index.stats.get("n_buckets") if index.stats else None
+    if nb and "bucket" in p.columns and not any_prefix:
+        # bucket(lit) constant-folds, so this prunes bucket folders at planning
+        p = p.filter(F.col("bucket").isin(*[term_bucket(F.lit(t), nb) for t in toks]))
+    return p
 
 
 # ---------------------------------------------------------------- matching ---
@@ -304,17 +326,20 @@ def _term_match(c: Column, tok: str, is_prefix: bool) -> Column:
     return c.startswith(tok) if is_prefix else (c == tok)
 
 
-def _leaf_hits(postings: DataFrame, leaf, i: int) -> DataFrame:
+def _leaf_hits(postings: DataFrame, leaf, i: int, index: SearchIndex | None = None) -> DataFrame:
     """(paper_id, leaf, hits) for one leaf."""
     if isinstance(leaf, Near):
         return _near_hits(postings, leaf, i)
     p = postings
+    if index is not None:
+        p = _scan_terms(index, p, leaf.tokens, leaf.prefix)
     if leaf.fields is not None:
         p = p.filter(F.col("field").isin(list(leaf.fields)))
     n = len(leaf.tokens)
     if n == 1 and not leaf.initial:
+        # raw posting rows: the per-paper pivot sums them (no shuffle here)
         hits = p.filter(_term_match(F.col("term"), leaf.tokens[0], leaf.prefix)) \
-                .groupBy("paper_id").agg(F.sum("tf").alias("hits"))
+                .select("paper_id", F.col("tf").alias("hits"))
     else:
         conds = [_term_match(F.col("term"), t, leaf.prefix and k == n - 1)
                  for k, t in enumerate(leaf.tokens)]
@@ -331,7 +356,7 @@ def _leaf_hits(postings: DataFrame, leaf, i: int) -> DataFrame:
                     .filter(F.col("m") == n)
         if leaf.initial:
             starts = starts.filter(F.col("start") == 0)
-        hits = starts.groupBy("paper_id").agg(F.count("*").alias("hits"))
+        hits = starts.select("paper_id", F.lit(1).alias("hits"))
     return hits.select("paper_id", F.lit(i).alias("leaf"), F.col("hits").cast("long"))
 
 
@@ -357,7 +382,7 @@ def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
     ok = F.greatest(*last) - lo - (n - 1) <= leaf.distance
     for c in last:
         ok = ok & c.isNotNull()
-    hits = rows.withColumn("ok", ok).filter("ok").groupBy("paper_id").agg(F.count("*").alias("hits"))
+    hits = rows.withColumn("ok", ok).filter("ok").select("paper_id", F.lit(1).alias("hits"))
     return hits.select("paper_id", F.lit(i).alias("leaf"), F.col("hits").cast("long"))
 
 
@@ -366,7 +391,7 @@ def match_hits(index: SearchIndex, q) -> tuple[DataFrame, list]:
     leaves = _leaves(q)
     if not _has_positive(q):
         raise SearchSyntaxError(q, "query needs a positive term")
-    parts = [_leaf_hits(index.postings, leaf, i) for i, leaf in enumerate(leaves)]
+    parts = [_leaf_hits(index.postings, leaf, i, index) for i, leaf in enumerate(leaves)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -393,23 +418,29 @@ def bm25_rank(index: SearchIndex, q, k1: float = BM25_K1, b: float = BM25_B) ->
 
     Per leaf: idf = ln((N - n + .5) / (n + .5)) floored at 1e-6, n = papers
     with a hit; score = sum idf * f * (k1 + 1) / (f + k1 * (1 - b + b * len / avgdl)).
-    The per-leaf document counts are one small aggregate (one number per
-    leaf) fetched to the driver and inlined as literals.
+    The per-leaf n are one scalar subquery returning an array, projected
+    once into a column (``_leafn``) and read element by element; N and avgdl come
+    from the index's stored statistics (or one more scalar subquery).
     """
     piv, leaves = match_hits(index, q)
     st = index.corpus_stats()
-    n_docs, avgdl = st["n_docs"], st["avgdl"] or 1.0
-    cnt = piv.agg(*[F.count(F.when(F.col(f"h{i}") > 0, 1)).alias(f"n{i}")
-                    for i in range(len(leaves))]).first()
+    counts = piv.select(F.array(*[F.count_if(F.col(f"h{i}") > 0).cast("double")
+                                  for i in range(len(leaves))])).scalar()
+    m = (piv.filter("matched").join(index.doclen, "paper_id")
+         .withColumn("_leafn", counts).withColumn("_ndocs", st["n_docs"].cast("double"))
+         .withColumn("_avgdl", st["avgdl"].cast("double")))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("n_tokens") / F.col("_avgdl"))
+    idf_cols = []
+    for i in range(len(leaves)):
+        n = F.col("_leafn")[i]
+        raw = F.log((F.col("_ndocs") - n + F.lit(0.5)) / (n + F.lit(0.5)))
+        idf_cols.append(F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR)).alias(f"_idf{i}"))
+    m = m.select("paper_id", "n_tokens", "_avgdl", *[F.col(f"h{i}") for i in range(len(leaves))],
+                 *idf_cols)
     score = F.lit(0.0)
-    m = piv.filter("matched").join(index.doclen, "paper_id")
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("n_tokens") / F.lit(avgdl))
     for i in range(len(leaves)):
-        n = cnt[f"n{i}"] or 0
-        idf = math.log((n_docs - n + 0.5) / (n + 0.5)) if n_docs else 0.0
-        idf = idf if idf > 0 else IDF_FLOOR
         f = F.col(f"h{i}").cast("double")
-        score = score + F.lit(idf) * (f * F.lit(k1 + 1)) / (f + norm)
+        score = score + F.col(f"_idf{i}") * (f * F.lit(k1 + 1)) / (f + norm)
     return m.select("paper_id", (-score).alias("rank"))
 
 
@@ -622,14 +653,12 @@ def rebuild_search_index(papers, authors, keywords, author_links, keyword_links,
 
 def corpus_stats(index: SearchIndex) -> DataFrame:
     """Per term: document frequency and collection frequency, with the
-    corpus size N and mean document length as columns."""
-    n = index.doclen.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
+    corpus size N and mean document length as (scalar-subquery) columns."""
+    st = index.corpus_stats()
     per_term = index.postings.groupBy("term").agg(
         F.countDistinct("paper_id").alias("df"), F.sum("tf").alias("cf"))
-    # one-row statistics attached as literals (two numbers)
-    r = n.first()
-    return per_term.select("term", "df", "cf", F.lit(r["n_docs"]).cast("long").alias("n_docs"),
-                           F.lit(float(r["avgdl"] or 0.0)).alias("avgdl"))
+    return per_term.select("term", "df", "cf", st["n_docs"].cast("long").alias("n_docs"),
+                           st["avgdl"].cast("double").alias("avgdl"))
 
 
 TOKEN_SEP_SQL = TOKEN_SEP
