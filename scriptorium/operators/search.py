@@ -208,7 +208,13 @@ def build_search_docs(papers: DataFrame, authors: DataFrame, keywords: DataFrame
     TRIM(first || ' ' || last) joined by a space in author-position order;
     abstract null -> ''.  Both link sides are aggregated separately (never
     joined to each other: that would multiply rows) and left-joined once.
+    Link rows are first reduced to the papers being indexed (a semi join on
+    paper_id, which the following per-paper aggregation reuses as its
+    partitioning).
     """
+    ids = papers.select("paper_id")
+    keyword_links = keyword_links.join(ids, "paper_id", "left_semi")
+    author_links = author_links.join(ids, "paper_id", "left_semi")
     kw = (keyword_links.join(keywords, "keyword_id")
           .groupBy("paper_id")
           .agg(F.array_join(F.array_sort(F.collect_list("keyword")), " ").alias("keywords")))
