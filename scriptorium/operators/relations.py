@@ -244,8 +244,9 @@ def full_load_ids(spark, newest: int, current_ids: DataFrame | None = None) -> D
 
 def hydrate_hits(hits: DataFrame, details: DataFrame, key: str = "paper_id") -> DataFrame:
     """Top-k hits left-joined to paper details; order and score kept,
-    missing paper -> null columns.  ``hits`` is bounded (k <= 50): broadcast."""
-    return F.broadcast(hits).join(details, key, "left").orderBy(F.desc("score"), key)
+    missing paper -> null columns (see ``vector.hydrate_hits``)."""
+    from .vector import hydrate_hits as _h
+    return _h(hits, details, key)
 
 
 def author_profile(authors: DataFrame, author_links: DataFrame, papers: DataFrame,

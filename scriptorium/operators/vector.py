@@ -55,13 +55,14 @@ def cosine_col(vec: Column, q) -> Column:
 
 
 def vector_topk(vectors: DataFrame, query, k=None, id_col: str = "id", vec_col: str = "vec",
-                round_digits: int | None = None) -> DataFrame:
-    """V4/T5: (id, score) of the k nearest vectors by cosine, score desc."""
+                round_digits: int | None = None, keep: tuple = ()) -> DataFrame:
+    """V4/T5: (id, score, *keep) of the k nearest vectors by cosine, score
+    desc.  ``keep`` columns ride along through the top-k (no join back)."""
     k = clamp_k(k)
     s = cosine_col(F.col(vec_col), query)
     if round_digits is not None:
         s = F.round(s, round_digits)
-    return (vectors.select(F.col(id_col).alias(id_col), s.alias("score"))
+    return (vectors.select(F.col(id_col).alias(id_col), s.alias("score"), *keep)
             .orderBy(F.desc("score"), id_col).limit(k))
 
 
@@ -144,9 +145,15 @@ def _topk_from_broadcast(bq, k, round_digits):
 
 
 def hydrate_hits(hits: DataFrame, details: DataFrame, key: str) -> DataFrame:
-    """Hits (bounded by k <= 50) left-joined to details; order kept."""
-    return (F.broadcast(hits).join(details, key, "left")
-            .orderBy(F.desc("score"), key))
+    """Hits (bounded by k <= 50) left-joined to details; order kept.
+
+    The details table is first cut to the hit ids by a semi join with the
+    broadcast hit keys (a probe of the big side, no shuffle of it); the
+    left join then joins two small sides.
+    """
+    want = F.broadcast(hits.select(key).distinct())
+    d = details.join(want, key, "left_semi")
+    return hits.join(F.broadcast(d), key, "left").orderBy(F.desc("score"), key)
 
 
 def semantic_search(index: DataFrame, query_vec, details: DataFrame, k=None,
@@ -156,9 +163,8 @@ def semantic_search(index: DataFrame, query_vec, details: DataFrame, k=None,
     ``index``: id (text id), vec, metadata struct<lingbuzz_id, title,
     paper_id>.  Output: score, lingbuzz_id, title (metadata or null), and
     the detail columns (null when the paper is gone)."""
-    top = vector_topk(index, query_vec, k, "id", "vec", round_digits)
-    hits = top.join(index.select("id", "metadata"), "id").select(
-        "score", F.col("id").alias("lingbuzz_id"), F.col("metadata.title").alias("title"))
+    top = vector_topk(index, query_vec, k, "id", "vec", round_digits, keep=("metadata",))
+    hits = top.select("score", F.col("id").alias("lingbuzz_id"), F.col("metadata.title").alias("title"))
     return hydrate_hits(hits, details, "lingbuzz_id")
 
 
