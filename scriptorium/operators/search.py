@@ -237,14 +237,16 @@ def build_search_docs(papers: DataFrame, authors: DataFrame, keywords: DataFrame
 
 def token_rows(docs: DataFrame, fields=FIELDS, fold: bool = False,
                stem: bool = False) -> DataFrame:
-    """One row per token occurrence: (paper_id, field, pos, term)."""
-    parts = []
-    for f in fields:
-        parts.append(docs.select("paper_id", F.lit(f).alias("field"),
-                                 F.posexplode(token_array(F.col(f))).alias("pos", "term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """One row per token occurrence: (paper_id, field, pos, term).
+
+    One generate over all fields of a document (``inline`` of the per-field
+    token arrays, then ``posexplode``), so the documents are read once - a
+    union of per-field selects would recompute the document plan per field.
+    """
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), token_array(F.col(f)).alias("toks"))
+                          for f in fields])
+    out = (docs.select("paper_id", F.inline(per_field))
+           .select("paper_id", "field", F.posexplode("toks").alias("pos", "term")))
     if fold or stem:
         from ..functions.tokens import normalize_vocabulary
         out = normalize_vocabulary(out, "term", fold=fold, stem=stem)
@@ -257,6 +259,8 @@ class SearchIndex:
     postings: DataFrame
     doclen: DataFrame
     stats: dict = dc_field(default_factory=dict)   # optional precomputed n_docs, avgdl
+    fold: bool = False
+    stem: bool = False
 
     def corpus_stats(self) -> dict:
         """N and mean document length as Columns: literals when the index
@@ -276,10 +280,10 @@ def build_postings(docs: DataFrame, fold: bool = False, stem: bool = False) -> S
     """
     toks = token_rows(docs, fold=fold, stem=stem)
     postings = (toks.groupBy("term", "paper_id", "field")
-                .agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")))
+                .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
     doclen = (docs.select("paper_id", sum(
         (F.size(token_array(F.col(f))) for f in FIELDS), F.lit(0)).cast("long").alias("n_tokens")))
-    return SearchIndex(docs, postings, doclen)
+    return SearchIndex(docs, postings, doclen, fold=fold, stem=stem)
 
 
 def term_bucket(term_col: Column, n_buckets: int) -> Column:
@@ -295,13 +299,16 @@ def write_index(index: SearchIndex, path: str, n_buckets: int = 64) -> SearchInd
     statistics skip row groups.
     """
     spark = index.docs.sparkSession
+    # documents first; postings and lengths are then derived from the
+    # written copy, so the document plan runs once
+    index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+    index = build_postings(spark.read.parquet(f"{path}/docs"), fold=index.fold, stem=index.stem)
     # range partitioning on (bucket, term, paper) splits a hot term's postings
     # over several files instead of one task per bucket
     (index.postings.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
      .repartitionByRange(n_buckets * 4, "bucket", "term", "paper_id")
      .sortWithinPartitions("term", "paper_id")
      .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
-    index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
     index.doclen.write.mode("errorifexists").parquet(f"{path}/doclen")
     dl = spark.read.parquet(f"{path}/doclen")
     dl.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.lit(n_buckets).alias("n_buckets")) \
