@@ -117,6 +117,44 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], update_cols: list[str
     return j.select(*cols)
 
 
+class WriteModeError(ValueError):
+    pass
+
+
+def insert_into(existing: DataFrame, incoming: DataFrame, key: list[str],
+                on_conflict: str | None = None, update_cols: list[str] | None = None,
+                returning: bool = False):
+    """The four write modes of the archive's insert helper, set-wise.
+
+    * ``on_conflict=None``: plain insert; a key already present is an error
+      row (returned in ``rejects``), not an abort of the batch.
+    * ``"nothing"``: ON CONFLICT DO NOTHING - conflicting rows are skipped.
+    * ``"update"``: ON CONFLICT DO UPDATE SET ``update_cols`` (upsert).
+    * ``returning``: also return the affected rows.  Combining it with
+      ``"nothing"`` is rejected, as in the archive (skipped rows return
+      nothing to report).
+    Returns (next table, affected rows or None, rejects).
+    """
+    if returning and on_conflict == "nothing":
+        raise WriteModeError("returning cannot be combined with on-conflict-do-nothing")
+    if on_conflict not in (None, "nothing", "update"):
+        raise WriteModeError(f"unknown conflict mode {on_conflict!r}")
+    known = existing.select(*key).distinct()
+    fresh = incoming.join(known, key, "left_anti")
+    clash = incoming.join(known, key, "left_semi")
+    empty = clash.limit(0).withColumn("error", F.lit(None).cast("string"))
+    if on_conflict == "update":
+        nxt = upsert(existing, incoming, key, update_cols or [c for c in incoming.columns if c not in key])
+        affected, rejects = incoming, empty
+    elif on_conflict == "nothing":
+        nxt = existing.unionByName(fresh, allowMissingColumns=True)
+        affected, rejects = fresh, empty
+    else:
+        nxt = existing.unionByName(fresh, allowMissingColumns=True)
+        affected, rejects = fresh, clash.withColumn("error", F.lit("UNIQUE constraint failed"))
+    return nxt, (affected if returning else None), rejects
+
+
 def upsert_authors(existing: DataFrame, listed: DataFrame, profiles: DataFrame | None = None,
                    now=None) -> tuple[DataFrame, DataFrame]:
     """M4: resolve listing authors to ids.

@@ -119,6 +119,8 @@ def near(*parts, distance: int = NEAR_DEFAULT) -> Near:
     ps = tuple(_q(p) for p in parts)
     if len(ps) < 2 or not all(isinstance(p, Phrase) for p in ps):
         raise SearchSyntaxError(parts, "near() takes two or more phrases")
+    if any(p.initial for p in ps):
+        raise SearchSyntaxError(parts, "near() phrases cannot be anchored")
     return Near(ps, distance)
 
 
@@ -354,45 +356,64 @@ def _leaf_hits(postings: DataFrame, leaf, i: int, index: SearchIndex | None = No
         hits = p.filter(_term_match(F.col("term"), leaf.tokens[0], leaf.prefix)) \
                 .select("paper_id", F.col("tf").alias("hits"))
     else:
-        conds = [_term_match(F.col("term"), t, leaf.prefix and k == n - 1)
-                 for k, t in enumerate(leaf.tokens)]
-        any_cond = conds[0]
-        for c in conds[1:]:
-            any_cond = any_cond | c
-        ks = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(conds)]),
-                      lambda x: x.isNotNull())
-        occ = (p.filter(any_cond)
-               .select("paper_id", "field", F.explode(ks).alias("k"), "positions")
-               .select("paper_id", "field", "k", F.explode("positions").alias("pos"))
-               .withColumn("start", F.col("pos") - F.col("k")))
-        starts = occ.groupBy("paper_id", "field", "start").agg(F.count("*").alias("m")) \
-                    .filter(F.col("m") == n)
+        starts = _phrase_starts(p, leaf)
         if leaf.initial:
             starts = starts.filter(F.col("start") == 0)
         hits = starts.select("paper_id", F.lit(1).alias("hits"))
     return hits.select("paper_id", F.lit(i).alias("leaf"), F.col("hits").cast("long"))
 
 
+def _phrase_starts(p: DataFrame, leaf: Phrase) -> DataFrame:
+    """(paper_id, field, start) of every occurrence of a multi-token phrase.
+
+    Each posting row matching the k-th phrase token contributes its
+    positions minus k; a start seen for all n tokens is an occurrence.  One
+    grouping on (paper, field, start) instead of n-1 positional self-joins.
+    """
+    n = len(leaf.tokens)
+    conds = [_term_match(F.col("term"), t, leaf.prefix and k == n - 1)
+             for k, t in enumerate(leaf.tokens)]
+    any_cond = conds[0]
+    for c in conds[1:]:
+        any_cond = any_cond | c
+    ks = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(conds)]),
+                  lambda x: x.isNotNull())
+    occ = (p.filter(any_cond)
+           .select("paper_id", "field", F.explode(ks).alias("k"), "positions")
+           .select("paper_id", "field", "k", F.explode("positions").alias("pos"))
+           .withColumn("start", F.col("pos") - F.col("k")))
+    return (occ.groupBy("paper_id", "field", "start").agg(F.count("*").alias("m"))
+            .filter(F.col("m") == n).select("paper_id", "field", "start"))
+
+
 def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
-    """NEAR of single-token phrases: some occurrence of every phrase within a
-    window of ``distance`` tokens in one field.  Uses per-(paper, field)
-    position windows (running last-seen positions), not all position pairs.
+    """NEAR: an occurrence of every phrase inside one field with at most
+    ``distance`` tokens between them (span minus phrase lengths).
+
+    Occurrences are rows (paper, field, phrase k, start, length); a window
+    per (paper, field) ordered by start keeps the latest start of every
+    phrase, and a row whose latest-occurrence set fits the distance is one
+    hit.  No position pairs are formed.
     """
     n = len(leaf.phrases)
     rows = None
     for k, ph in enumerate(leaf.phrases):
-        if len(ph.tokens) != 1:
-            raise SearchSyntaxError(leaf, "near() supports one-token phrases")
         p = postings if ph.fields is None else postings.filter(F.col("field").isin(list(ph.fields)))
-        r = (p.filter(_term_match(F.col("term"), ph.tokens[0], ph.prefix))
-             .select("paper_id", "field", F.lit(k).alias("k"), F.explode("positions").alias("pos")))
+        if len(ph.tokens) == 1:
+            r = (p.filter(_term_match(F.col("term"), ph.tokens[0], ph.prefix))
+                 .select("paper_id", "field", F.explode("positions").alias("start")))
+        else:
+            r = _phrase_starts(p, ph)
+        r = r.select("paper_id", "field", F.lit(k).alias("k"), "start",
+                     F.lit(len(ph.tokens)).alias("len"))
         rows = r if rows is None else rows.unionByName(r)
-    w = Window.partitionBy("paper_id", "field").orderBy("pos", "k") \
+    w = Window.partitionBy("paper_id", "field").orderBy("start", "k") \
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("k") == k, F.col("pos"))).over(w) for k in range(n)]
-    lo = F.least(*last)
-    # a window ending at this occurrence holds every phrase
-    ok = F.greatest(*last) - lo - (n - 1) <= leaf.distance
+    last = [F.max(F.when(F.col("k") == k, F.col("start"))).over(w) for k in range(n)]
+    lens = [len(ph.tokens) for ph in leaf.phrases]
+    ends = [last[k] + F.lit(lens[k] - 1) for k in range(n)]
+    gap = F.greatest(*ends) - F.least(*last) + F.lit(1 - sum(lens))
+    ok = gap <= leaf.distance
     for c in last:
         ok = ok & c.isNotNull()
     hits = rows.withColumn("ok", ok).filter("ok").select("paper_id", F.lit(1).alias("hits"))

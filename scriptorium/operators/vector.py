@@ -246,3 +246,20 @@ def vectors_from_embeddings(results: DataFrame) -> DataFrame:
 
 def embedding_texts(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", embedding_text("paper_title", "abstract").alias("text"))
+
+
+def embed_job(papers: DataFrame, index: DataFrame, embed_fn, now=None, limit: int = EMBED_MAX,
+              batch_size: int = EMBED_BATCH):
+    """V1 + V2 + M9 + A8: embed pending papers, upsert the successful
+    batches into the vector index, mark exactly those papers embedded, and
+    summarise.  ``papers`` has paper_id, lingbuzz_id, paper_title, abstract
+    and ``embedded_at``.  Returns (next index, next papers, summary, rows).
+    Failed batches change nothing and are listed in the summary.
+    """
+    from .mutate import mark_embedded
+    res = embed_pending(papers, embed_fn, limit, batch_size)
+    ok = res.filter(F.col("error").isNull())
+    index_next = upsert_vectors(index, vectors_from_embeddings(res).select(*index.columns))
+    papers_next = mark_embedded(papers, ok.select("paper_id"), now)
+    after = papers_next.filter(F.col("embedded_at").isNull())
+    return index_next, papers_next, embed_summary(res, after), res

@@ -116,3 +116,19 @@ def test_mark_embedded(spark):
     out = {r.paper_id: r.embedded_at for r in M.mark_embedded(p, [10, 20], NOW).collect()}
     assert out == {10: NOW, 20: NOW, 30: None}
     assert M.mark_embedded(p, [], NOW) is p
+
+
+def test_insert_into_modes(spark):
+    import pytest
+    ex = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    inc = spark.createDataFrame([(2, "B"), (3, "c")], "k long, v string")
+    nxt, aff, rej = M.insert_into(ex, inc, ["k"])
+    assert sorted(tuple(r) for r in nxt.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert aff is None and [r.k for r in rej.collect()] == [2]
+    nxt, aff, rej = M.insert_into(ex, inc, ["k"], on_conflict="update", returning=True)
+    assert sorted(tuple(r) for r in nxt.collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    assert aff.count() == 2 and rej.count() == 0
+    nxt, aff, rej = M.insert_into(ex, inc, ["k"], on_conflict="nothing")
+    assert sorted(tuple(r) for r in nxt.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    with pytest.raises(M.WriteModeError):
+        M.insert_into(ex, inc, ["k"], on_conflict="nothing", returning=True)

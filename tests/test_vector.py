@@ -101,3 +101,21 @@ def test_upsert_vectors_and_semantic_search(spark):
     hits = VV.semantic_search(idx2, [0.0, 1.0], details, 10).collect()
     assert [h.lingbuzz_id for h in hits] == ["000001", "000002"]
     assert hits[0].paper_title is None and hits[1].paper_title == "Paper Two"
+
+
+def test_embed_job_marks_exactly_embedded(spark):
+    import datetime as dt
+    now = dt.datetime(2026, 1, 1)
+    papers = spark.createDataFrame(
+        [(10, "000010", "T10", None, None), (20, "000020", "T20", "A", None), (30, "000030", "T30", "B", now)],
+        "paper_id long, lingbuzz_id string, paper_title string, abstract string, embedded_at timestamp_ntz")
+    index = spark.createDataFrame([], "id string, vec array<float>, "
+                                      "metadata struct<lingbuzz_id:string,title:string,paper_id:long>")
+    emb = VV.hash_embedder(8)
+    idx2, papers2, summ, _ = VV.embed_job(papers.filter("embedded_at IS NULL").unionByName(
+        papers.filter("embedded_at IS NOT NULL")), index, emb, now)
+    assert sorted(r.id for r in idx2.collect()) == ["000010", "000020"]
+    marked = {r.paper_id: r.embedded_at for r in papers2.collect()}
+    assert marked == {10: now, 20: now, 30: now}
+    s = summ.first()
+    assert (s.embedded, s.remaining) == (2, 0)
