@@ -247,9 +247,35 @@ def q_refresh_postings(spark, d):
     return S.refresh_index(idx, fresh, aff).postings.select("term", "paper_id", "field", "tf")
 
 
-@register("affected_papers")
+def _affected_sql() -> str:
+    from ..sources.tables import AUTHOR_LINKS_SQL, KEYWORD_LINKS_SQL, KEYWORDS_SQL
+    old_links = f"""kl_old AS (
+  SELECT DISTINCT k.keyword_id, l.l_orderkey AS paper_id FROM lineitem l
+  JOIN part p ON p.p_partkey = l.l_partkey JOIN keywords k ON k.keyword = p.p_name
+  WHERE l.l_shipdate < TIMESTAMP '{LINKS_BEFORE}'),
+al_old AS (
+  SELECT author_id, paper_id,
+         CAST(row_number() OVER (PARTITION BY paper_id ORDER BY first_line, author_id) AS INTEGER)
+           AS author_position
+  FROM (SELECT l_orderkey AS paper_id, l_suppkey AS author_id, min(l_linenumber) AS first_line
+        FROM lineitem WHERE l_shipdate < TIMESTAMP '{LINKS_BEFORE}' GROUP BY l_orderkey, l_suppkey))"""
+    return ("WITH " + ",\n".join([KEYWORDS_SQL, KEYWORD_LINKS_SQL, AUTHOR_LINKS_SQL, old_links]) + f"""
+SELECT DISTINCT paper_id FROM (
+  SELECT doc_id AS paper_id FROM labels
+  UNION ALL SELECT doc_id FROM documents WHERE lang = '{DELETED_LANG}'
+  UNION ALL SELECT paper_id FROM (SELECT keyword_id, paper_id FROM keyword_links
+                                  EXCEPT SELECT keyword_id, paper_id FROM kl_old)
+  UNION ALL SELECT paper_id FROM (SELECT * FROM author_links EXCEPT SELECT * FROM al_old)
+  UNION ALL SELECT paper_id FROM (SELECT * FROM al_old EXCEPT SELECT * FROM author_links)
+  UNION ALL SELECT paper_id FROM keyword_links WHERE keyword_id IN
+    (SELECT keyword_id FROM keywords WHERE keyword = '{RENAMED_KEYWORD}')
+  UNION ALL SELECT paper_id FROM author_links WHERE author_id = {RENAMED_AUTHOR})
+WHERE paper_id IS NOT NULL""")
+
+
+@register("affected_papers", _affected_sql())
 def q_affected_papers(spark, d):
-    """Distinct ids touched by the change set (rows-only: the change
-    set is derived from two states)."""
+    """Distinct ids touched by the change set between the old and the
+    new archive state."""
     _old, changes, (p, a, k, al, kl) = _old_new_state(spark, d)
     return S.affected_papers(changes, kl, al)

@@ -115,7 +115,11 @@ def _embedded(spark, d):
     return VV.embed_pending(tb.pending(spark, d), VV.hash_embedder(64))
 
 
-@register("embed_pending", note="rows-only: vectors come from a caller-supplied embedder")
+@register("embed_pending", with_ctes(DOCS_SQL, PENDING_SQL) + f"""
+SELECT paper_id, lingbuzz_id,
+       CAST(floor((row_number() OVER (ORDER BY paper_id) - 1) / {VV.EMBED_BATCH}) AS BIGINT) AS batch,
+       CAST(NULL AS VARCHAR) AS error, 64 AS dim
+FROM pending ORDER BY paper_id LIMIT {VV.EMBED_MAX}""")
 def q_embed_pending(spark, d):
     r = _embedded(spark, d)
     return r.select("paper_id", "lingbuzz_id", "batch", "error", F.size("vec").alias("dim"))
