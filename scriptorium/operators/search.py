@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN_SEP
 from ..functions.tokens import token_array
 
 FIELDS = ("title", "abstract", "keywords", "authors")
@@ -694,5 +693,3 @@ def corpus_stats(index: SearchIndex) -> DataFrame:
     return per_term.select("term", "df", "cf", st["n_docs"].cast("long").alias("n_docs"),
                            st["avgdl"].cast("double").alias("avgdl"))
 
-
-TOKEN_SEP_SQL = TOKEN_SEP

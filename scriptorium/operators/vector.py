@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import embedding_text
 from .relations import batch_assign, unembedded_papers
@@ -33,7 +32,6 @@ BROADCAST_BUDGET = 64 * 1024 * 1024       # bytes of query vectors per pass
 
 
 def clamp_k(k) -> int:
-    from .search import clamp_paging
     if k is None:
         return DEFAULT_K
     try:
