@@ -140,13 +140,12 @@ def author_links(spark, d) -> DataFrame:
     (keeping its first line number), then positions are numbered 1.. within
     a paper in line order (W1).
     """
+    from ..operators.relations import author_positions
     li = table(spark, d, "lineitem")
     first = li.groupBy(F.col("l_orderkey").alias("paper_id"),
                        F.col("l_suppkey").alias("author_id")).agg(
         F.min("l_linenumber").alias("first_line"))
-    w = Window.partitionBy("paper_id").orderBy("first_line", "author_id")
-    return first.select("author_id", "paper_id",
-                        F.row_number().over(w).cast("int").alias("author_position"))
+    return author_positions(first).select("author_id", "paper_id", "author_position")
 
 
 AUTHOR_LINKS_SQL = """author_links AS (

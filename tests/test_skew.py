@@ -43,3 +43,14 @@ def test_hot_term_postings_and_match(spark):
     assert S.match_count(idx, S.all_of("the", "w17")).first().total == 1
     page = S.search_page(idx, S.term("the"), limit=5).collect()
     assert len(page) == 5
+
+
+def test_group_positions_hot_group_matches_window(spark):
+    from pyspark.sql import Window
+    n = 20000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("g"),
+                               (F.col("id") * 7919 % n).alias("o")).repartition(6)
+    got = {(r.g, r.o): r.pos for r in R.group_positions(df, "g", ["o"], "pos").collect()}
+    ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    want = {(r.g, r.o): r.pos for r in ref.collect()}
+    assert got == want
