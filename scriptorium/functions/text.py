@@ -40,8 +40,12 @@ FRESHLY_CHANGED = "freshly changed"
 
 
 def js_trim(c) -> Column:
-    """``String.prototype.trim``: strip all Unicode white space at both ends."""
-    return F.regexp_replace(as_col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """``String.prototype.trim``: strip all Unicode white space at both ends.
+
+    Anchored with ``\\A``/``\\z``: Java's ``$`` also matches before a final
+    line terminator (including U+0085), which would strip too much.
+    """
+    return F.regexp_replace(as_col(c), f"\\A{WS_CLASS}+|{WS_CLASS}+\\z", "")
 
 
 def collapse_ws(c) -> Column:

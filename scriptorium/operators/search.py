@@ -221,7 +221,7 @@ def build_search_docs(papers: DataFrame, authors: DataFrame, keywords: DataFrame
           .agg(F.array_join(F.array_sort(F.collect_list("keyword")), " ").alias("keywords")))
     name = F.regexp_replace(
         F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit(""))),
-        r"^ +| +$", "")
+        r"\A +| +\z", "")
     au = (author_links.join(authors, "author_id")
           .groupBy("paper_id")
           .agg(F.array_join(
