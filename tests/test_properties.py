@@ -77,3 +77,60 @@ def test_search_total_equals_unpaged_count(spark, docs):
     assert total == expect
     page = S.search_page(idx, q, limit=3, offset=1).collect()
     assert len(page) == max(0, min(3, total - 1))
+
+
+def ref_abstract(s):
+    s = s.replace('"', "'").replace("\n", " ")
+    return js_trim(re.sub(f"[{re.escape(JS_WS)}]+", " ", s))
+
+
+RESERVED = set(";/?:@&=+$,#")
+
+
+def ref_decode_uri(s):
+    """JavaScript decodeURI; None where it would throw."""
+    out, i, n = [], 0, len(s)
+    while i < n:
+        if s[i] != "%":
+            out.append(s[i])
+            i += 1
+            continue
+        m = re.match(r"%([0-9A-Fa-f]{2})", s[i:])
+        if not m:
+            return None
+        b0 = int(m.group(1), 16)
+        if b0 < 0x80:
+            ch = chr(b0)
+            out.append(s[i:i + 3] if ch in RESERVED else ch)
+            i += 3
+            continue
+        k = 2 if b0 >> 5 == 6 else 3 if b0 >> 4 == 14 else 4 if b0 >> 3 == 30 else 0
+        if not k:
+            return None
+        bs = [b0]
+        for j in range(1, k):
+            m2 = re.match(r"%([0-9A-Fa-f]{2})", s[i + 3 * j:])
+            if not m2:
+                return None
+            bs.append(int(m2.group(1), 16))
+        try:
+            out.append(bytes(bs).decode("utf-8"))
+        except UnicodeDecodeError:
+            return None
+        i += 3 * k
+    return "".join(out)
+
+
+URI_ALPHABET = st.sampled_from(["%2F", "%2f", "%20", "%41", "%C3%A9", "%E2%82%AC", "%C3", "%zz", "%",
+                                "+", "a", "/", "#", "%23", "%25", "é", " "])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(URI_ALPHABET, max_size=8).map("".join), min_size=1, max_size=30), TEXTS)
+def test_decode_uri_and_abstract_match_reference(spark, uris, texts):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(uris)], "i int, s string")
+    for r in df.select("i", T.decode_uri("s").alias("d")).collect():
+        assert r.d == ref_decode_uri(uris[r.i]), uris[r.i]
+    df2 = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for r in df2.select("i", T.parse_abstract("s").alias("a")).collect():
+        assert r.a == ref_abstract(texts[r.i]), texts[r.i]
