@@ -540,58 +540,81 @@ def _query_matchers(q) -> list[tuple[tuple[str, ...], bool]]:
     return out
 
 
+def _window_score(hits, start: int, width: int):
+    """Score of the window [start, start + width): 1000 per distinct phrase,
+    1 per repeat; also the first and last hit token inside it."""
+    seen, score, first, last = set(), 0, -1, -1
+    for s, pid, n in hits:
+        if start <= s < start + width:
+            score += 1 if pid in seen else 1000
+            seen.add(pid)
+            if first < 0:
+                first = s
+            last = s + n - 1
+    return score, first, last
+
+
 def snippet_text(text: str, matchers, width: int = SNIPPET_TOKENS) -> str:
-    """X7 on one text: best window of ``width`` tokens; hits wrapped in marks.
+    """X7 on one text: the best fragment of ``width`` tokens, hits marked.
 
-    Window score: 1000 per distinct phrase present + 1 per further hit;
-    ties go to the earliest window.  Original text between tokens is kept;
-    ``...`` marks a cut at either end.
+    Candidates follow the FTS5 rule: for every hit, a window scored by
+    1000 per distinct phrase + 1 per repeated hit and shifted so its hits sit
+    in the middle; and a window starting at the sentence start before the
+    hit (+100, +120 at the very start).  The first best candidate wins.
+    Original text between tokens is kept; ``...`` marks a cut at either end.
     """
     import regex
+    text = text or ""
     spans = [(m.start(), m.end(), m.group(0).lower())
-             for m in regex.finditer(r"[\p{L}\p{N}]+", text or "")]
+             for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
     if not spans:
-        return text or ""
-    toks = [s[2] for s in spans]
-    hit = [None] * len(toks)        # token index -> phrase id covering it
-    starts = []                     # (start token, phrase id, length)
+        return text
+    toks = [t for _, _, t in spans]
+    ntok = len(toks)
+    hit = [False] * ntok
+    hits = []                         # (start token, phrase id, length), in text order
     for pid, (ptoks, pre) in enumerate(matchers):
         n = len(ptoks)
-        for s in range(len(toks) - n + 1):
-            ok = all(toks[s + k] == ptoks[k] if not (pre and k == n - 1)
-                     else toks[s + k].startswith(ptoks[k]) for k in range(n))
-            if ok:
-                starts.append((s, pid, n))
+        for s in range(ntok - n + 1):
+            if all((toks[s + k].startswith(ptoks[k]) if (pre and k == n - 1) else toks[s + k] == ptoks[k])
+                   for k in range(n)):
+                hits.append((s, pid, n))
                 for k in range(n):
-                    hit[s + k] = pid
-    ntok = len(toks)
-    best, best_score = 0, -1
-    for w0 in range(0, max(1, ntok - width + 1)):
-        seen, score = set(), 0
-        for s, pid, n in starts:
-            if s >= w0 and s + n <= w0 + width:
-                score += 1 if pid in seen else 1000
-                seen.add(pid)
+                    hit[s + k] = True
+    hits.sort()
+    # sentence starts: first token, or a token preceded by white space that
+    # follows a '.' or ':'
+    starts = [0]
+    for i in range(1, ntok):
+        gap = text[spans[i - 1][1]:spans[i][0]]
+        core = gap.rstrip(" \t\n\r")
+        if core != gap and core.endswith((".", ":")):
+            starts.append(i)
+    best, best_score = 0, 0
+    for s, _pid, _n in hits:
+        score, first, last = _window_score(hits, s, width)
+        adj = first - (width - (last - first)) // 2
+        if adj + width > ntok:
+            adj = ntok - width
+        adj = max(adj, 0)
         if score > best_score:
-            best, best_score = w0, score
+            best, best_score = adj, score
+        if ntok > width:
+            prior = [st for st in starts if st <= s]
+            sst = prior[-1] if prior else 0
+            if sst < s:
+                sc2 = _window_score(hits, sst, width)[0] + (120 if sst == 0 else 100)
+                if sc2 > best_score:
+                    best, best_score = sst, sc2
     w1 = min(ntok, best + width)
-    out = []
-    begin = 0 if best == 0 else spans[best][0]
-    if best > 0:
-        out.append(ELLIPSIS)
-    cur = begin
+    out = [ELLIPSIS] if best > 0 else []
+    cur = spans[best][0]
     for t in range(best, w1):
-        s, e, _ = spans[t]
-        out.append(text[cur:s])
-        if hit[t] is not None:
-            out.append(MARK_OPEN + text[s:e] + MARK_CLOSE)
-        else:
-            out.append(text[s:e])
-        cur = e
-    if w1 < ntok:
-        out.append(ELLIPSIS)
-    else:
-        out.append(text[cur:])
+        s0, e0, _ = spans[t]
+        out.append(text[cur:s0])
+        out.append(MARK_OPEN + text[s0:e0] + MARK_CLOSE if hit[t] else text[s0:e0])
+        cur = e0
+    out.append(ELLIPSIS if w1 < ntok else text[cur:])
     return "".join(out)
 
 
