@@ -275,3 +275,35 @@ def q_update_version(spark, d):
     """The archive only counts version updates (no refresh)."""
     return classified(spark, d).agg(
         F.count_if(F.col("action") == "update-version").alias("version_updates"))
+
+
+@register("write_table", with_ctes(AUTHORS_SQL) + f"""
+, held AS (SELECT a.author_id, a.username, a.affiliation FROM authors a JOIN supplier s
+           ON s.s_suppkey = a.author_id WHERE s.s_nationkey < {AUTHOR_HELD_MAX_NATION}),
+inc AS (SELECT a.author_id, a.username, a.affiliation || ' (updated)' AS affiliation FROM authors a
+        JOIN supplier s ON s.s_suppkey = a.author_id
+        WHERE s.s_acctbal >= 0 OR a.author_id NOT IN (SELECT author_id FROM held))
+SELECT coalesce(h.author_id, i.author_id) AS author_id, coalesce(h.username, i.username) AS username,
+       CASE WHEN h.author_id IS NOT NULL AND i.author_id IS NOT NULL THEN i.affiliation
+            ELSE coalesce(h.affiliation, i.affiliation) END AS affiliation,
+       i.author_id IS NOT NULL AS affected
+FROM held h FULL OUTER JOIN inc i ON h.username = i.username""")
+def q_write_table(spark, d):
+    """ON CONFLICT (username) DO UPDATE SET affiliation, with RETURNING;
+    the incoming rows are every author with a non-negative balance plus
+    every author not held."""
+    a = tb.authors(spark, d)
+    s = tb.table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), "s_nationkey",
+                                              "s_acctbal")
+    held = (a.join(s, "author_id").filter(F.col("s_nationkey") < AUTHOR_HELD_MAX_NATION)
+            .select("author_id", "username", "affiliation"))
+    inc = (a.join(s, "author_id")
+           .join(held.select("author_id").withColumn("_h", F.lit(True)), "author_id", "left")
+           .filter((F.col("s_acctbal") >= 0) | F.col("_h").isNull())
+           .select("author_id", "username", F.concat("affiliation", F.lit(" (updated)")).alias("affiliation")))
+    nxt, affected, _rej = M.insert_into(held, inc, ["username"], on_conflict="update",
+                                        update_cols=["affiliation"], returning=True)
+    marks = affected.select("username", F.lit(True).alias("affected"))
+    return (nxt.join(marks, "username", "left")
+            .select("author_id", "username", "affiliation",
+                    F.coalesce("affected", F.lit(False)).alias("affected")))
