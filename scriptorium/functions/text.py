@@ -28,6 +28,10 @@ CTRL = r"[\x00-\x1F\x7F-\x9F]"
 # Archive home page title (a detail page with this title holds no paper).
 HOME_TITLE = "lingbuzz - archive of linguistics articles"
 BASE_URL = "https://ling.auf.net"
+PAPER_PATH = "/lingbuzz/"                 # paper pages: BASE_URL + PAPER_PATH + six-digit id
+LISTING_PATH = "/lingbuzz/_listing"
+PERSON_PATH = "/_person/"
+REFERENCE_PREFIX = "lingbuzz/"            # stored paper reference: prefix + id
 PAPER_ID_LENGTH = 6
 PAPER_ID_PATTERN = r"/lingbuzz/(\d{6})"
 PERSON_PATTERN = r"/_person/(.*)"
@@ -105,7 +109,7 @@ def pad_id(c, width: int = PAPER_ID_LENGTH) -> Column:
 
 
 def paper_id_from_href(c) -> Column:
-    """six-digit id from a ``/lingbuzz/NNNNNN`` link, else ``000000``."""
+    """six-digit id from a paper link (``PAPER_ID_PATTERN``), else ``000000``."""
     x = F.regexp_extract(as_col(c), PAPER_ID_PATTERN, 1)
     return F.when(x == "", F.lit("000000")).otherwise(x)
 

@@ -211,10 +211,10 @@ def raw_abstract(doc: Node) -> str:
 
 
 def main_listing_table(doc: Node):
-    """H2: the first table holding a ``td > table`` that links /lingbuzz/."""
+    """H2: the first table holding a ``td > table`` with a link to a paper page."""
     for t in body_of(doc).find_all("table"):
         nested = next((e for e in t.elements() if e.tag == "table" and e.parent.tag == "td"), None)
-        if nested is not None and any("/lingbuzz/" in a.attrs.get("href", "")
+        if nested is not None and any(T.PAPER_PATH in a.attrs.get("href", "")
                                       for a in nested.find_all("a")):
             return nested
     return None
@@ -386,7 +386,7 @@ def parse_listing_rows(raw: DataFrame, legacy: bool = False) -> DataFrame:
         cols.append(T.js_trim(F.coalesce("status_text", F.lit(""))).alias("status"))
     cols += [(F.when(has_file, dl) if legacy else F.when(has_file, dl).otherwise(F.lit("")))
              .alias("download_url"),
-             F.concat(F.lit(T.BASE_URL + "/lingbuzz/"), pid).alias("paper_url"),
+             F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), pid).alias("paper_url"),
              F.transform("author_links", author).alias("authors")]
     return r.select(*cols)
 
@@ -420,16 +420,16 @@ def parse_paper_pages(pages: DataFrame, id_col: str = "paper_id") -> tuple[DataF
     rec = (h.filter(F.col("error").isNull())
            .filter(F.coalesce(F.col("page_title"), F.lit("")) != T.HOME_TITLE)
            .filter(F.col("title").isNotNull())
-           .select(F.col("page_id"), F.col(id_col).alias("lingbuzz_id"), "title", "authors", "date",
+           .select(F.col("page_id"), F.col(id_col).alias("archive_id"), "title", "authors", "date",
                    T.normalize_text(T.first_present(kv, T.PUBLISHED_KEYS)).alias("published_in"),
                    kw_raw.alias("keywords_raw"),
                    T.split_keywords(kw_raw).alias("keywords"),
                    F.when(raw_abs.startswith("Format:"), F.lit(""))
                    .otherwise(T.parse_abstract(raw_abs)).alias("abstract"),
                    T.first_digits_int(T.first_present(kv, T.DOWNLOAD_KEYS)).alias("downloads"),
-                   F.concat(F.lit(T.BASE_URL + "/lingbuzz/"), F.col(id_col),
+                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col(id_col),
                             F.lit("/current.pdf")).alias("download_url"),
-                   F.concat(F.lit(T.BASE_URL + "/lingbuzz/"), F.col(id_col)).alias("paper_url")))
+                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col(id_col)).alias("paper_url")))
     return V.split_valid(rec, V.parsed_paper_rules())
 
 
@@ -457,7 +457,7 @@ def paper_count(front: DataFrame) -> DataFrame:
 
 
 def front_page_ids(front: DataFrame) -> DataFrame:
-    """H5: ids of main-table links matching ``/lingbuzz/NNNNNN`` as integers,
+    """H5: ids of main-table links matching ``PAPER_ID_PATTERN`` as integers,
     distinct in first-seen order (``first_seen`` = page, link position)."""
     x = front.select("page_id", F.posexplode("hrefs").alias("link_pos", "href"))
     x = x.filter(F.col("href").rlike(T.PAPER_ID_PATTERN)).select(

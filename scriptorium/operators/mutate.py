@@ -23,7 +23,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import split_date
+from ..functions.text import REFERENCE_PREFIX, split_date
 from .relations import dense_index, first_per_key, split_first_per_key
 
 
@@ -43,14 +43,14 @@ def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order_by: list)
     return x.withColumn(id_col, (F.col("_i") + base + F.lit(1)).cast("long")).drop("_i")
 
 
-def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "lingbuzz_id",
+def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "archive_id",
                   order_col: str = "seq", now=None) -> tuple[DataFrame, DataFrame]:
     """M1: plain insert of parsed papers.
 
     A key already present, or a repeated key within the batch (after its
     first occurrence), is a constraint error: that row goes to ``rejects``
     (counted as failed) instead of aborting the batch.  Inserted rows get
-    year/month from the "Month Year" date, ``lingbuzz/<id>`` reference, ids
+    year/month from the "Month Year" date, the ``REFERENCE_PREFIX + id`` reference, ids
     (M5) and audit stamps (M6).
     """
     known = existing.select(key).distinct()
@@ -61,7 +61,7 @@ def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "lingbuzz
     bad = stored.unionByName(again.withColumn("error", F.lit("duplicate key: repeated in batch")))
     year, month = split_date(F.col("date"))
     ok = (ok.withColumn("paper_year", year).withColumn("paper_month", month)
-          .withColumn("paper_reference", F.concat(F.lit("lingbuzz/"), F.col(key)))
+          .withColumn("paper_reference", F.concat(F.lit(REFERENCE_PREFIX), F.col(key)))
           .withColumn("row_created_at", _ts(now)).withColumn("row_updated_at", _ts(now)))
     if "paper_id" in existing.columns:
         ok = assign_ids(ok.drop("paper_id") if "paper_id" in ok.columns else ok,

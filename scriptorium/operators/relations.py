@@ -134,7 +134,7 @@ def unembedded_papers(papers: DataFrame, limit: int = 500,
                       embedded_col: str = "embedded_at") -> DataFrame:
     """Papers with no embedding yet, four columns, by id, at most ``limit``."""
     p = papers.filter(F.col(embedded_col).isNull()) if embedded_col in papers.columns else papers
-    return (p.select("paper_id", "lingbuzz_id", "paper_title", "abstract")
+    return (p.select("paper_id", "archive_id", "paper_title", "abstract")
             .orderBy("paper_id").limit(limit))
 
 
@@ -217,11 +217,11 @@ def papers_with_authors(papers: DataFrame, authors: DataFrame, author_links: Dat
 
 def paper_detail(papers: DataFrame, authors: DataFrame, author_links: DataFrame,
                  keywords: DataFrame, keyword_links: DataFrame,
-                 lingbuzz_id: str | None = None) -> DataFrame:
+                 archive_id: str | None = None) -> DataFrame:
     """paper(s) with authors[] and keywords[]; both link sides are
     pre-aggregated separately, then two left joins (no fan-out)."""
-    p = papers if lingbuzz_id is None else papers.filter(F.col("lingbuzz_id") == lingbuzz_id)
-    if lingbuzz_id is not None:
+    p = papers if archive_id is None else papers.filter(F.col("archive_id") == archive_id)
+    if archive_id is not None:
         ids = p.select("paper_id")
         author_links = author_links.join(ids, "paper_id", "left_semi")
         keyword_links = keyword_links.join(ids, "paper_id", "left_semi")
@@ -284,7 +284,7 @@ def author_profile(authors: DataFrame, author_links: DataFrame, papers: DataFram
     a = authors if username is None else authors.filter(F.col("username") == username)
     lk = author_links.join(a.select("author_id"), "author_id", "left_semi")
     pp = (lk.join(papers, "paper_id").groupBy("author_id")
-          .agg(F.array_sort(F.collect_list(F.struct("paper_id", "lingbuzz_id", "paper_title",
+          .agg(F.array_sort(F.collect_list(F.struct("paper_id", "archive_id", "paper_title",
                                                     "author_position"))).alias("papers")))
     return (a.join(pp, "author_id", "left")
             .withColumn("papers", F.coalesce("papers", F.array().cast(pp.schema["papers"].dataType))))

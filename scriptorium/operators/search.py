@@ -3,7 +3,7 @@ paging, snippets, incremental index upkeep (X1-X10).
 
 Layout of the index (all DataFrames, written as Parquet by ``write_index``):
 
-* ``docs``     - one row per paper: paper_id, lingbuzz_id, title, abstract,
+* ``docs``     - one row per paper: paper_id, archive_id, title, abstract,
                  keywords, authors (the four indexed fields are text).
 * ``postings`` - one row per (term, paper_id, field): tf and the token
                  positions inside that field.  Written bucketed by a hash of
@@ -228,10 +228,10 @@ def build_search_docs(papers: DataFrame, authors: DataFrame, keywords: DataFrame
               F.transform(F.array_sort(F.collect_list(F.struct(
                   F.col("author_position").alias("p"), name.alias("n")))), lambda s: s["n"]),
               " ").alias("authors")))
-    return (papers.select("paper_id", "lingbuzz_id", F.col("paper_title").alias("title"),
+    return (papers.select("paper_id", "archive_id", F.col("paper_title").alias("title"),
                           F.coalesce("abstract", F.lit("")).alias("abstract"))
             .join(kw, "paper_id", "left").join(au, "paper_id", "left")
-            .select("paper_id", "lingbuzz_id", "title", "abstract",
+            .select("paper_id", "archive_id", "title", "abstract",
                     F.coalesce("keywords", F.lit("")).alias("keywords"),
                     F.coalesce("authors", F.lit("")).alias("authors")))
 
@@ -510,7 +510,7 @@ def search_papers(index: SearchIndex, query, field: str = "all", limit=None, off
                   round_digits: int | None = None, with_snippet: bool = True):
     """(page DataFrame, total DataFrame).
 
-    Page columns: paper_id, lingbuzz_id, title, abstract ('' -> null),
+    Page columns: paper_id, archive_id, title, abstract ('' -> null),
     snippet, rank.  The page has at most 100 rows, so it is broadcast into the
     document join and the snippet runs only on those rows.
     """
@@ -521,7 +521,7 @@ def search_papers(index: SearchIndex, query, field: str = "all", limit=None, off
     q = in_field(query, field)
     page = search_page(index, q, limit, offset, round_digits)
     rows = (F.broadcast(page).join(index.docs, "paper_id")
-            .select("paper_id", "lingbuzz_id", "title",
+            .select("paper_id", "archive_id", "title",
                     F.nullif(F.col("abstract"), F.lit("")).alias("abstract"), "rank"))
     if with_snippet:
         rows = rows.withColumn("snippet", snippet_col(F.coalesce("abstract", F.lit("")), q))

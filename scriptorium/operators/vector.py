@@ -158,12 +158,12 @@ def semantic_search(index: DataFrame, query_vec, details: DataFrame, k=None,
                     round_digits: int | None = None) -> DataFrame:
     """V3: top-k over the vector index, hydrated with paper details.
 
-    ``index``: id (text id), vec, metadata struct<lingbuzz_id, title,
-    paper_id>.  Output: score, lingbuzz_id, title (metadata or null), and
+    ``index``: id (text id), vec, metadata struct<archive_id, title,
+    paper_id>.  Output: score, archive_id, title (metadata or null), and
     the detail columns (null when the paper is gone)."""
     top = vector_topk(index, query_vec, k, "id", "vec", round_digits, keep=("metadata",))
-    hits = top.select("score", F.col("id").alias("lingbuzz_id"), F.col("metadata.title").alias("title"))
-    return hydrate_hits(hits, details, "lingbuzz_id")
+    hits = top.select("score", F.col("id").alias("archive_id"), F.col("metadata.title").alias("title"))
+    return hydrate_hits(hits, details, "archive_id")
 
 
 def upsert_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def hash_embedder(dim: int = 64):
     return embed
 
 
-EMBED_OUT = ("paper_id long, lingbuzz_id string, paper_title string, vec array<float>, "
+EMBED_OUT = ("paper_id long, archive_id string, paper_title string, vec array<float>, "
              "batch long, error string")
 
 
@@ -211,11 +211,11 @@ def embed_pending(pending: DataFrame, embed_fn, limit: int = EMBED_MAX,
             vecs = embed_fn(texts)
             if not isinstance(vecs, (list, tuple)) or len(vecs) != len(pdf):
                 raise ValueError("Unexpected embedding response shape")
-            return pd.DataFrame({"paper_id": pdf["paper_id"], "lingbuzz_id": pdf["lingbuzz_id"],
+            return pd.DataFrame({"paper_id": pdf["paper_id"], "archive_id": pdf["archive_id"],
                                  "paper_title": pdf["paper_title"], "vec": list(vecs),
                                  "batch": pdf["batch"], "error": None})
         except Exception as e:  # noqa: BLE001 - one failed batch must not stop the others
-            return pd.DataFrame({"paper_id": pdf["paper_id"], "lingbuzz_id": pdf["lingbuzz_id"],
+            return pd.DataFrame({"paper_id": pdf["paper_id"], "archive_id": pdf["archive_id"],
                                  "paper_title": pdf["paper_title"], "vec": None,
                                  "batch": pdf["batch"], "error": f"Batch {i}: {e}"})
     return b.groupBy("batch").applyInPandas(per_batch, EMBED_OUT)
@@ -237,8 +237,8 @@ def embed_summary(results: DataFrame, pending_after: DataFrame) -> DataFrame:
 def vectors_from_embeddings(results: DataFrame) -> DataFrame:
     """Successful V1 rows -> vector-index rows with metadata."""
     ok = results.filter(F.col("error").isNull())
-    return ok.select(F.col("lingbuzz_id").alias("id"), "vec",
-                     F.struct("lingbuzz_id", F.col("paper_title").alias("title"), "paper_id")
+    return ok.select(F.col("archive_id").alias("id"), "vec",
+                     F.struct("archive_id", F.col("paper_title").alias("title"), "paper_id")
                      .alias("metadata"))
 
 
@@ -250,7 +250,7 @@ def embed_job(papers: DataFrame, index: DataFrame, embed_fn, now=None, limit: in
               batch_size: int = EMBED_BATCH):
     """V1 + V2 + M9 + A8: embed pending papers, upsert the successful
     batches into the vector index, mark exactly those papers embedded, and
-    summarise.  ``papers`` has paper_id, lingbuzz_id, paper_title, abstract
+    summarise.  ``papers`` has paper_id, archive_id, paper_title, abstract
     and ``embedded_at``.  Returns (next index, next papers, summary, rows).
     Failed batches change nothing and are listed in the summary.
     """

@@ -10,7 +10,7 @@ from ..sources import html as H
 from ..sources.tables import (AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_LINKS_SQL,
                               KEYWORDS_SQL, LISTING_SQL, PAPERS_SQL, with_ctes)
 from .registry import register
-from .sqltext import RESPLIT_SQL, abstract_sql, normalize_sql, trim_sql
+from .sqltext import PAPER_URL_SQL, RESPLIT_SQL, abstract_sql, normalize_sql, trim_sql
 
 LISTING_POS_SQL = """lp AS (
   SELECT l.*, o.o_orderpriority, pos,
@@ -47,8 +47,8 @@ def q_explode_listing_rows(spark, d):
 
 @register("parse_listing_row", LISTING_CTES +
           "SELECT page_id, row_no, paper_id, title, status, "
-          "CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'https://ling.auf.net/lingbuzz/' || paper_id "
-          "|| '/current.pdf' END AS download_url, 'https://ling.auf.net/lingbuzz/' || paper_id AS paper_url, "
+          f"CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE {PAPER_URL_SQL} || paper_id "
+          f"|| '/current.pdf' END AS download_url, {PAPER_URL_SQL} || paper_id AS paper_url, "
           f"{_authors_sql('a.first_name', 'a.last_name')} AS authors FROM lr")
 def q_parse_listing_row(spark, d):
     rows = X.parse_listing_rows(X.explode_listing_rows(H.render_listing_pages(spark, d)))
@@ -58,8 +58,8 @@ def q_parse_listing_row(spark, d):
 
 @register("parse_article_row", LISTING_CTES +
           "SELECT page_id, row_no, paper_id, title, "
-          "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'https://ling.auf.net/lingbuzz/' || paper_id "
-          "|| '/current.pdf' END AS download_url, 'https://ling.auf.net/lingbuzz/' || paper_id AS paper_url, "
+          f"CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE {PAPER_URL_SQL} || paper_id "
+          f"|| '/current.pdf' END AS download_url, {PAPER_URL_SQL} || paper_id AS paper_url, "
           f"{_authors_sql(chr(39) + chr(39) + ' || a.last_name || ' + chr(39) + ',' + chr(39), 'a.first_name')}"
           " AS authors FROM lr")
 def q_parse_article_row(spark, d):
@@ -84,7 +84,7 @@ def q_front_page_count(spark, d):
 
 
 DETAIL_SQL = """det AS (
-  SELECT d.paper_id AS page_id, d.lingbuzz_id, d.paper_title, d.abstract, p.paper_date,
+  SELECT d.paper_id AS page_id, d.archive_id, d.paper_title, d.abstract, p.paper_date,
          p.downloads, doc.source,
          (SELECT string_agg(a.first_name || ' ' || a.last_name, ', ' ORDER BY al.author_position)
           FROM author_links al JOIN authors a ON a.author_id = al.author_id
@@ -137,7 +137,7 @@ def _kw_split_sql(x: str) -> str:
 
 
 @register("parse_paper_page", DETAIL_CTES + f"""
-SELECT page_id, lingbuzz_id, {normalize_sql('lines[1]')} AS title,
+SELECT page_id, archive_id, {normalize_sql('lines[1]')} AS title,
   array_to_string(list_filter(list_transform(string_split({normalize_sql('lines[2]')}, ','),
     lambda x: {trim_sql('x')}), lambda x: x <> ''), '|') AS authors,
   CASE WHEN coalesce(lines[3], '') <> '' THEN {normalize_sql('lines[3]')} ELSE '' END AS date,
@@ -146,12 +146,12 @@ SELECT page_id, lingbuzz_id, {normalize_sql('lines[1]')} AS title,
   array_to_string({_kw_split_sql(normalize_sql(trim_sql("coalesce(kw_line, '')")))}, '|') AS keywords,
   CASE WHEN starts_with(raw_abstract, 'Format:') THEN '' ELSE {abstract_sql('raw_abstract')} END AS abstract,
   coalesce(downloads, 0) AS downloads,
-  'https://ling.auf.net/lingbuzz/' || lingbuzz_id || '/current.pdf' AS download_url,
-  'https://ling.auf.net/lingbuzz/' || lingbuzz_id AS paper_url
+  {PAPER_URL_SQL} || archive_id || '/current.pdf' AS download_url,
+  {PAPER_URL_SQL} || archive_id AS paper_url
 FROM det2 WHERE coalesce(lines[1], '') <> '' AND coalesce(lines[2], '') <> ''""")
 def q_parse_paper_page(spark, d):
     valid, _bad = X.parse_paper_pages(H.render_detail_pages(spark, d))
-    return valid.select("page_id", "lingbuzz_id", "title", F.array_join("authors", "|").alias("authors"),
+    return valid.select("page_id", "archive_id", "title", F.array_join("authors", "|").alias("authors"),
                         "date", "published_in", "keywords_raw",
                         F.array_join("keywords", "|").alias("keywords"), "abstract", "downloads",
                         "download_url", "paper_url")

@@ -13,6 +13,7 @@ from ..sources.tables import (AUTHORS_SQL, DOCS_SQL, KNOWN_SQL, LISTING_SQL, PAP
                               with_ctes)
 from .q_relations import CLASSIFY_SQL, classified
 from .registry import register
+from .sqltext import REFERENCE_SQL
 
 # Fixed clock and split points of the mutation checks.
 NOW = dt.datetime(2026, 1, 1, 0, 0, 0)
@@ -37,40 +38,40 @@ def _papers_split(spark, d):
     p = tb.papers(spark, d)
     existing = p.filter(F.col("row_created_at") < _ts(tb.KNOWN_BEFORE))
     batch = p.filter(F.col("row_created_at") >= _ts(BATCH_SINCE)).select(
-        "lingbuzz_id", F.col("paper_title").alias("title"), F.col("paper_date").alias("date"),
+        "archive_id", F.col("paper_title").alias("title"), F.col("paper_date").alias("date"),
         F.col("paper_id").alias("seq"))
     again = p.filter(F.col("row_created_at") >= _ts(RELIST_SINCE)).select(
-        "lingbuzz_id", F.col("paper_title").alias("title"), F.col("paper_date").alias("date"),
+        "archive_id", F.col("paper_title").alias("title"), F.col("paper_date").alias("date"),
         (F.col("paper_id") + RELIST_SEQ).alias("seq"))
     return existing, batch.unionByName(again)
 
 
 @register("insert_papers", with_ctes(PAPERS_SQL) + f"""
 , ex AS (SELECT * FROM papers WHERE row_created_at < TIMESTAMP '{tb.KNOWN_BEFORE}'),
-inc AS (SELECT lingbuzz_id, paper_title AS title, paper_date AS date, paper_id AS seq FROM papers
+inc AS (SELECT archive_id, paper_title AS title, paper_date AS date, paper_id AS seq FROM papers
         WHERE row_created_at >= TIMESTAMP '{BATCH_SINCE}'
-        UNION ALL SELECT lingbuzz_id, paper_title, paper_date, paper_id + {RELIST_SEQ} FROM papers
+        UNION ALL SELECT archive_id, paper_title, paper_date, paper_id + {RELIST_SEQ} FROM papers
         WHERE row_created_at >= TIMESTAMP '{RELIST_SINCE}'),
-fresh AS (SELECT *, row_number() OVER (PARTITION BY lingbuzz_id ORDER BY seq) AS r FROM inc
-          WHERE lingbuzz_id NOT IN (SELECT lingbuzz_id FROM ex))
-SELECT CAST((SELECT max(paper_id) FROM ex) + row_number() OVER (ORDER BY seq, lingbuzz_id) AS BIGINT)
-         AS paper_id, lingbuzz_id, title, split_part(date, ' ', 2) AS paper_year,
-       split_part(date, ' ', 1) AS paper_month, 'lingbuzz/' || lingbuzz_id AS paper_reference, seq,
+fresh AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY seq) AS r FROM inc
+          WHERE archive_id NOT IN (SELECT archive_id FROM ex))
+SELECT CAST((SELECT max(paper_id) FROM ex) + row_number() OVER (ORDER BY seq, archive_id) AS BIGINT)
+         AS paper_id, archive_id, title, split_part(date, ' ', 2) AS paper_year,
+       split_part(date, ' ', 1) AS paper_month, {REFERENCE_SQL} || archive_id AS paper_reference, seq,
        CAST(NULL AS VARCHAR) AS error
 FROM fresh WHERE r = 1
 UNION ALL
-SELECT NULL, lingbuzz_id, title, NULL, NULL, NULL, seq,
-       CASE WHEN lingbuzz_id IN (SELECT lingbuzz_id FROM ex) THEN 'duplicate key: already stored'
+SELECT NULL, archive_id, title, NULL, NULL, NULL, seq,
+       CASE WHEN archive_id IN (SELECT archive_id FROM ex) THEN 'duplicate key: already stored'
             ELSE 'duplicate key: repeated in batch' END
-FROM inc WHERE lingbuzz_id IN (SELECT lingbuzz_id FROM ex)
-   OR seq NOT IN (SELECT seq FROM fresh WHERE r = 1) AND lingbuzz_id NOT IN (SELECT lingbuzz_id FROM ex)
+FROM inc WHERE archive_id IN (SELECT archive_id FROM ex)
+   OR seq NOT IN (SELECT seq FROM fresh WHERE r = 1) AND archive_id NOT IN (SELECT archive_id FROM ex)
 """)
 def q_insert_papers(spark, d):
     existing, incoming = _papers_split(spark, d)
-    ok, bad = M.insert_papers(existing, incoming, "lingbuzz_id", "seq", NOW)
-    cols = ["paper_id", "lingbuzz_id", "title", "paper_year", "paper_month", "paper_reference", "seq"]
+    ok, bad = M.insert_papers(existing, incoming, "archive_id", "seq", NOW)
+    cols = ["paper_id", "archive_id", "title", "paper_year", "paper_month", "paper_reference", "seq"]
     a = ok.select(*cols, F.lit(None).cast("string").alias("error"))
-    b = bad.select(F.lit(None).cast("long").alias("paper_id"), "lingbuzz_id", "title",
+    b = bad.select(F.lit(None).cast("long").alias("paper_id"), "archive_id", "title",
                    F.lit(None).cast("string").alias("paper_year"),
                    F.lit(None).cast("string").alias("paper_month"),
                    F.lit(None).cast("string").alias("paper_reference"), "seq", "error")
@@ -147,16 +148,16 @@ def q_upsert_authors(spark, d):
 
 
 @register("assign_ids", with_ctes(PAPERS_SQL) + f"""
-SELECT lingbuzz_id, CAST((SELECT max(paper_id) FROM papers WHERE row_created_at < TIMESTAMP
-  '{tb.KNOWN_BEFORE}') + row_number() OVER (ORDER BY row_created_at, lingbuzz_id) AS BIGINT) AS new_id
+SELECT archive_id, CAST((SELECT max(paper_id) FROM papers WHERE row_created_at < TIMESTAMP
+  '{tb.KNOWN_BEFORE}') + row_number() OVER (ORDER BY row_created_at, archive_id) AS BIGINT) AS new_id
 FROM papers WHERE row_created_at >= TIMESTAMP '{tb.KNOWN_BEFORE}'""")
 def q_assign_ids(spark, d):
     p = tb.papers(spark, d)
     held = p.filter(F.col("row_created_at") < _ts(tb.KNOWN_BEFORE)).select(
         F.col("paper_id").alias("new_id"))
-    new = p.filter(F.col("row_created_at") >= _ts(tb.KNOWN_BEFORE)).select("lingbuzz_id", "row_created_at")
-    return M.assign_ids(new, held, "new_id", ["row_created_at", "lingbuzz_id"]).select(
-        "lingbuzz_id", "new_id")
+    new = p.filter(F.col("row_created_at") >= _ts(tb.KNOWN_BEFORE)).select("archive_id", "row_created_at")
+    return M.assign_ids(new, held, "new_id", ["row_created_at", "archive_id"]).select(
+        "archive_id", "new_id")
 
 
 def _author_versions(spark, d):

@@ -76,7 +76,7 @@ def q_keyword_id(spark, d):
 
 
 @register("unembedded_papers", with_ctes(DOCS_SQL, PENDING_SQL) +
-          "SELECT paper_id, lingbuzz_id, paper_title, abstract FROM pending "
+          "SELECT paper_id, archive_id, paper_title, abstract FROM pending "
           f"ORDER BY paper_id LIMIT {EMBED_LIMIT}")
 def q_unembedded_papers(spark, d):
     return R.unembedded_papers(tb.pending(spark, d), EMBED_LIMIT)
@@ -156,23 +156,23 @@ def q_papers_by_keyword(spark, d):
 
 
 @register("papers_with_authors", with_ctes(PAPERS_SQL, AUTHORS_SQL, AUTHOR_LINKS_SQL) +
-          f"SELECT p.paper_id, p.lingbuzz_id, {AUTHORS_STR_SQL} AS authors, "
+          f"SELECT p.paper_id, p.archive_id, {AUTHORS_STR_SQL} AS authors, "
           "CAST((SELECT count(*) FROM author_links al WHERE al.paper_id = p.paper_id) AS INTEGER) "
           "AS n_authors FROM papers p")
 def q_papers_with_authors(spark, d):
     out = R.papers_with_authors(tb.papers(spark, d), tb.authors(spark, d), tb.author_links(spark, d))
-    return out.select("paper_id", "lingbuzz_id", _authors_str(F.col("authors")).alias("authors"),
+    return out.select("paper_id", "archive_id", _authors_str(F.col("authors")).alias("authors"),
                       F.size("authors").alias("n_authors"))
 
 
 @register("paper_detail", with_ctes(PAPERS_SQL, AUTHORS_SQL, AUTHOR_LINKS_SQL, KEYWORDS_SQL,
                                     KEYWORD_LINKS_SQL) +
-          f"SELECT p.paper_id, p.lingbuzz_id, p.paper_title, {AUTHORS_STR_SQL} AS authors, "
+          f"SELECT p.paper_id, p.archive_id, p.paper_title, {AUTHORS_STR_SQL} AS authors, "
           f"{KEYWORDS_STR_SQL} AS keywords FROM papers p")
 def q_paper_detail(spark, d):
     out = R.paper_detail(tb.papers(spark, d), tb.authors(spark, d), tb.author_links(spark, d),
                          tb.keywords(spark, d), tb.keyword_links(spark, d))
-    return out.select("paper_id", "lingbuzz_id", "paper_title",
+    return out.select("paper_id", "archive_id", "paper_title",
                       _authors_str(F.col("authors")).alias("authors"),
                       F.array_join("keywords", "|").alias("keywords"))
 
@@ -194,7 +194,7 @@ def q_full_load_ids(spark, d):
 
 
 @register("author_profile", with_ctes(PAPERS_SQL, AUTHORS_SQL, AUTHOR_LINKS_SQL) +
-          "SELECT a.author_id, a.username, coalesce((SELECT string_agg(p.lingbuzz_id || '@' || "
+          "SELECT a.author_id, a.username, coalesce((SELECT string_agg(p.archive_id || '@' || "
           "CAST(al.author_position AS VARCHAR), '|' ORDER BY p.paper_id) FROM author_links al "
           "JOIN papers p ON p.paper_id = al.paper_id WHERE al.author_id = a.author_id), '') AS papers "
           f"FROM authors a WHERE a.username = '{USERNAME}'")
@@ -202,7 +202,7 @@ def q_author_profile(spark, d):
     out = R.author_profile(tb.authors(spark, d), tb.author_links(spark, d), tb.papers(spark, d),
                            USERNAME)
     return out.select("author_id", "username", F.array_join(F.transform(
-        "papers", lambda p: F.concat(p["lingbuzz_id"], F.lit("@"),
+        "papers", lambda p: F.concat(p["archive_id"], F.lit("@"),
                                      p["author_position"].cast("string"))), "|").alias("papers"))
 
 

@@ -121,7 +121,7 @@ def q_search_page(spark, d):
 
 
 @register("search_papers", search_sql(
-    Q_PAGE, "SELECT r.paper_id, sd.lingbuzz_id, sd.title, nullif(sd.abstract, '') AS abstract, "
+    Q_PAGE, "SELECT r.paper_id, sd.archive_id, sd.title, nullif(sd.abstract, '') AS abstract, "
     f"round(r.rank, {RANK_DIGITS}) AS rank, (SELECT CAST(count(*) AS BIGINT) FROM m) AS total "
     "FROM ranked r JOIN sd ON sd.paper_id = r.paper_id "
     f"ORDER BY round(r.rank, {RANK_DIGITS}), r.paper_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}"))

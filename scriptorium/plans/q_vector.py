@@ -59,7 +59,7 @@ def vector_index(spark, d):
     docs = tb.docs(spark, d).select(F.col("paper_id").alias("vec_id"), "paper_title")
     return (e.join(docs, "vec_id", "left")
             .select(pad_id("vec_id").alias("id"), F.col("embedding").alias("vec"),
-                    F.struct(pad_id("vec_id").alias("lingbuzz_id"), F.col("paper_title").alias("title"),
+                    F.struct(pad_id("vec_id").alias("archive_id"), F.col("paper_title").alias("title"),
                              F.col("vec_id").alias("paper_id")).alias("metadata")))
 
 
@@ -69,24 +69,24 @@ PAD = ("CASE WHEN length(CAST(vec_id AS VARCHAR)) >= 6 THEN CAST(vec_id AS VARCH
 
 @register("semantic_search", with_ctes(DOCS_SQL) + f"""
 , top AS (SELECT vec_id, {COS_SQL} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {K})
-SELECT t.score, {PAD.replace('vec_id', 't.vec_id')} AS lingbuzz_id, d.paper_title AS title,
+SELECT t.score, {PAD.replace('vec_id', 't.vec_id')} AS archive_id, d.paper_title AS title,
        d.paper_id, d.abstract
 FROM top t LEFT JOIN docs d ON d.paper_id = t.vec_id""")
 def q_semantic_search(spark, d):
-    details = tb.docs(spark, d).select("lingbuzz_id", "paper_id", "abstract")
+    details = tb.docs(spark, d).select("archive_id", "paper_id", "abstract")
     out = VV.semantic_search(vector_index(spark, d), _query_vec(spark, d), details, K, DIGITS)
-    return out.select("score", "lingbuzz_id", "title", "paper_id", "abstract")
+    return out.select("score", "archive_id", "title", "paper_id", "abstract")
 
 
 @register("hydrate_hits", with_ctes(DOCS_SQL) + f"""
 , top AS (SELECT vec_id, {COS_SQL} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {K})
-SELECT t.vec_id AS paper_id, t.score, d.lingbuzz_id, d.paper_title
+SELECT t.vec_id AS paper_id, t.score, d.archive_id, d.paper_title
 FROM top t LEFT JOIN docs d ON d.paper_id = t.vec_id""")
 def q_hydrate_hits(spark, d):
     e = tb.table(spark, d, "embeddings")
     hits = VV.vector_topk(e.select(F.col("vec_id").alias("paper_id"), F.col("embedding").alias("vec")),
                           _query_vec(spark, d), K, "paper_id", "vec", DIGITS)
-    details = tb.docs(spark, d).select("paper_id", "lingbuzz_id", "paper_title")
+    details = tb.docs(spark, d).select("paper_id", "archive_id", "paper_title")
     return VV.hydrate_hits(hits, details, "paper_id")
 
 
@@ -116,13 +116,13 @@ def _embedded(spark, d):
 
 
 @register("embed_pending", with_ctes(DOCS_SQL, PENDING_SQL) + f"""
-SELECT paper_id, lingbuzz_id,
+SELECT paper_id, archive_id,
        CAST(floor((row_number() OVER (ORDER BY paper_id) - 1) / {VV.EMBED_BATCH}) AS BIGINT) AS batch,
        CAST(NULL AS VARCHAR) AS error, 64 AS dim
 FROM pending ORDER BY paper_id LIMIT {VV.EMBED_MAX}""")
 def q_embed_pending(spark, d):
     r = _embedded(spark, d)
-    return r.select("paper_id", "lingbuzz_id", "batch", "error", F.size("vec").alias("dim"))
+    return r.select("paper_id", "archive_id", "batch", "error", F.size("vec").alias("dim"))
 
 
 @register("embed_summary", with_ctes(DOCS_SQL, PENDING_SQL) + f"""

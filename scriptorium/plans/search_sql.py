@@ -15,7 +15,7 @@ from ..sources.tables import (AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_L
 TOKENS_SQL = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 SEARCH_DOCS_SQL = """sd AS (
-  SELECT d.paper_id, d.lingbuzz_id, d.paper_title AS title, coalesce(d.abstract, '') AS abstract,
+  SELECT d.paper_id, d.archive_id, d.paper_title AS title, coalesce(d.abstract, '') AS abstract,
     coalesce((SELECT string_agg(k.keyword, ' ' ORDER BY k.keyword)
               FROM keyword_links kl JOIN keywords k ON k.keyword_id = kl.keyword_id
               WHERE kl.paper_id = d.paper_id), '') AS keywords,

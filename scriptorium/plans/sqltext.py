@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import CTRL, KEYWORD_RESPLIT, WS_CLASS
+from ..functions.text import (BASE_URL, CTRL, KEYWORD_RESPLIT, PAPER_PATH, REFERENCE_PREFIX,
+                              WS_CLASS)
 
 
 def re2(p: str) -> str:
@@ -32,3 +33,6 @@ def abstract_sql(x: str) -> str:
 
 
 RESPLIT_SQL = re2(KEYWORD_RESPLIT)
+
+PAPER_URL_SQL = "'" + BASE_URL + PAPER_PATH + "'"          # SQL literal: paper URL prefix
+REFERENCE_SQL = "'" + REFERENCE_PREFIX + "'"               # SQL literal: reference prefix

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relations import listing_pages
+from ..functions import text as T
 from . import tables as tb
 
 
@@ -62,26 +63,26 @@ def render_listing_pages(spark, d, order_by=None) -> DataFrame:
     rows = paged.join(cells, "_pk", "left").join(o, "_pk", "left")
     pid = F.col("paper_id")
     file_cell = F.when(F.col("o_orderpriority") == NO_FILE_PRIORITY, F.lit("")).otherwise(
-        F.concat(F.lit('<a href="/lingbuzz/'), pid, F.lit("/current.pdf?_s="),
+        F.concat(F.lit(f'<a href="{T.PAPER_PATH}'), pid, F.lit("/current.pdf?_s="),
                  F.col("listing_key").cast("string"), F.lit('">pdf</a>')))
     tr = F.concat(F.lit("<tr><td>"), F.coalesce("author_cell", F.lit("")), F.lit("</td><td>"),
                   esc(F.col("status")), F.lit("</td><td>"), file_cell,
-                  F.lit('</td><td><a href="/lingbuzz/'), pid, F.lit('">'), esc(F.col("title")),
+                  F.lit(f'</td><td><a href="{T.PAPER_PATH}'), pid, F.lit('">'), esc(F.col("title")),
                   F.lit("</a></td></tr>\n"))
     pages = rows.groupBy("page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_pos", tr.alias("h")))),
                                  lambda s: s["h"]), "").alias("body_rows"),
         F.count("*").alias("n_rows"))
     html = F.concat(
-        F.lit("<html><head><title>lingbuzz - archive of linguistics articles</title></head><body>\n"
-              "<center><b><a href=\"/lingbuzz/_listing\">"), F.col("n_rows").cast("string"),
+        F.lit(f"<html><head><title>{T.HOME_TITLE}</title></head><body>\n"
+              f"<center><b><a href=\"{T.LISTING_PATH}\">"), F.col("n_rows").cast("string"),
         F.lit(" papers</a></b></center>\n"
               "<table><tr><td>banner</td></tr></table>\n"
               "<table><tr><td><a href=\"/\">home</a></td></tr></table>\n"
               "<table><tr><td><table>\n"), F.col("body_rows"),
         F.lit("</table></td></tr></table>\n</body></html>"))
     return pages.select(F.col("page").alias("page_id"),
-                        F.concat(F.lit("https://ling.auf.net/lingbuzz/_listing?page="),
+                        F.concat(F.lit(T.BASE_URL + T.LISTING_PATH + "?page="),
                                  F.col("page").cast("string")).alias("url"), html.alias("html"))
 
 
@@ -110,8 +111,8 @@ def render_detail_pages(spark, d) -> DataFrame:
         F.lit(" times</td></tr>"),
         F.lit("<tr><td>Published in:</td><td>"), esc(F.coalesce("source", F.lit(""))), F.lit("</td></tr>"),
         F.lit("</table>\n<br>\n<br>\n"), esc(F.coalesce("abstract", F.lit(""))), F.lit("\n</body></html>"))
-    return j.select(F.col("paper_id").alias("page_id"), F.col("lingbuzz_id").alias("paper_id"),
-                    F.concat(F.lit("https://ling.auf.net/lingbuzz/"), F.col("lingbuzz_id")).alias("url"),
+    return j.select(F.col("paper_id").alias("page_id"), F.col("archive_id").alias("paper_id"),
+                    F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col("archive_id")).alias("url"),
                     html.alias("html"))
 
 
@@ -130,5 +131,5 @@ def render_profile_pages(spark, d) -> DataFrame:
         F.lit("</td></tr><tr><td class=\"label\">Website</td><td class=\"value\"></td></tr>"
               "</table></body></html>"))
     return a.select(F.col("author_id").alias("page_id"),
-                    F.concat(F.lit("https://ling.auf.net/lingbuzz/_person/"), F.col("username"))
+                    F.concat(F.lit(T.BASE_URL + T.PAPER_PATH.rstrip("/") + T.PERSON_PATH), F.col("username"))
                     .alias("url"), html.alias("html"))

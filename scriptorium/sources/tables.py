@@ -44,7 +44,7 @@ def papers(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(
         F.col("o_orderkey").alias("paper_id"),
-        pad_id("o_orderkey").alias("lingbuzz_id"),
+        pad_id("o_orderkey").alias("archive_id"),
         F.col("o_orderpriority").alias("paper_title"),
         F.col("o_orderstatus").alias("published_in"),
         F.date_format("o_orderdate", "MMMM yyyy").alias("paper_date"),
@@ -58,7 +58,7 @@ PAD_SQL = ("CASE WHEN length(CAST({c} AS VARCHAR)) >= 6 THEN CAST({c} AS VARCHAR
            "ELSE lpad(CAST({c} AS VARCHAR), 6, '0') END")
 
 PAPERS_SQL = f"""papers AS (
-  SELECT o_orderkey AS paper_id, {PAD_SQL.format(c='o_orderkey')} AS lingbuzz_id,
+  SELECT o_orderkey AS paper_id, {PAD_SQL.format(c='o_orderkey')} AS archive_id,
          o_orderpriority AS paper_title, o_orderstatus AS published_in,
          strftime(o_orderdate, '%B %Y') AS paper_date, o_custkey AS downloads,
          o_orderdate AS row_created_at, o_orderdate AS row_updated_at
@@ -70,14 +70,14 @@ def docs(spark, d) -> DataFrame:
     nl = F.instr("text", "\n")
     return t.select(
         F.col("doc_id").alias("paper_id"),
-        pad_id("doc_id").alias("lingbuzz_id"),
+        pad_id("doc_id").alias("archive_id"),
         F.substring_index("text", "\n", 1).alias("paper_title"),
         F.when(nl > 0, F.expr("substring(text, instr(text, '\\n') + 1)")).alias("abstract"),
     )
 
 
 DOCS_SQL = f"""docs AS (
-  SELECT doc_id AS paper_id, {PAD_SQL.format(c='doc_id')} AS lingbuzz_id,
+  SELECT doc_id AS paper_id, {PAD_SQL.format(c='doc_id')} AS archive_id,
          split_part(text, chr(10), 1) AS paper_title,
          CASE WHEN strpos(text, chr(10)) > 0
               THEN substr(text, strpos(text, chr(10)) + 1) END AS abstract

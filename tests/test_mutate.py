@@ -12,17 +12,18 @@ NOW = dt.datetime(2026, 1, 1)
 
 
 def test_insert_papers_rejects_duplicates(spark):
-    ex = spark.createDataFrame([(5, "000001")], "paper_id long, lingbuzz_id string")
+    ex = spark.createDataFrame([(5, "000001")], "paper_id long, archive_id string")
     inc = spark.createDataFrame([("000001", "T1", "May 2024", 1), ("000002", "T2", "2024", 2),
                                  ("000002", "T2b", "", 3), ("000003", "T3", "", 4)],
-                                "lingbuzz_id string, title string, date string, seq long")
+                                "archive_id string, title string, date string, seq long")
     ok, bad = M.insert_papers(ex, inc, now=NOW)
-    got = {r.lingbuzz_id: r for r in ok.collect()}
+    got = {r.archive_id: r for r in ok.collect()}
     assert set(got) == {"000002", "000003"}
     assert (got["000002"].paper_id, got["000003"].paper_id) == (6, 7)
     assert (got["000002"].paper_month, got["000002"].paper_year) == ("2024", "")
-    assert got["000002"].paper_reference == "lingbuzz/000002"
-    errs = sorted((r.lingbuzz_id, r.error) for r in bad.collect())
+    from scriptorium.functions.text import REFERENCE_PREFIX
+    assert got["000002"].paper_reference == REFERENCE_PREFIX + "000002"
+    errs = sorted((r.archive_id, r.error) for r in bad.collect())
     assert errs == [("000001", "duplicate key: already stored"),
                     ("000002", "duplicate key: repeated in batch")]
 

@@ -67,7 +67,7 @@ WORDS = st.lists(st.sampled_from(["syntax", "phonology", "the", "of", "cat", "do
 @given(st.lists(WORDS, min_size=1, max_size=12))
 def test_search_total_equals_unpaged_count(spark, docs):
     df = spark.createDataFrame([(i, f"{i:06d}", "", " ".join(w), "", "") for i, w in enumerate(docs)],
-                               "paper_id long, lingbuzz_id string, title string, abstract string, "
+                               "paper_id long, archive_id string, title string, abstract string, "
                                "keywords string, authors string")
     idx = S.build_postings(df)
     q = S.any_of("syntax", S.phrase("the cat"))

@@ -83,7 +83,7 @@ def test_lookups_and_filters(spark):
 
 
 def test_papers_with_authors_keeps_empty(spark):
-    p = spark.createDataFrame([(1, "000001"), (2, "000002")], "paper_id long, lingbuzz_id string")
+    p = spark.createDataFrame([(1, "000001"), (2, "000002")], "paper_id long, archive_id string")
     a = spark.createDataFrame([(7, "A", "B", "ab"), (8, "C", "D", "cd")],
                               "author_id long, first_name string, last_name string, username string")
     l = spark.createDataFrame([(8, 1, 2), (7, 1, 1)], "author_id long, paper_id long, author_position int")

@@ -35,7 +35,7 @@ def test_insert_links_hot_paper(spark):
 def test_hot_term_postings_and_match(spark):
     docs = spark.createDataFrame([(i, f"{i:06d}", "the title", ("the " * (i % 7 + 1)) + f"w{i}", "", "")
                                   for i in range(2000)],
-                                 "paper_id long, lingbuzz_id string, title string, abstract string, "
+                                 "paper_id long, archive_id string, title string, abstract string, "
                                  "keywords string, authors string")
     idx = S.build_postings(docs)
     the = idx.postings.filter("term = 'the'").groupBy("field").agg(F.sum("tf").alias("n")).collect()

@@ -34,7 +34,7 @@ def test_sync_batch_twice_is_idempotent(spark, tmp_root):
     # every inserted paper has its links; ids unique
     p = st2.papers
     assert p.select("paper_id").distinct().count() == n_papers
-    assert p.select("lingbuzz_id").distinct().count() == n_papers
+    assert p.select("archive_id").distinct().count() == n_papers
 
 
 def test_stream_sync_restart(spark, tmp_root):

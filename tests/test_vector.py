@@ -10,7 +10,7 @@ from scriptorium.operators import vector as VV
 
 def pending(spark, n):
     return spark.createDataFrame([(i, f"{i:06d}", f"T{i}", None if i % 2 else f"A{i}") for i in range(1, n + 1)],
-                                 "paper_id long, lingbuzz_id string, paper_title string, abstract string")
+                                 "paper_id long, archive_id string, paper_title string, abstract string")
 
 
 def const_embedder(fail_batches=()):
@@ -93,13 +93,13 @@ def test_batch_topk_equals_single(spark, budget):
 def test_upsert_vectors_and_semantic_search(spark):
     idx = spark.createDataFrame(
         [("000001", [1.0, 0.0], ("000001", "old", 1)), ("000002", [0.0, 1.0], ("000002", "two", 2))],
-        "id string, vec array<double>, metadata struct<lingbuzz_id:string,title:string,paper_id:long>")
+        "id string, vec array<double>, metadata struct<archive_id:string,title:string,paper_id:long>")
     new = spark.createDataFrame([("000001", [0.0, 1.0], ("000001", "new", 1))], idx.schema)
     idx2 = VV.upsert_vectors(idx, new)
     assert {r.id: r.metadata.title for r in idx2.collect()} == {"000001": "new", "000002": "two"}
-    details = spark.createDataFrame([("000002", "Paper Two")], "lingbuzz_id string, paper_title string")
+    details = spark.createDataFrame([("000002", "Paper Two")], "archive_id string, paper_title string")
     hits = VV.semantic_search(idx2, [0.0, 1.0], details, 10).collect()
-    assert [h.lingbuzz_id for h in hits] == ["000001", "000002"]
+    assert [h.archive_id for h in hits] == ["000001", "000002"]
     assert hits[0].paper_title is None and hits[1].paper_title == "Paper Two"
 
 
@@ -108,9 +108,9 @@ def test_embed_job_marks_exactly_embedded(spark):
     now = dt.datetime(2026, 1, 1)
     papers = spark.createDataFrame(
         [(10, "000010", "T10", None, None), (20, "000020", "T20", "A", None), (30, "000030", "T30", "B", now)],
-        "paper_id long, lingbuzz_id string, paper_title string, abstract string, embedded_at timestamp_ntz")
+        "paper_id long, archive_id string, paper_title string, abstract string, embedded_at timestamp_ntz")
     index = spark.createDataFrame([], "id string, vec array<float>, "
-                                      "metadata struct<lingbuzz_id:string,title:string,paper_id:long>")
+                                      "metadata struct<archive_id:string,title:string,paper_id:long>")
     emb = VV.hash_embedder(8)
     idx2, papers2, summ, _ = VV.embed_job(papers.filter("embedded_at IS NULL").unionByName(
         papers.filter("embedded_at IS NOT NULL")), index, emb, now)
