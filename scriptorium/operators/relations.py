@@ -44,10 +44,33 @@ def dense_index(df: DataFrame, order_by: list, name: str = "idx") -> DataFrame:
             .drop("_pid", "_rn", "_off"))
 
 
-def group_positions(df: DataFrame, group: str, order_cols: list[str], name: str = "pos") -> DataFrame:
+HOT_GROUP_ROWS = 1_000_000      # groups above this many rows are split across tasks
+
+
+def group_positions(df: DataFrame, group: str, order_cols: list[str], name: str = "pos",
+                    hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """1-based position of each row inside its group, in ``order_cols`` order
     (``group`` + ``order_cols`` must be unique) - skew-safe.
 
+    Groups are split by size first (a partial-aggregated count per group):
+    ordinary groups (at most ``hot_rows`` rows) take one plain window, whose
+    task never holds more than ``hot_rows`` rows of a group; hot groups - at
+    most rows / ``hot_rows`` of them, so their key set is broadcast with a
+    proven bound - take :func:`_spread_positions`.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("_gn"))
+    hot = sizes.filter(F.col("_gn") > hot_rows).select(group, F.lit(True).alias("_hot"))
+    tagged = df.join(F.broadcast(hot), group, "left")
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
+    warm = tagged.filter(F.col("_hot")).drop("_hot")
+    w = Window.partitionBy(group).orderBy(*order_cols)
+    cold = cold.withColumn(name, F.row_number().over(w).cast("int"))
+    return cold.unionByName(_spread_positions(warm, group, order_cols, name))
+
+
+def _spread_positions(df: DataFrame, group: str, order_cols: list[str], name: str) -> DataFrame:
+    """Positions for hot groups.
+
     Range-sort on (group, order): a group holding a third of all rows is
     spread over several partitions.  Rows are numbered inside each
     (partition, group) piece; only the *first* group of a partition can

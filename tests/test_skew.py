@@ -50,7 +50,9 @@ def test_group_positions_hot_group_matches_window(spark):
     n = 20000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("g"),
                                (F.col("id") * 7919 % n).alias("o")).repartition(6)
-    got = {(r.g, r.o): r.pos for r in R.group_positions(df, "g", ["o"], "pos").collect()}
+    got = {(r.g, r.o): r.pos for r in R.group_positions(df, "g", ["o"], "pos", hot_rows=1000).collect()}
+    got_cold = {(r.g, r.o): r.pos for r in R.group_positions(df, "g", ["o"], "pos").collect()}
+    assert got_cold == got
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     want = {(r.g, r.o): r.pos for r in ref.collect()}
     assert got == want
