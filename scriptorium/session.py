@@ -27,7 +27,9 @@ def get_spark(master: str | None = None, app: str = "scriptorium",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.parquet.filterPushdown", "true"))
+         .config("spark.sql.parquet.filterPushdown", "true")
+         # reliable checkpoints are removed once their data is no longer referenced
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
