@@ -307,7 +307,7 @@ def write_index(index: SearchIndex, path: str, n_buckets: int = 64) -> SearchInd
     # range partitioning on (bucket, term, paper) splits a hot term's postings
     # over several files instead of one task per bucket
     (index.postings.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
-     .repartitionByRange(n_buckets * 4, "bucket", "term", "paper_id")
+     .repartitionByRange("bucket", "term", "paper_id")      # count: shuffle partitions, AQE-coalesced
      .sortWithinPartitions("term", "paper_id")
      .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
     index.doclen.write.mode("errorifexists").parquet(f"{path}/doclen")
