@@ -78,3 +78,13 @@ def test_load_papers_json_array_missing_and_malformed(spark, tmp_root):
         f.write('[{"id": "000001", "title": ')
     with pytest.raises(JS.PapersLoadError):
         JS.load_papers_json(spark, bad)
+
+
+def test_run_log_has_timing(spark, tmp_root):
+    d = SF_SMALL
+    pages = H.render_listing_pages(spark, d)
+    pages.write.parquet(f"{tmp_root}/drops/d=0")
+    ST.stream_sync(spark, f"{tmp_root}/drops", H.render_detail_pages(spark, d), f"{tmp_root}/tables",
+                   f"{tmp_root}/ckpt", QJ.held_state(spark, d), None, NOW)
+    r = M.read_current(spark, f"{tmp_root}/tables", ST.RUN_LOG).first()
+    assert r.finished_at >= r.started_at and r.duration_ms >= 0 and r.success
