@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-SLICE_BYTES = 4 << 20       # numpy work is done on runs of whole texts of about this size
+SLICE_BYTES = 1 << 20       # numpy work is done on runs of whole texts, or of words, of about this size
 HOT_KEYS = 1000             # a join treats at most this many keys as hot (see join_back)
 HOT_SALTS = 64
 NULL_ID = -(1 << 63)        # stands for a null id inside jobs; it sorts below all ids
@@ -185,15 +185,21 @@ def words(b: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray,
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    total = int(lens.sum())
-    firsts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    place = np.arange(total, dtype=np.int64) - np.repeat(firsts, lens)
-    keys = _place_keys(1 << max(6, int(lens.max() - 1).bit_length()))
-    v = _BYTE_KEYS[b[place + np.repeat(starts, lens)]] * keys[place]
-    return mix(np.add.reduceat(v, firsts) + lens.astype(np.uint64))
+    total = np.cumsum(lens)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):      # as many words at a time as fill a slice
+        done = total[i] - lens[i]
+        j = max(i + 1, int(np.searchsorted(total, done + SLICE_BYTES, "right")))
+        n = lens[i:j]
+        firsts = total[i:j] - n - done
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(firsts, n)
+        keys = _place_keys(1 << max(6, int(n.max() - 1).bit_length()))
+        v = _BYTE_KEYS[b[place + np.repeat(starts[i:j], n)]] * keys[place]
+        out[i:j] = mix(np.add.reduceat(v, firsts) + n.astype(np.uint64))
+        i = j
+    return out
 
 
 def shingle_hashes(w: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

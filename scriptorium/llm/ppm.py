@@ -41,7 +41,7 @@ from .common import (SPACES, fold_case, is_in_fold, materialize, mix, pack, pack
 
 ORDER = 4
 CONTEXTS = 8192
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 END = mix(np.array([0x656E64], np.uint64))[0]       # the end token's hash
 
 
