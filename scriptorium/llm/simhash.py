@@ -35,9 +35,13 @@ _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def term_hashes(text: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the text's shingles; empty for a text without words."""
-    w = F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+def text_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+
+
+def term_hashes(w: Column, size: int = SHINGLE) -> Column:
+    """Hashes of the shingles of a column of words.  Pass a column, not an
+    expression: it is looked up once per shingle."""
     h = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, size)]))
     return F.slice(h, 1, F.greatest(F.least(F.size(w), F.lit(1)), F.size(w) - (size - 1)))
 
@@ -132,7 +136,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")),
                                    F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x")))
     own = ["rng", "wrap", "id", "tie", "ghost", "doc_id", "row", "n_chars", "edited_sha256"]
-    terms = d.select(*own, F.col("x.which").alias("which"), F.explode_outer(term_hashes(F.col("x.t"), size)).alias("h"))
+    terms = (d.select(*own, F.col("x.which").alias("which"), text_words(F.col("x.t")).alias("words"))
+             .select(*own, "which", F.explode_outer(term_hashes(F.col("words"), size)).alias("h")))
     votes = terms.groupBy(*own, "which").agg(F.count("h").alias("n"), *_votes(F.col("h")))
     fps = votes.select(*own, "which", _signs().alias("fp"))
     both = fps.groupBy(*own).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"),
