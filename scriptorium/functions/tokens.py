@@ -1,24 +1,48 @@
 """Tokenizer for the full-text index.
 
-Tokens are maximal runs of letters/digits, lower-cased (``unicode61``-style
-splitting).  Optional diacritic folding and Porter stemming are applied to the
-*distinct vocabulary* only (a pandas UDF over a few thousand to a few million
-distinct terms), then joined back - never per token occurrence.
+Tokens are maximal runs of letters, digits and private-use characters, with
+the combining marks that follow them (``unicode61`` classes), lower-cased.
+Optional diacritic folding and Porter stemming are applied to the token arrays
+in Arrow batches, each distinct token once per task: no join on the term, so
+no task gathers a frequent one.
 """
 
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import TOKEN_SEP
+#: A token: letters, digits and private-use characters; marks continue it.
+TOKEN_PATTERN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"
 
 
-def token_array(c: Column) -> Column:
-    """array<string> of tokens (empty strings from leading/trailing separators dropped)."""
-    return F.filter(F.split(F.lower(c), TOKEN_SEP, -1), lambda x: x != "")
+def token_array(c: Column, fold: bool = False, stem: bool = False) -> Column:
+    """array<string> of tokens, folded and stemmed if asked for."""
+    toks = F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
+    return _normalizer(fold, stem)(toks) if fold or stem else toks
+
+
+def normalize_token(t: str, fold: bool, stem: bool) -> str:
+    if fold:
+        t = fold_diacritics(t)
+    return porter_stem(t) if stem else t
+
+
+def _normalizer(fold: bool, stem: bool):
+    import pandas as pd
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def norm(s: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(t):
+            if t not in known:
+                known[t] = normalize_token(t, fold, stem)
+            return known[t]
+        return s.map(lambda ts: None if ts is None else [one(t) for t in ts])
+    return norm
 
 
 def fold_diacritics(s: str) -> str:
@@ -136,24 +160,3 @@ def porter_stem(w: str) -> str:
     if _m(w) > 1 and _double_c(w) and w.endswith("l"):
         w = w[:-1]
     return w
-
-
-def normalize_vocabulary(rows: DataFrame, col: str, fold: bool = True,
-                         stem: bool = True) -> DataFrame:
-    """Map ``col`` through fold/stem computed once per distinct term."""
-    import pandas as pd
-
-    @F.pandas_udf(T.StringType())
-    def _norm(s: pd.Series) -> pd.Series:
-        def one(t):
-            if fold:
-                t = fold_diacritics(t)
-            if stem:
-                t = porter_stem(t)
-            return t
-        return s.map(one)
-
-    vocab = rows.select(F.col(col).alias("_raw")).distinct() \
-                .withColumn("_norm", _norm(F.col("_raw")))
-    return (rows.join(vocab, rows[col] == vocab["_raw"])
-            .drop(col, "_raw").withColumnRenamed("_norm", col))

@@ -48,16 +48,19 @@ class Node:
     def text(self) -> str:
         if self.tag == "#text":
             return self.data
-        if self.tag == "#comment":
-            return ""
-        return "".join(c.text() for c in self.children)
+        return "".join(n.data for n in self.nodes() if n.tag == "#text")
+
+    def nodes(self):
+        """Descendants in document order; nesting may be of any depth."""
+        todo = self.children[::-1]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(reversed(n.children))
 
     def elements(self):
         """Descendant elements in document order."""
-        for c in self.children:
-            if c.tag not in ("#text", "#comment"):
-                yield c
-                yield from c.elements()
+        return (n for n in self.nodes() if n.tag not in ("#text", "#comment"))
 
     def find(self, tag):
         return next((e for e in self.elements() if e.tag == tag), None)
@@ -161,16 +164,12 @@ def center_lines(doc: Node) -> list[str]:
         return []
     lines, cur = [], []
 
-    def walk(n):
-        for ch in n.children:
-            if ch.tag == "#text":
-                cur.append(ch.data)
-            elif ch.tag == "br":
-                lines.append("".join(cur))
-                cur.clear()
-            elif ch.tag != "#comment":
-                walk(ch)
-    walk(c)
+    for n in c.nodes():
+        if n.tag == "#text":
+            cur.append(n.data)
+        elif n.tag == "br":
+            lines.append("".join(cur))
+            cur.clear()
     lines.append("".join(cur))
     return [x for x in (_trim(s) for s in lines) if x]
 
@@ -265,7 +264,7 @@ def profile_values(doc: Node) -> list:
 
 
 # ------------------------------------------------------- Spark jobs ---------
-DETAIL_RAW_SCHEMA = ("page_id long, page_title string, lines array<string>, "
+DETAIL_RAW_SCHEMA = ("page_id long, paper_id string, page_title string, lines array<string>, "
                      "kv map<string,string>, raw_abstract string, error string")
 LISTING_RAW_SCHEMA = ("page_id long, row_no int, n_cells int, "
                       "author_links array<struct<href:string,text:string>>, status_text string, "
@@ -277,19 +276,21 @@ FRONT_RAW_SCHEMA = "page_id long, count_text string, hrefs array<string>, error
 def _detail_batches(it):
     for pdf in it:
         out = []
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
+        for pid, key, html in zip(pdf["page_id"], pdf["paper_id"], pdf["html"]):
             try:
                 doc = parse_html(html)
-                out.append((pid, page_title(doc), center_lines(doc), kv_table(doc),
+                out.append((pid, key, page_title(doc), center_lines(doc), kv_table(doc),
                             raw_abstract(doc), None))
             except Exception as e:  # noqa: BLE001 - a bad page is data, not a crash
-                out.append((pid, None, None, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=["page_id", "page_title", "lines", "kv", "raw_abstract",
+                out.append((pid, key, None, None, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(out, columns=["page_id", "paper_id", "page_title", "lines", "kv", "raw_abstract",
                                          "error"])
 
 
-def extract_detail_raw(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "html").mapInPandas(_detail_batches, DETAIL_RAW_SCHEMA)
+def extract_detail_raw(pages: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Raw pieces of each page; ``id_col`` rides along as ``paper_id``."""
+    key = F.col(id_col) if id_col else F.lit(None)
+    return pages.select("page_id", key.cast("string").alias("paper_id"), "html").mapInPandas(_detail_batches, DETAIL_RAW_SCHEMA)
 
 
 def _listing_batches(legacy: bool):
@@ -409,28 +410,30 @@ def parse_paper_pages(pages: DataFrame, id_col: str = "paper_id") -> tuple[DataF
     """Detail pages -> (valid records, quarantine).
 
     ``pages`` has page_id, ``id_col`` (six-digit text id) and html.  Home
-    page title or missing header -> dropped (no paper); failed validation
-    (H16) -> quarantine with ``violations``.
+    page title or missing header -> dropped (no paper); a page that can't be
+    parsed (``parse: ...``) or fails validation (H16) -> quarantine with
+    ``violations``.
     """
-    raw = extract_detail_raw(pages).join(pages.select("page_id", id_col), "page_id")
-    h = parse_header(raw, "lines")
+    h = parse_header(extract_detail_raw(pages, id_col), "lines")
     kv = F.col("kv")
     kw_raw = T.normalize_text(T.first_present(kv, T.KEYWORD_KEYS))
     raw_abs = F.coalesce("raw_abstract", F.lit(""))
-    rec = (h.filter(F.col("error").isNull())
-           .filter(F.coalesce(F.col("page_title"), F.lit("")) != T.HOME_TITLE)
-           .filter(F.col("title").isNotNull())
-           .select(F.col("page_id"), F.col(id_col).alias("archive_id"), "title", "authors", "date",
+    rec = (h.filter(F.col("error").isNotNull() | (
+                (F.coalesce(F.col("page_title"), F.lit("")) != T.HOME_TITLE) & F.col("title").isNotNull()))
+           .select(F.col("page_id"), "error", F.col("paper_id").alias("archive_id"), "title", "authors", "date",
                    T.normalize_text(T.first_present(kv, T.PUBLISHED_KEYS)).alias("published_in"),
                    kw_raw.alias("keywords_raw"),
                    T.split_keywords(kw_raw).alias("keywords"),
                    F.when(raw_abs.startswith("Format:"), F.lit(""))
                    .otherwise(T.parse_abstract(raw_abs)).alias("abstract"),
                    T.first_digits_int(T.first_present(kv, T.DOWNLOAD_KEYS)).alias("downloads"),
-                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col(id_col),
+                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col("paper_id"),
                             F.lit("/current.pdf")).alias("download_url"),
-                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col(id_col)).alias("paper_url")))
-    return V.split_valid(rec, V.parsed_paper_rules())
+                   F.concat(F.lit(T.BASE_URL + T.PAPER_PATH), F.col("paper_id")).alias("paper_url")))
+    checked = V.with_violations(rec, V.parsed_paper_rules()).withColumn("violations", F.when(
+        F.col("error").isNull(), F.col("violations")).otherwise(F.array(F.concat(F.lit("parse: "), "error"))))
+    return (checked.filter(F.size("violations") == 0).drop("violations", "error"),
+            checked.filter(F.size("violations") > 0).drop("error"))
 
 
 def parse_author_profiles(pages: DataFrame) -> DataFrame:

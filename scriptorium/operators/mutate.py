@@ -1,9 +1,10 @@
 """Set-wise mutations of the archive tables.
 
-Tables are immutable Parquet versions, so every mutation is a pure
-function ``(current tables, changes) -> (next version, rejects)``; the
-writer (``write_version``) stores the result as version n+1 and flips a
-pointer.  Nothing is read and overwritten in place.
+Every mutation is a pure function ``(current tables, changes) -> (new rows or
+next table, rejects)``.  Stored tables are Parquet partitioned by the run that
+added the rows; a run's rows count once its one log row is written
+(``write_run``, ``commit_run``, ``read_runs``).  Nothing is read and
+overwritten in place, and a replayed run overwrites only its own rows.
 
 Row-at-a-time inserts with per-row lookups become joins:
 
@@ -123,13 +124,19 @@ class WriteModeError(ValueError):
 
 def insert_into(existing: DataFrame, incoming: DataFrame, key: list[str],
                 on_conflict: str | None = None, update_cols: list[str] | None = None,
-                returning: bool = False):
+                returning: bool = False, order_cols: list[str] | None = None, id_col: str | None = None):
     """The four write modes of the archive's insert helper, set-wise.
 
-    * ``on_conflict=None``: plain insert; a key already present is an error
-      row (returned in ``rejects``), not an abort of the batch.
+    A key repeated inside ``incoming`` counts once: its first row by
+    ``order_cols`` (default: the remaining columns, in order) takes part, the
+    others conflict with it.
+
+    * ``on_conflict=None``: plain insert; a row whose key is held or repeated
+      is an error row (returned in ``rejects``), not an abort of the batch.
     * ``"nothing"``: ON CONFLICT DO NOTHING - conflicting rows are skipped.
-    * ``"update"``: ON CONFLICT DO UPDATE SET ``update_cols`` (upsert).
+    * ``"update"``: ON CONFLICT DO UPDATE SET ``update_cols`` (upsert; default:
+      all but the key and the held table's surrogate id ``id_col``).  Rows
+      repeated in the batch go to ``rejects``.
     * ``returning``: also return the affected rows.  Combining it with
       ``"nothing"`` is rejected, as in the archive (skipped rows return
       nothing to report).
@@ -139,19 +146,23 @@ def insert_into(existing: DataFrame, incoming: DataFrame, key: list[str],
         raise WriteModeError("returning cannot be combined with on-conflict-do-nothing")
     if on_conflict not in (None, "nothing", "update"):
         raise WriteModeError(f"unknown conflict mode {on_conflict!r}")
+    order = order_cols or [c for c in incoming.columns if c not in key] or key
+    once, again = split_first_per_key(incoming, key, order)
+    again = again.withColumn("error", F.lit("UNIQUE constraint failed: repeated in batch"))
     known = existing.select(*key).distinct()
-    fresh = incoming.join(known, key, "left_anti")
-    clash = incoming.join(known, key, "left_semi")
-    empty = clash.limit(0).withColumn("error", F.lit(None).cast("string"))
+    fresh = once.join(known, key, "left_anti")
+    clash = once.join(known, key, "left_semi")
+    empty = again.limit(0)
     if on_conflict == "update":
-        nxt = upsert(existing, incoming, key, update_cols or [c for c in incoming.columns if c not in key])
-        affected, rejects = incoming, empty
+        cols = update_cols or [c for c in incoming.columns if c not in key and c != id_col]
+        nxt, affected, rejects = upsert(existing, once, key, cols), once, again
     elif on_conflict == "nothing":
         nxt = existing.unionByName(fresh, allowMissingColumns=True)
         affected, rejects = fresh, empty
     else:
         nxt = existing.unionByName(fresh, allowMissingColumns=True)
-        affected, rejects = fresh, clash.withColumn("error", F.lit("UNIQUE constraint failed"))
+        affected = fresh
+        rejects = clash.withColumn("error", F.lit("UNIQUE constraint failed")).unionByName(again)
     return nxt, (affected if returning else None), rejects
 
 
@@ -245,44 +256,72 @@ def fold_sync_runs(log: DataFrame) -> DataFrame:
                     F.col("f.error_message").alias("error_message"))
 
 
-# ------------------------------------------------------------- versions ---
-def write_version(df: DataFrame, root: str, name: str) -> str:
-    """Write ``df`` as the next version of table ``name`` under ``root``.
+# ----------------------------------------------------------------- runs ---
+RUN_LOG = "sync_runs"
+BASE_RUN = "base"
 
-    Data goes to ``<root>/<name>/v<N>``; only after that write succeeded is
-    one marker row appended to ``<root>/<name>/_versions`` (append-only, no
-    rename, no delete).  Readers take the highest committed version, so a
-    failed or half-written version is never visible.  ``root`` must be a
-    shared folder (a table location or the session's checkpoint folder).
-    """
-    spark = df.sparkSession
-    base = f"{root.rstrip('/')}/{name}"
-    cur = current_version(spark, root, name)
-    nxt = 0 if cur is None else cur + 1
-    path = f"{base}/v{nxt:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(nxt, path)], "version long, path string").coalesce(1) \
-        .write.mode("append").parquet(f"{base}/_versions")
-    return path
 
+def write_run(df: DataFrame, root: str, name: str, run: str) -> None:
+    """Write the rows a run adds to table ``name``; a replay of the run
+    replaces exactly these.  ``root`` must be a shared folder."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/run={run}")
 
-def current_version(spark, root: str, name: str) -> int | None:
-    base = f"{root.rstrip('/')}/{name}"
-    try:
-        v = spark.read.parquet(f"{base}/_versions").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - no version committed yet
+
+def commit_run(spark, root: str, run: str, facts: DataFrame | None = None) -> None:
+    """Make a run's rows count: one log row (run, seq, facts), written last
+    and in one file.  seq numbers the runs in the order of their commits."""
+    done = committed_runs(spark, root)
+    seq = done[run] if run in done else 1 + max(done.values(), default=-1)
+    row = facts if facts is not None else spark.range(1).select()
+    row = row.withColumn("run_id", F.lit(run)).withColumn("seq", F.lit(seq).cast("long"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{RUN_LOG}/run={run}")
+
+
+def run_log_table(spark, root: str) -> DataFrame | None:
+    """The log rows of committed runs, or None before the first."""
+    path = f"{root.rstrip('/')}/{RUN_LOG}"
+    if not _exists(spark, path):
         return None
-    return None if v is None else int(v)
+    return spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path).drop("run")
+
 
+def committed_runs(spark, root: str) -> dict[str, int]:
+    """{run: seq} - one small row per run."""
+    log = run_log_table(spark, root)
+    return {} if log is None else {r["run_id"]: r["seq"] for r in log.select("run_id", "seq").collect()}
 
-def read_current(spark, root: str, name: str) -> DataFrame | None:
-    v = current_version(spark, root, name)
-    if v is None:
+
+def read_runs(spark, root: str, name: str, with_seq: bool = False) -> DataFrame | None:
+    """The table: rows of its committed runs (``with_seq``: and the seq of
+    the run that added them); None when no run is committed.  Only the
+    committed runs' folders are listed, so rows of an unfinished run are
+    never seen."""
+    base = f"{root.rstrip('/')}/{name}"
+    done = committed_runs(spark, root)
+    if not done:
         return None
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}/v{v:06d}")
+    paths = [f"{base}/run={r}" for r in done]
+    schema = spark.read.parquet(paths[0]).schema
+    rows = spark.read.schema(schema.add("run", "string")).option("basePath", base).parquet(*paths)
+    if with_seq:
+        seq = spark.createDataFrame(list(done.items()), "run string, seq long")
+        rows = rows.join(F.broadcast(seq), "run")
+    return rows.drop("run")
+
+
+def _exists(spark, path: str) -> bool:
+    """Whether a Parquet folder with data is there, by Spark's own listing."""
+    from pyspark.errors import AnalysisException
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                    .option("pathGlobFilter", "*.parquet").load(path).limit(1).select("path").count())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def tables_root(spark) -> str:
-    """Default shared root for table versions: under the checkpoint folder."""
+    """Default shared root for stored tables: under the checkpoint folder."""
     from ..session import checkpoint_dir
     return checkpoint_dir(spark).rstrip("/") + "/tables"

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FRESHLY_CHANGED
+from ..session import write_once
 
 ISIN_MAX = 10_000          # above this an id list is joined, not inlined
 
@@ -26,22 +27,24 @@ ISIN_MAX = 10_000          # above this an id list is joined, not inlined
 def dense_index(df: DataFrame, order_by: list, name: str = "idx") -> DataFrame:
     """0-based dense row number in a total order, computed distributed.
 
-    Range-partition + sort, number rows inside each partition, add the row
-    count of all earlier partitions.  The only driver-visible data is one
-    count per partition.  ``order_by`` must be a total order (end it with a
-    unique key).
+    Rows are range-sorted and written once with their (partition, row) place;
+    numbers and per-partition counts both come from that one written table,
+    so they agree whatever a re-run of the sort would sample.  The number is
+    the place in the partition plus the rows of all earlier partitions (one
+    row per partition, broadcast).  ``order_by`` must be a total order (end it
+    with a unique key).
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    s = df.sort(*cols).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*cols)
-    s = s.withColumn("_rn", F.row_number().over(w) - 1)
-    counts = s.groupBy("_pid").agg(F.count("*").alias("_n"))
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    return (s.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_pid", "_rn", "_off"))
+    # monotonically_increasing_id: partition number in the upper 31 bits, row number below
+    s = write_once(df.sort(*cols).withColumn("_place", F.monotonically_increasing_id()), "sorted-rows")
+    part = F.shiftrightunsigned("_place", 33)
+    row = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = s.groupBy(part.alias("_pid")).agg((F.max(row) + 1).alias("_n"))
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (s.withColumn("_pid", part).join(F.broadcast(offs), "_pid")
+            .withColumn(name, (F.col("_off") + row).cast("long"))
+            .drop("_pid", "_place", "_off"))
 
 
 HOT_GROUP_ROWS = 1_000_000      # groups above this many rows are split across tasks
@@ -69,31 +72,13 @@ def group_positions(df: DataFrame, group: str, order_cols: list[str], name: str
 
 
 def _spread_positions(df: DataFrame, group: str, order_cols: list[str], name: str) -> DataFrame:
-    """Positions for hot groups.
-
-    Range-sort on (group, order): a group holding a third of all rows is
-    spread over several partitions.  Rows are numbered inside each
-    (partition, group) piece; only the *first* group of a partition can
-    continue from earlier partitions, so the offsets form a table of at most
-    one row per partition (broadcast with a proven bound).  Cost: a range
-    shuffle plus a hash shuffle on (partition, group), against one hash
-    shuffle for a plain window - paid so that no task holds a hot group.
-    """
-    cols = [group, *order_cols]
-    s = df.sort(*cols).withColumn("_pid", F.spark_partition_id())
-    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order_cols)))
-    edges = s.groupBy("_pid").agg(F.min(group).alias("_first"), F.max(group).alias("_last"),
-                                  F.max_by("_rn", F.struct(F.col(group), F.col("_rn"))).alias("_last_n"))
-    # rows of a partition's first group held by earlier partitions (tiny window:
-    # one row per partition)
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.withColumn("_prior", F.collect_list(F.struct("_last", "_last_n")).over(w)).select(
-        "_pid", F.col("_first").alias(group),
-        F.aggregate(F.filter("_prior", lambda e: e["_last"] == F.col("_first")),
-                    F.lit(0).cast("long"), lambda acc, e: acc + e["_last_n"]).alias("_off"))
-    out = s.join(F.broadcast(carry), ["_pid", group], "left")
-    return (out.withColumn(name, (F.coalesce("_off", F.lit(0)) + F.col("_rn")).cast("int"))
-            .drop("_pid", "_rn", "_off"))
+    """Positions for hot groups: rows are numbered densely in (group, order)
+    order, and a group's first number - one row per hot group, broadcast with
+    the bound of :func:`group_positions` - is subtracted."""
+    s = dense_index(df, [group, *order_cols], "_i")
+    first = s.groupBy(group).agg(F.min("_i").alias("_i0"))
+    return (s.join(F.broadcast(first), group)
+            .withColumn(name, (F.col("_i") - F.col("_i0") + 1).cast("int")).drop("_i", "_i0"))
 
 
 def first_per_key(df: DataFrame, key: list[str], order_cols: list[str],
@@ -111,19 +96,20 @@ def first_per_key(df: DataFrame, key: list[str], order_cols: list[str],
 
 def split_first_per_key(df: DataFrame, key: list[str], order_cols: list[str],
                         last: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(first row per key, all other rows); ``order_cols`` unique per key."""
-    first = first_per_key(df, key, order_cols, last)
-    marks = first.select(*key, *[F.col(c).alias(f"_f_{c}") for c in order_cols])
-    same = None
-    for c in order_cols:
-        e = F.col(c).eqNullSafe(F.col(f"_f_{c}"))
-        same = e if same is None else (same & e)
-    rest = df.join(marks, key).filter(~same).drop(*[f"_f_{c}" for c in order_cols])
-    return first, rest
+    """(first row per key, all other rows): together exactly the input rows.
+
+    Rows that tie on ``order_cols`` are told apart by a row number given when
+    they are written once, so repeated rows go to the second frame.
+    """
+    s = write_once(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    chosen = first_per_key(s, key, [*order_cols, "_row"], last)
+    rest = s.join(chosen.select("_row"), "_row", "left_anti")
+    return chosen.drop("_row"), rest.drop("_row")
 
 
 def filter_ids(df: DataFrame, col: str, ids) -> DataFrame:
-    """P5: keep rows whose ``col`` is in ``ids``; an empty list is a no-op.
+    """P5: keep rows whose ``col`` is in ``ids``; an empty list keeps none
+    (an update over no ids touches no row).
 
     ``ids`` may be a Python collection (inlined, pushed to the scan) or a
     DataFrame with one column (semi join; AQE broadcasts it when small).
@@ -133,7 +119,7 @@ def filter_ids(df: DataFrame, col: str, ids) -> DataFrame:
         return df.join(other, col, "left_semi")
     ids = list(dict.fromkeys(ids))
     if not ids:
-        return df
+        return df.limit(0)
     if len(ids) > ISIN_MAX:
         spark = df.sparkSession
         return filter_ids(df, col, spark.createDataFrame([(i,) for i in ids], [col]))
@@ -153,12 +139,12 @@ def scan(df: DataFrame, order_by: str, limit: int | None = None) -> DataFrame:
     return df.orderBy(order_by).limit(limit)
 
 
-def unembedded_papers(papers: DataFrame, limit: int = 500,
+def unembedded_papers(papers: DataFrame, limit: int | None = None,
                       embedded_col: str = "embedded_at") -> DataFrame:
-    """Papers with no embedding yet, four columns, by id, at most ``limit``."""
+    """Papers with no embedding yet, four columns; with a ``limit`` the
+    first so many by id, else all."""
     p = papers.filter(F.col(embedded_col).isNull()) if embedded_col in papers.columns else papers
-    return (p.select("paper_id", "archive_id", "paper_title", "abstract")
-            .orderBy("paper_id").limit(limit))
+    return scan(p.select("paper_id", "archive_id", "paper_title", "abstract"), "paper_id", limit)
 
 
 TIME_COLUMNS = ("row_updated_at", "data_created_at", "data_updated_at")
@@ -347,12 +333,15 @@ def distinct_keywords(keywords: Column) -> Column:
 
 def run_stats(actions: DataFrame, pages: int | Column | None = None,
               failed: Column | None = None) -> DataFrame:
-    """Pages, seen, full scrapes, version updates, skipped, failed."""
+    """Pages, seen, full scrapes, version updates, skipped, failed.
+    ``pages``: the number of fetched pages; by default only pages with rows count."""
     aggs = [F.count("*").alias("seen"),
             F.count_if(F.col("action") == "full-scrape").alias("full_scrapes"),
             F.count_if(F.col("action") == "update-version").alias("version_updates"),
             F.count_if(F.col("action") == "skip").alias("skipped")]
-    if "page" in actions.columns:
+    if pages is not None:
+        aggs.insert(0, F.any_value(F.lit(pages) if isinstance(pages, int) else pages).cast("long").alias("pages"))
+    elif "page" in actions.columns:
         aggs.insert(0, F.countDistinct("page").alias("pages"))
     if "failed" in actions.columns:
         aggs.append(F.count_if(F.col("failed")).alias("failed"))
@@ -389,23 +378,39 @@ def listing_pages(listing: DataFrame, order_by: list, first: int = 30,
                         .otherwise(F.floor((p - first) / size) + 1).cast("long"))
 
 
-def incremental_cutoff(actions: DataFrame, full: bool = False) -> DataFrame:
+def incremental_cutoff(actions: DataFrame, full: bool = False, pages: DataFrame | None = None) -> DataFrame:
     """Keep pages before the first page with no actionable row.
 
     The cutoff page itself counts as fetched and seen but its rows are not
     processed: returned rows carry ``process`` = false for it.  Pages after
-    the cutoff are dropped.  The cutoff is one number (a min over per-page
-    totals) planned as a scalar subquery and applied as a filter.
+    the cutoff are dropped.  ``pages`` lists the fetched pages (column
+    ``page``); one without any row has no actionable row either and stops the
+    run.  The cutoff is one number planned as a scalar subquery.
     """
-    per_page = actions.groupBy("page").agg(
-        F.count_if(F.col("action") != "skip").alias("actionable"))
     if full:
         return actions.withColumn("process", F.lit(True))
-    cutoff = per_page.select(F.min(F.when(F.col("actionable") == 0, F.col("page")))).scalar()
+    cutoff = _cutoff(actions, pages).scalar()
     return (actions.filter(cutoff.isNull() | (F.col("page") <= cutoff))
             .withColumn("process", cutoff.isNull() | (F.col("page") < cutoff)))
 
 
+def _cutoff(actions: DataFrame, pages: DataFrame | None) -> DataFrame:
+    per_page = actions.groupBy("page").agg(F.count_if(F.col("action") != "skip").alias("actionable"))
+    if pages is not None:
+        per_page = pages.select("page").distinct().join(per_page, "page", "left")
+    idle = F.coalesce("actionable", F.lit(0)) == 0
+    return per_page.select(F.min(F.when(idle, F.col("page"))))
+
+
+def fetched_pages(actions: DataFrame, pages: DataFrame, full: bool = False) -> DataFrame:
+    """The pages a run fetches: up to and including the cutoff page."""
+    pages = pages.select("page").distinct()
+    if full:
+        return pages
+    cutoff = _cutoff(actions, pages).scalar()
+    return pages.filter(cutoff.isNull() | (F.col("page") <= cutoff))
+
+
 def batch_assign(df: DataFrame, order_by: list, size: int, name: str = "batch") -> DataFrame:
     """Fixed-size batches in order: batch = floor(index / size)."""
     x = dense_index(df, order_by, "_i")

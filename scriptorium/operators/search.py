@@ -12,8 +12,8 @@ Layout of the index (all DataFrames, written as Parquet by ``write_index``):
 * ``doclen``   - paper_id, n_tokens over all indexed fields.
 
 Queries are structured values (``phrase``, ``prefix``, ``all_of``, ``any_of``,
-``but_not``, ``near``, ``in_field``), not a query string: there is no query
-language parser.  A match is computed with one aggregation per query: each
+``but_not``, ``near``, ``in_field``); a plain string means all of its words
+(``words_query``), and operator syntax in it raises.  A match is computed with one aggregation per query: each
 leaf yields (paper_id, hits), the leaves are pivoted to one row per candidate
 paper, and the boolean expression is a column expression over the hit
 counts.  AND/OR/NOT therefore never join document sets pairwise, and a hot
@@ -22,13 +22,15 @@ term (``the``) only widens a partial aggregation keyed by paper_id.
 
 
 import math
-from dataclasses import dataclass, field as dc_field
+import re
+from dataclasses import dataclass, field as dc_field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import token_array
+from ..session import write_once
+from ..functions.tokens import TOKEN_PATTERN, normalize_token, token_array
 
 FIELDS = ("title", "abstract", "keywords", "authors")
 # Fixed values of the ranking function: Okapi BM25 as computed by SQLite FTS5.
@@ -83,7 +85,7 @@ class Near:
 
 def _split_tokens(text: str) -> tuple[str, ...]:
     import regex
-    return tuple(t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t)
+    return tuple(regex.findall(TOKEN_PATTERN, text.lower()))
 
 
 def phrase(text: str, *, prefix: bool = False, initial: bool = False) -> Phrase:
@@ -127,6 +129,28 @@ def _q(x):
     return phrase(x) if isinstance(x, str) else x
 
 
+_SYNTAX = frozenset('"()*^:+{}')
+
+
+def words_query(text: str):
+    """A plain query string: all of its words, ``OR`` between alternatives, a
+    trailing ``*`` for a prefix.  Any other operator syntax raises - build
+    such queries from the structured parts."""
+    options = []
+    for option in re.split(r"\s+OR\s+", text.strip()):
+        parts = []
+        for word in option.split():
+            if word in ("AND", "OR", "NOT", "NEAR") or _SYNTAX & set(word.removesuffix("*")):
+                if word == "AND" and parts:
+                    continue
+                raise SearchSyntaxError(text, "operator syntax: build the query from its parts")
+            parts.append(phrase(word, prefix=word.endswith("*")))
+        if not parts:
+            raise SearchSyntaxError(text)
+        options.append(parts[0] if len(parts) == 1 else And(tuple(parts)))
+    return options[0] if len(options) == 1 else Or(tuple(options))
+
+
 def in_field(q, fields) -> object:
     """Restrict every leaf of ``q`` to ``fields`` (all / one field name).
 
@@ -244,13 +268,10 @@ def token_rows(docs: DataFrame, fields=FIELDS, fold: bool = False,
     token arrays, then ``posexplode``), so the documents are read once - a
     union of per-field selects would recompute the document plan per field.
     """
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), token_array(F.col(f)).alias("toks"))
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), token_array(F.col(f), fold, stem).alias("toks"))
                           for f in fields])
     out = (docs.select("paper_id", F.inline(per_field))
            .select("paper_id", "field", F.posexplode("toks").alias("pos", "term")))
-    if fold or stem:
-        from ..functions.tokens import normalize_vocabulary
-        out = normalize_vocabulary(out, "term", fold=fold, stem=stem)
     return out
 
 
@@ -312,7 +333,8 @@ def write_index(index: SearchIndex, path: str, n_buckets: int = 64) -> SearchInd
      .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
     index.doclen.write.mode("errorifexists").parquet(f"{path}/doclen")
     dl = spark.read.parquet(f"{path}/doclen")
-    dl.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.lit(n_buckets).alias("n_buckets")) \
+    dl.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.lit(n_buckets).alias("n_buckets"),
+           F.lit(index.fold).alias("fold"), F.lit(index.stem).alias("stem")) \
         .coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
     return read_index(spark, path)
 
@@ -323,7 +345,7 @@ def read_index(spark, path: str) -> SearchIndex:
                        spark.read.parquet(f"{path}/postings"),
                        spark.read.parquet(f"{path}/doclen"),
                        {"n_docs": int(st["n_docs"]), "avgdl": float(st["avgdl"] or 0.0),
-                        "n_buckets": int(st["n_buckets"])})
+                        "n_buckets": int(st["n_buckets"])}, fold=st["fold"], stem=st["stem"])
 
 
 def _scan_terms(index: SearchIndex, p: DataFrame, toks, any_prefix: bool) -> DataFrame:
@@ -386,8 +408,9 @@ def _phrase_starts(p: DataFrame, leaf: Phrase) -> DataFrame:
 
 
 def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
-    """NEAR: an occurrence of every phrase inside one field with at most
-    ``distance`` tokens between them (span minus phrase lengths).
+    """NEAR: an occurrence of every phrase inside one field such that at most
+    ``distance`` tokens stand between the end of any of them and the start of
+    the last.
 
     Occurrences are rows (paper, field, phrase k, start, length); a window
     per (paper, field) ordered by start keeps the latest start of every
@@ -410,17 +433,31 @@ def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = [F.max(F.when(F.col("k") == k, F.col("start"))).over(w) for k in range(n)]
     lens = [len(ph.tokens) for ph in leaf.phrases]
-    ends = [last[k] + F.lit(lens[k] - 1) for k in range(n)]
-    gap = F.greatest(*ends) - F.least(*last) + F.lit(1 - sum(lens))
-    ok = gap <= leaf.distance
+    ok = F.lit(True)
+    for k in range(n):      # the current row is the last phrase
+        ok = ok & (F.col("start") - last[k] - F.lit(lens[k]) <= leaf.distance)
     for c in last:
         ok = ok & c.isNotNull()
     hits = rows.withColumn("ok", ok).filter("ok").select("paper_id", F.lit(1).alias("hits"))
     return hits.select("paper_id", F.lit(i).alias("leaf"), F.col("hits").cast("long"))
 
 
+def normalize_query(q, fold: bool, stem: bool):
+    """The query with its tokens put through the index's rules."""
+    if not (fold or stem):
+        return q
+    if isinstance(q, Phrase):
+        return replace(q, tokens=tuple(normalize_token(t, fold, stem) for t in q.tokens))
+    if isinstance(q, Near):
+        return replace(q, phrases=tuple(normalize_query(p, fold, stem) for p in q.phrases))
+    if isinstance(q, Not):
+        return Not(normalize_query(q.keep, fold, stem), normalize_query(q.drop, fold, stem))
+    return type(q)(tuple(normalize_query(p, fold, stem) for p in q.parts))
+
+
 def match_hits(index: SearchIndex, q) -> tuple[DataFrame, list]:
     """Per candidate paper: hit counts of every leaf (h0..hn) and ``matched``."""
+    q = normalize_query(q, index.fold, index.stem)
     leaves = _leaves(q)
     if not _has_positive(q):
         raise SearchSyntaxError(q, "query needs a positive term")
@@ -484,7 +521,6 @@ def clamp_paging(limit=None, offset=None) -> tuple[int, int]:
             return default
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return int(v) if math.isfinite(v) else default
-        import re
         m = re.match(r"\s*([+-]?\d+)", str(v))
         return int(m.group(1)) if m else default
     lim = parse(limit, DEFAULT_LIMIT)
@@ -515,16 +551,14 @@ def search_papers(index: SearchIndex, query, field: str = "all", limit=None, off
     document join and the snippet runs only on those rows.
     """
     if isinstance(query, str):
-        if not query.strip():
-            raise SearchSyntaxError(query)
-        query = phrase(query.strip())
+        query = words_query(query)
     q = in_field(query, field)
     page = search_page(index, q, limit, offset, round_digits)
     rows = (F.broadcast(page).join(index.docs, "paper_id")
             .select("paper_id", "archive_id", "title",
                     F.nullif(F.col("abstract"), F.lit("")).alias("abstract"), "rank"))
     if with_snippet:
-        rows = rows.withColumn("snippet", snippet_col(F.coalesce("abstract", F.lit("")), q))
+        rows = rows.withColumn("snippet", snippet_col(F.coalesce("abstract", F.lit("")), q, fold=index.fold, stem=index.stem))
     total = match_count(index, q)
     return rows.orderBy("rank", "paper_id"), total
 
@@ -554,7 +588,7 @@ def _window_score(hits, start: int, width: int):
     return score, first, last
 
 
-def snippet_text(text: str, matchers, width: int = SNIPPET_TOKENS) -> str:
+def snippet_text(text: str, matchers, width: int = SNIPPET_TOKENS, fold: bool = False, stem: bool = False) -> str:
     """X7 on one text: the best fragment of ``width`` tokens, hits marked.
 
     Candidates follow the FTS5 rule: for every hit, a window scored by
@@ -565,11 +599,10 @@ def snippet_text(text: str, matchers, width: int = SNIPPET_TOKENS) -> str:
     """
     import regex
     text = text or ""
-    spans = [(m.start(), m.end(), m.group(0).lower())
-             for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+    spans = [(m.start(), m.end(), m.group(0).lower()) for m in regex.finditer(TOKEN_PATTERN, text)]
     if not spans:
         return text
-    toks = [t for _, _, t in spans]
+    toks = [normalize_token(t, fold, stem) for _, _, t in spans]
     ntok = len(toks)
     hit = [False] * ntok
     hits = []                         # (start token, phrase id, length), in text order
@@ -618,13 +651,13 @@ def snippet_text(text: str, matchers, width: int = SNIPPET_TOKENS) -> str:
     return "".join(out)
 
 
-def snippet_col(text_col: Column, q, width: int = SNIPPET_TOKENS) -> Column:
+def snippet_col(text_col: Column, q, width: int = SNIPPET_TOKENS, fold: bool = False, stem: bool = False) -> Column:
     import pandas as pd
-    matchers = _query_matchers(q)
+    matchers = _query_matchers(normalize_query(q, fold, stem))
 
     @F.pandas_udf(T.StringType())
     def _snip(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: snippet_text(t, matchers, width))
+        return s.map(lambda t: snippet_text(t, matchers, width, fold, stem))
     return _snip(text_col)
 
 
@@ -681,7 +714,7 @@ def refresh_search_docs(old_docs: DataFrame, changes: ChangeSet, papers: DataFra
     simply do not come back).  Equals a full rebuild (X10) by construction
     of the affected-id rules; only affected ids are recomputed.
     """
-    aff = affected_papers(changes, keyword_links, author_links)
+    aff = write_once(affected_papers(changes, keyword_links, author_links), "affected-ids")
     keep = old_docs.join(aff, "paper_id", "left_anti")
     p = papers.join(aff, "paper_id", "left_semi")
     fresh = build_search_docs(p, authors, keywords,
@@ -693,11 +726,11 @@ def refresh_search_docs(old_docs: DataFrame, changes: ChangeSet, papers: DataFra
 def refresh_index(index: SearchIndex, new_docs_for_ids: DataFrame, affected: DataFrame) -> SearchIndex:
     """Postings upkeep for a refreshed id set: drop the affected ids' postings
     and append postings of their new documents."""
-    part = build_postings(new_docs_for_ids)
-    post = index.postings.join(affected, "paper_id", "left_anti").unionByName(part.postings)
+    part = build_postings(new_docs_for_ids, fold=index.fold, stem=index.stem)
+    post = index.postings.drop("bucket").join(affected, "paper_id", "left_anti").unionByName(part.postings)
     dl = index.doclen.join(affected, "paper_id", "left_anti").unionByName(part.doclen)
     docs = index.docs.join(affected, "paper_id", "left_anti").unionByName(new_docs_for_ids)
-    return SearchIndex(docs, post, dl)
+    return SearchIndex(docs, post, dl, fold=index.fold, stem=index.stem)
 
 
 def rebuild_search_index(papers, authors, keywords, author_links, keyword_links,

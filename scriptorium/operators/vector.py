@@ -4,18 +4,19 @@
   (``zip_with`` + ``aggregate``, JVM side, codegen'd), then an ordered
   ``limit`` = TakeOrderedAndProject (per-partition heap of k, one merge).
 * Many query vectors (V5): the query block is broadcast *after a size
-  check* and each corpus partition is scored against it with one numpy
-  matrix product in ``mapInPandas``; every partition emits only its k best
-  per query, and the final top-k per query ranks at most k x partitions
-  rows.  Query blocks larger than the broadcast budget are processed in
+  check* and each corpus partition is scored against it tile by tile (a
+  bounded block of rows x queries) in ``mapInPandas``; a partition keeps a
+  running top-k per query and emits it once, so the final top-k per query
+  ranks at most k x partitions rows.  Query blocks larger than the broadcast budget are processed in
   chunks - one pass over the corpus per chunk - never dropped.
-* Embedding (V1): at most ``limit`` pending papers, fixed-size batches in
-  id order (W3); each batch is one ``applyInPandas`` group of at most
+* Embedding (V1): all pending papers (or the first ``limit``), fixed-size
+  batches in id order (W3); each batch is one ``applyInPandas`` group of at most
   ``batch_size`` rows calling a caller-supplied embed function.  A failing
   batch is recorded and the other batches continue.
 """
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -25,38 +26,41 @@ from pyspark.sql import functions as F
 from ..functions.text import embedding_text
 from .relations import batch_assign, unembedded_papers
 
-# Fixed limits of the semantic endpoints and the embed job.
+# Fixed limits of the semantic endpoint's request argument.
 DEFAULT_K, MIN_K, MAX_K = 10, 1, 50
-EMBED_MAX, EMBED_BATCH = 500, 100
+EMBED_BATCH = 100
 BROADCAST_BUDGET = 64 * 1024 * 1024       # bytes of query vectors per pass
+TILE_CELLS = 4 * 1024 * 1024              # scores held at once in a task (8 bytes each)
 
 
 def clamp_k(k) -> int:
+    """The request argument rule - leading integer of the text, default
+    10, within [1, 50].  Operators take any k; callers clamp requests."""
     if k is None:
         return DEFAULT_K
-    try:
-        v = int(str(k).strip().split()[0]) if not isinstance(k, int) else k
-    except (ValueError, IndexError):
-        v = DEFAULT_K
-    return min(max(v, MIN_K), MAX_K)
+    m = re.match(r"\s*[+-]?\d+", str(k))
+    return min(max(int(m.group()) if m else DEFAULT_K, MIN_K), MAX_K)
 
 
 def cosine_col(vec: Column, q) -> Column:
-    """cos(vec, q) with built-ins; q is a Python list of floats."""
+    """cos(vec, q) with built-ins; q is a Python list of floats.  A zero
+    vector on either side scores 0; a null vector scores null."""
     qv = [float(x) for x in q]
     qn = math.sqrt(sum(x * x for x in qv)) or 1.0
     qarr = F.array(*[F.lit(x) for x in qv])
     v = vec.cast("array<double>")
     dot = F.aggregate(F.zip_with(v, qarr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     nrm = F.sqrt(F.aggregate(F.transform(v, lambda a: a * a), F.lit(0.0), lambda acc, x: acc + x))
-    return dot / (nrm * F.lit(qn))
+    return F.when(v.isNotNull(), F.coalesce(F.try_divide(dot, nrm * F.lit(qn)), F.lit(0.0)))
 
 
 def vector_topk(vectors: DataFrame, query, k=None, id_col: str = "id", vec_col: str = "vec",
                 round_digits: int | None = None, keep: tuple = ()) -> DataFrame:
     """V4/T5: (id, score, *keep) of the k nearest vectors by cosine, score
-    desc.  ``keep`` columns ride along through the top-k (no join back)."""
-    k = clamp_k(k)
+    desc.  ``keep`` columns ride along through the top-k (no join back).
+    Rows without a vector are not ranked."""
+    k = DEFAULT_K if k is None else int(k)
+    vectors = vectors.filter(F.col(vec_col).isNotNull())
     s = cosine_col(F.col(vec_col), query)
     if round_digits is not None:
         s = F.round(s, round_digits)
@@ -65,29 +69,32 @@ def vector_topk(vectors: DataFrame, query, k=None, id_col: str = "id", vec_col:
 
 
 def _topk_block(qids: np.ndarray, qmat: np.ndarray, k: int, round_digits):
-    qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
+    """Running top-k of a partition: tiles of rows x queries, merged into k kept rows per query."""
+    qn = qmat / np.where((n := np.linalg.norm(qmat, axis=1, keepdims=True)) == 0, 1.0, n)
+    nq = len(qn)
 
     def run(it):
+        best_s, best_i = np.full((0, nq), -np.inf), np.zeros((0, nq), np.int64)
         for pdf in it:
-            if pdf.empty:
-                continue
-            ids = pdf["id"].to_numpy()
-            m = np.stack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            sc = m @ qn.T                           # rows x queries
-            if round_digits is not None:
-                sc = np.round(sc, round_digits)
-            kk = min(k, len(ids))
-            out_q, out_i, out_s = [], [], []
-            for j in range(qn.shape[0]):
-                col = sc[:, j]
-                # order: score desc, id asc - lexsort on (id, -score)
-                order = np.lexsort((ids, -col))[:kk]
-                out_q.append(np.full(kk, qids[j]))
-                out_i.append(ids[order])
-                out_s.append(col[order])
-            yield pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
-                                "score": np.concatenate(out_s)})
+            pdf = pdf[pdf["vec"].notna()]
+            step = max(1, TILE_CELLS // max(1, nq))
+            for x in range(0, len(pdf), step):
+                part = pdf.iloc[x:x + step]
+                m = np.stack(part["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+                m = m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1.0, n)
+                sc = m @ qn.T
+                if round_digits is not None:
+                    sc = np.round(sc, round_digits)
+                ids = np.broadcast_to(part["id"].to_numpy()[:, None], sc.shape)
+                sc, ids = np.concatenate((best_s, sc)), np.concatenate((best_i, ids))
+                if len(sc) > k:         # score desc, id asc: rows at the k-th score compete by id
+                    kth = -np.partition(-sc, k - 1, axis=0)[k - 1]
+                    rank = np.where(sc > kth, 0, np.where(sc == kth, 1, 2))
+                    order = np.lexsort((ids, rank), axis=0)[:k]
+                    sc, ids = np.take_along_axis(sc, order, 0), np.take_along_axis(ids, order, 0)
+                best_s, best_i = sc, ids
+        if len(best_s):
+            yield pd.DataFrame({"qid": np.tile(qids, len(best_s)), "id": best_i.reshape(-1), "score": best_s.reshape(-1)})
     return run
 
 
@@ -98,17 +105,19 @@ def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k=None, id_col: str
     """V5: exact top-k per query for a block of queries.
 
     The query block is read to the driver only after its size is checked
-    (count x dimension x 8 bytes); beyond ``budget_bytes`` it is split into
-    chunks, each scored in its own pass and unioned.
+    (count x (dimension + 2 k) x 8 bytes, the running top-k included); beyond
+    ``budget_bytes`` it is split into chunks, each scored in its own pass and
+    unioned.  Zero and null vectors: as in :func:`vector_topk`.
     """
-    k = clamp_k(k)
+    k = DEFAULT_K if k is None else int(k)
     spark = corpus.sparkSession
+    queries = queries.filter(F.col(qvec_col).isNotNull())
     dim_row = queries.select(F.size(qvec_col).alias("d")).agg(
         F.count("*").alias("n"), F.max("d").alias("d")).first()
     n, d = int(dim_row["n"] or 0), int(dim_row["d"] or 0)
-    if n == 0:
+    if n == 0 or k < 1:
         return spark.createDataFrame([], f"{qid_col} long, {id_col} long, score double, rank int")
-    per_chunk = max(1, budget_bytes // max(1, d * 8))
+    per_chunk = max(1, budget_bytes // max(1, (d + 2 * k) * 8))
     c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     parts = []
     qi = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("qvec"))
@@ -143,15 +152,13 @@ def _topk_from_broadcast(bq, k, round_digits):
 
 
 def hydrate_hits(hits: DataFrame, details: DataFrame, key: str) -> DataFrame:
-    """Hits (bounded by k <= 50) left-joined to details; order kept.
+    """Hits left-joined to details; order kept.
 
-    The details table is first cut to the hit ids by a semi join with the
-    broadcast hit keys (a probe of the big side, no shuffle of it); the
-    left join then joins two small sides.
+    The details table is first cut to the hit ids by a semi join, then two
+    small sides are joined; Spark broadcasts the hits where their size allows.
     """
-    want = F.broadcast(hits.select(key).distinct())
-    d = details.join(want, key, "left_semi")
-    return hits.join(F.broadcast(d), key, "left").orderBy(F.desc("score"), key)
+    d = details.join(hits.select(key).distinct(), key, "left_semi")
+    return hits.join(d, key, "left").orderBy(F.desc("score"), key)
 
 
 def semantic_search(index: DataFrame, query_vec, details: DataFrame, k=None,
@@ -193,9 +200,9 @@ EMBED_OUT = ("paper_id long, archive_id string, paper_title string, vec array<fl
              "batch long, error string")
 
 
-def embed_pending(pending: DataFrame, embed_fn, limit: int = EMBED_MAX,
+def embed_pending(pending: DataFrame, embed_fn, limit: int | None = None,
                   batch_size: int = EMBED_BATCH) -> DataFrame:
-    """V1: embed up to ``limit`` pending papers in batches of ``batch_size``.
+    """V1: embed all pending papers (or the first ``limit``) in batches of ``batch_size``.
 
     Output: one row per selected paper with its vector, or a null vector and
     the batch's error (``Batch i: message``).
@@ -225,13 +232,14 @@ def embed_summary(results: DataFrame, pending_after: DataFrame) -> DataFrame:
     """Embedded count, remaining (selected - embedded when anything is
     still pending afterwards, else 0), distinct batch errors in order."""
     left = pending_after.limit(1).count()
+    failed = F.when(F.col("error").isNotNull(), F.struct("batch", "error"))      # nulls are not collected
     agg = results.agg(F.count("*").alias("selected"),
                       F.count_if(F.col("error").isNull()).alias("embedded"),
-                      F.array_sort(F.collect_set(F.struct("batch", "error"))).alias("_e"))
+                      F.array_sort(F.collect_set(failed)).alias("_e"))
     return agg.select(
         "embedded",
         (F.col("selected") - F.col("embedded") if left > 0 else F.lit(0).cast("long")).alias("remaining"),
-        F.transform(F.filter("_e", lambda s: s["error"].isNotNull()), lambda s: s["error"]).alias("errors"))
+        F.transform("_e", lambda s: s["error"]).alias("errors"))
 
 
 def vectors_from_embeddings(results: DataFrame) -> DataFrame:
@@ -246,7 +254,7 @@ def embedding_texts(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", embedding_text("paper_title", "abstract").alias("text"))
 
 
-def embed_job(papers: DataFrame, index: DataFrame, embed_fn, now=None, limit: int = EMBED_MAX,
+def embed_job(papers: DataFrame, index: DataFrame, embed_fn, now=None, limit: int | None = None,
               batch_size: int = EMBED_BATCH):
     """V1 + V2 + M9 + A8: embed pending papers, upsert the successful
     batches into the vector index, mark exactly those papers embedded, and

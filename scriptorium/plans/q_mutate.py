@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import mutate as M
+from ..operators import relations as R
 from ..operators import validate as V
 from ..sources import tables as tb
 from ..sources.tables import (AUTHORS_SQL, DOCS_SQL, KNOWN_SQL, LISTING_SQL, PAPERS_SQL,
@@ -212,13 +213,22 @@ def q_stamp_audit(spark, d):
 @register("enforce_unique", """
 SELECT l_orderkey AS paper_id, l_suppkey AS author_id, l_linenumber, l_partkey,
        'author_link:unique' AS violation
-FROM lineitem WHERE (l_orderkey, l_suppkey) IN (
-  SELECT (l_orderkey, l_suppkey) FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1)""")
+FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) > 1""")
 def q_enforce_unique(spark, d):
     li = tb.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id"),
         "l_linenumber", "l_partkey")
-    return V.enforce_unique(li, ["paper_id", "author_id"], name="author_link")
+    return V.enforce_unique(li, ["paper_id", "author_id"], name="author_link", order_cols=["l_linenumber", "l_partkey"])
+
+
+@register("enforce_not_null", """
+SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, 'customer:not_null:balance' AS violation
+FROM customer WHERE c_acctbal < 0""")
+def q_enforce_not_null(spark, d):
+    """M8: NOT NULL over customers whose negative balances are taken as missing."""
+    c = tb.table(spark, d, "customer").select(
+        "c_custkey", "c_nationkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
+    return V.enforce_unique(c, ["c_custkey"], not_null=["balance"], name="customer")
 
 
 @register("mark_embedded", with_ctes(DOCS_SQL) + f"""
@@ -308,3 +318,70 @@ def q_write_table(spark, d):
     return (nxt.join(marks, "username", "left")
             .select("author_id", "username", "affiliation",
                     F.coalesce("affected", F.lit(False)).alias("affected")))
+
+
+def _link_batches(spark, d):
+    """Held links and an incoming batch that repeats keys: one row per order
+    line, keyed by (order, supplier)."""
+    li = tb.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id"), "l_linenumber",
+        F.col("l_partkey").alias("note"))
+    held = (li.filter(F.col("paper_id") % 3 == 0).groupBy("paper_id", "author_id")
+            .agg(F.min_by("note", F.struct("l_linenumber", "note")).alias("note")))
+    return held, li.select("paper_id", "author_id", "note", F.col("l_linenumber").alias("seq"))
+
+
+_BATCH_SQL = """WITH li AS (SELECT l_orderkey AS paper_id, l_suppkey AS author_id, l_linenumber, l_partkey AS note FROM lineitem),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY paper_id, author_id ORDER BY l_linenumber, note) AS k FROM li),
+held AS (SELECT paper_id, author_id, note FROM ranked WHERE k = 1 AND paper_id % 3 = 0),
+once AS (SELECT paper_id, author_id, note FROM ranked WHERE k = 1),
+again AS (SELECT * FROM ranked WHERE k > 1)
+"""
+
+
+def _insert(spark, d, mode):
+    held, li = _link_batches(spark, d)
+    nxt, _, rejects = M.insert_into(held, li, ["paper_id", "author_id"], on_conflict=mode, order_cols=["seq", "note"],
+                                    update_cols=["note"] if mode == "update" else None)
+    return (nxt.select("paper_id", "author_id", "note", F.lit("held").alias("outcome"))
+            .unionByName(rejects.select("paper_id", "author_id", "note", F.lit("reject").alias("outcome"))))
+
+
+@register("write_plain", _BATCH_SQL + """
+SELECT *, 'held' AS outcome FROM held UNION ALL
+SELECT *, 'held' FROM once WHERE (paper_id, author_id) NOT IN (SELECT (paper_id, author_id) FROM held) UNION ALL
+SELECT *, 'reject' FROM once WHERE (paper_id, author_id) IN (SELECT (paper_id, author_id) FROM held) UNION ALL
+SELECT paper_id, author_id, note, 'reject' FROM again""")
+def q_write_plain(spark, d):
+    """S7 plain insert of a batch with repeated keys: rows in = rows added + rejects."""
+    return _insert(spark, d, None)
+
+
+@register("write_do_nothing", _BATCH_SQL + """
+SELECT *, 'held' AS outcome FROM held UNION ALL
+SELECT *, 'held' FROM once WHERE (paper_id, author_id) NOT IN (SELECT (paper_id, author_id) FROM held)""")
+def q_write_do_nothing(spark, d):
+    """S7 ON CONFLICT DO NOTHING with repeated keys."""
+    return _insert(spark, d, "nothing")
+
+
+@register("write_do_update", _BATCH_SQL + """
+SELECT coalesce(h.paper_id, o.paper_id) AS paper_id, coalesce(h.author_id, o.author_id) AS author_id,
+       coalesce(o.note, h.note) AS note, 'held' AS outcome
+FROM held h FULL JOIN once o ON h.paper_id = o.paper_id AND h.author_id = o.author_id UNION ALL
+SELECT paper_id, author_id, note, 'reject' FROM again""")
+def q_write_do_update(spark, d):
+    """S7 ON CONFLICT DO UPDATE with repeated keys."""
+    return _insert(spark, d, "update")
+
+
+@register("cascade_update", """
+SELECT CASE WHEN l_orderkey % 5 = 0 THEN l_orderkey + 10000000 ELSE l_orderkey END AS paper_id, l_suppkey AS author_id, l_linenumber
+FROM lineitem""")
+def q_cascade_update(spark, d):
+    """Every fifth order gets a new id and its links follow."""
+    links = tb.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id"),
+                                                  "l_linenumber")
+    remap = tb.table(spark, d, "orders").filter(F.col("o_orderkey") % 5 == 0).select(
+        F.col("o_orderkey").alias("old_paper_id"), (F.col("o_orderkey") + 10_000_000).alias("new_paper_id"))
+    return R.cascade_update(links, remap)

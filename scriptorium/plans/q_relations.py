@@ -16,7 +16,6 @@ USERNAME = "Supplier#000000007"
 AUTHOR_ID = 7
 EMAIL = "desk7@example.org"
 KEYWORD = "red widget"
-EMBED_LIMIT = 500
 EMBED_BATCH = 100
 DELETED_STATUS = "P"
 MERGE_NEW_SINCE = "1997-01-01"
@@ -76,10 +75,9 @@ def q_keyword_id(spark, d):
 
 
 @register("unembedded_papers", with_ctes(DOCS_SQL, PENDING_SQL) +
-          "SELECT paper_id, archive_id, paper_title, abstract FROM pending "
-          f"ORDER BY paper_id LIMIT {EMBED_LIMIT}")
+          "SELECT paper_id, archive_id, paper_title, abstract FROM pending")
 def q_unembedded_papers(spark, d):
-    return R.unembedded_papers(tb.pending(spark, d), EMBED_LIMIT)
+    return R.unembedded_papers(tb.pending(spark, d))
 
 
 @register("drop_time_columns", with_ctes(PAPERS_SQL) +

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..session import write_once
 from ..sources import tables as tb
 from .registry import register
 from .search_sql import BASE_CTES, search_sql
@@ -31,23 +32,34 @@ def index(spark, d) -> S.SearchIndex:
 _BUILT: dict = {}
 
 
-def built_index(spark, d) -> S.SearchIndex:
-    """The search index as a search service holds it: built once from the
-    tables and written (bucketed by term) under the shared checkpoint
-    folder, then read by every search.  Keyed by the input files, so new
-    input data gives a new index."""
+def _stored(spark, d, tag: str, make):
+    """``make(path)`` once per session and content of the input files (path,
+    time and size of each), under the shared checkpoint folder."""
     import hashlib
     from ..session import checkpoint_dir
     files = []
-    for t in ("documents", "supplier", "part", "lineitem"):
-        files += tb.table(spark, d, t).inputFiles()
-    key = hashlib.sha1("|".join([spark.sparkContext.applicationId, d, *sorted(files)]).encode()).hexdigest()
+    for t in ("documents", "supplier", "part", "lineitem", "labels"):
+        files += spark.read.format("binaryFile").load(f"{d}/{t}.parquet").select("path", "modificationTime", "length").collect()
+    key = hashlib.sha1("|".join([spark.sparkContext.applicationId, tag, *sorted(map(str, files))]).encode()).hexdigest()
     if key not in _BUILT:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/search-index/{key[:16]}"
-        _BUILT[key] = S.write_index(index(spark, d), path)
+        _BUILT[key] = make(f"{checkpoint_dir(spark).rstrip('/')}/stored/{tag}-{key[:16]}")
     return _BUILT[key]
 
 
+def built_index(spark, d) -> S.SearchIndex:
+    """The search index as a search service holds it: built from the tables
+    and written bucketed by term, then read by every search."""
+    return _stored(spark, d, "search-index", lambda path: S.write_index(index(spark, d), path))
+
+
+def stored_docs(spark, d, tag: str, build):
+    """Search documents of an old state, as an index service holds them."""
+    def make(path):
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+    return _stored(spark, d, f"docs-{tag}", make)
+
+
 def _w(select: str) -> str:
     return "WITH " + ",\n".join(BASE_CTES) + "\n" + select
 
@@ -150,17 +162,18 @@ def q_corpus_stats(spark, d):
 
 # ----------------------------------------------------- index upkeep (X9) ---
 # Fixed change set between the old and the new archive state.
-LINKS_BEFORE = "1996-01-01"          # old state: link rows shipped before this
+LINKS_BEFORE = "2001-10-01"          # old state: link rows shipped before this
 RENAMED_KEYWORD, NEW_KEYWORD_TEXT = "red widget", "crimson widget"
 RENAMED_AUTHOR, NEW_FIRST_NAME = 7, "Renamed"
-DELETED_LANG = "de"                  # papers in this language are deleted
+# papers of this source and language are deleted
+DELETED_SQL = "source = 'src7' AND lang = 'de'"
 
 
 def _old_new_state(spark, d):
     from ..sources.tables import table
     li = table(spark, d, "lineitem")
     docs_all = tb.docs(spark, d)
-    deleted = (table(spark, d, "documents").filter(F.col("lang") == DELETED_LANG)
+    deleted = (table(spark, d, "documents").filter(F.expr(DELETED_SQL))
                .select(F.col("doc_id").alias("paper_id")))
     kl_new = tb.keyword_links(spark, d)
     al_new = tb.author_links(spark, d)
@@ -183,9 +196,9 @@ def _old_new_state(spark, d):
     au_new = au_old.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR,
                                                     F.lit(NEW_FIRST_NAME)).otherwise(F.col("first_name")))
     papers_new = docs_all.join(deleted, "paper_id", "left_anti")
-    old = S.build_search_docs(docs_all, au_old, kw_old, al_old, kl_old)
+    old = stored_docs(spark, d, "before", lambda: S.build_search_docs(docs_all, au_old, kw_old, al_old, kl_old))
     changes = S.ChangeSet(
-        papers_upserted=table(spark, d, "labels").select(F.col("doc_id").alias("paper_id")),
+        papers_upserted=table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("paper_id")),
         papers_deleted=deleted,
         keyword_links=kl_new.join(kl_old, ["keyword_id", "paper_id"], "left_anti").select("paper_id"),
         author_links=al_new.join(al_old, ["author_id", "paper_id", "author_position"], "left_anti")
@@ -207,7 +220,7 @@ def _new_state_sql(select: str) -> str:
     ctes = [
         DOCS_SQL.replace("docs AS (", "docs0 AS (", 1),
         f"docs AS (SELECT * FROM docs0 WHERE paper_id NOT IN "
-        f"(SELECT doc_id FROM documents WHERE lang = '{DELETED_LANG}'))",
+        f"(SELECT doc_id FROM documents WHERE {DELETED_SQL}))",
         AUTHORS_SQL.replace("authors AS (", "authors0 AS (", 1),
         f"authors AS (SELECT author_id, CASE WHEN author_id = {RENAMED_AUTHOR} THEN '{NEW_FIRST_NAME}' "
         "ELSE first_name END AS first_name, last_name, username, email, affiliation FROM authors0)",
@@ -240,13 +253,103 @@ def q_rebuild_search_index(spark, d):
 def q_refresh_postings(spark, d):
     """Incremental postings: drop affected ids, append their new postings."""
     old, changes, (p, a, k, al, kl) = _old_new_state(spark, d)
-    idx = S.build_postings(old)
-    aff = S.affected_papers(changes, kl, al)
+    idx = _stored(spark, d, "index-before", lambda path: S.write_index(S.build_postings(old), path))
+    aff = write_once(S.affected_papers(changes, kl, al), "affected-ids")
     fresh = S.build_search_docs(p.join(aff, "paper_id", "left_semi"), a, k,
                                 al.join(aff, "paper_id", "left_semi"), kl.join(aff, "paper_id", "left_semi"))
     return S.refresh_index(idx, fresh, aff).postings.select("term", "paper_id", "field", "tf")
 
 
+# one key per rule (X9a-k): a stored old state, one kind of change, and a full
+# rebuild of the new state as the oracle
+RULE_SOURCE = "src3"                 # papers inserted, updated or deleted
+MOVED = 1000                         # a moved author link takes its position plus this
+
+
+def _rule_parts(spark, d):
+    p, a, k = tb.docs(spark, d), tb.authors(spark, d), tb.keywords(spark, d)
+    al, kl = tb.author_links(spark, d), tb.keyword_links(spark, d)
+    ids = (tb.table(spark, d, "documents").filter(F.col("source") == RULE_SOURCE)
+           .select(F.col("doc_id").alias("paper_id")))
+    kid = k.filter(F.col("keyword") == RENAMED_KEYWORD).select("keyword_id")
+    return p, a, k, al, kl, ids, kid
+
+
+def _rule(spark, d, rule):
+    """(old relations or None for the plain state, changes, new relations)."""
+    p, a, k, al, kl, ids, kid = _rule_parts(spark, d)
+    plain = (p, a, k, al, kl)
+    k_rows, k_rest = kl.join(kid, "keyword_id", "left_semi"), kl.join(kid, "keyword_id", "left_anti")
+    a_rows, a_rest = al.filter(F.col("author_id") == RENAMED_AUTHOR), al.filter(F.col("author_id") != RENAMED_AUTHOR)
+    new, old_id = F.col("paper_id"), F.col("paper_id").alias("old_paper_id")
+    moved_k = k_rows.withColumn("paper_id", new + 1).unionByName(k_rest).distinct()
+    moved_a = (a_rows.withColumn("paper_id", new + 1).withColumn("author_position", F.col("author_position") + MOVED)
+               .unionByName(a_rest))
+    draft = (p.join(ids.withColumn("_x", F.lit(True)), "paper_id", "left")
+             .withColumn("paper_title", F.when(F.col("_x"), F.concat(F.lit("Draft "), "paper_title")).otherwise(F.col("paper_title")))
+             .drop("_x"))
+    k2 = k.withColumn("keyword", F.when(F.col("keyword") == RENAMED_KEYWORD, F.lit(NEW_KEYWORD_TEXT)).otherwise(F.col("keyword")))
+    a2 = a.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR, F.lit(NEW_FIRST_NAME)).otherwise(F.col("first_name")))
+    gone = p.join(ids, "paper_id", "left_anti")
+    C = S.ChangeSet
+    return {
+        "paper_insert": ((gone, a, k, al, kl), C(papers_upserted=ids), plain),
+        "paper_update": ((draft, a, k, al, kl), C(papers_upserted=ids), plain),
+        "paper_delete": (None, C(papers_deleted=ids), (gone, a, k, al, kl)),
+        "keyword_link_insert": ((p, a, k, al, k_rest), C(keyword_links=k_rows.select("paper_id")), plain),
+        "keyword_link_delete": (None, C(keyword_links=k_rows.select(old_id)), (p, a, k, al, k_rest)),
+        "keyword_link_update": (None, C(keyword_links=k_rows.select((new + 1).alias("paper_id"), old_id)), (p, a, k, al, moved_k)),
+        "author_link_insert": ((p, a, k, a_rest, kl), C(author_links=a_rows.select("paper_id")), plain),
+        "author_link_delete": (None, C(author_links=a_rows.select(old_id)), (p, a, k, a_rest, kl)),
+        "author_link_update": (None, C(author_links=a_rows.select((new + 1).alias("paper_id"), old_id)), (p, a, k, moved_a, kl)),
+        "keyword_rename": (None, C(keywords_renamed=kid), (p, a, k2, al, kl)),
+        "author_rename": (None, C(authors_renamed=a.filter(F.col("author_id") == RENAMED_AUTHOR).select("author_id")), (p, a2, k, al, kl)),
+    }[rule]
+
+
+def _rule_sql(rule: str) -> str:
+    from ..sources.tables import AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_LINKS_SQL, KEYWORDS_SQL
+    from .search_sql import SEARCH_DOCS_SQL
+    sql = {"docs": DOCS_SQL, "authors": AUTHORS_SQL, "keywords": KEYWORDS_SQL, "keyword_links": KEYWORD_LINKS_SQL,
+           "author_links": AUTHOR_LINKS_SQL}
+    kid = f"(SELECT keyword_id FROM keywords WHERE keyword = '{RENAMED_KEYWORD}')"
+    change = {
+        "paper_delete": ("docs", f"SELECT * FROM docs0 WHERE paper_id NOT IN (SELECT doc_id FROM documents WHERE source = '{RULE_SOURCE}')"),
+        "keyword_link_delete": ("keyword_links", f"SELECT * FROM keyword_links0 WHERE keyword_id NOT IN {kid}"),
+        "keyword_link_update": ("keyword_links", "SELECT DISTINCT keyword_id, CASE WHEN keyword_id IN "
+                                f"{kid} THEN paper_id + 1 ELSE paper_id END AS paper_id FROM keyword_links0"),
+        "author_link_delete": ("author_links", f"SELECT * FROM author_links0 WHERE author_id <> {RENAMED_AUTHOR}"),
+        "author_link_update": ("author_links", f"SELECT author_id, CASE WHEN author_id = {RENAMED_AUTHOR} THEN paper_id + 1 "
+                               f"ELSE paper_id END AS paper_id, CASE WHEN author_id = {RENAMED_AUTHOR} THEN author_position + {MOVED} "
+                               "ELSE author_position END AS author_position FROM author_links0"),
+        "keyword_rename": ("keywords", f"SELECT keyword_id, CASE WHEN keyword = '{RENAMED_KEYWORD}' THEN "
+                           f"'{NEW_KEYWORD_TEXT}' ELSE keyword END AS keyword FROM keywords0"),
+        "author_rename": ("authors", f"SELECT author_id, CASE WHEN author_id = {RENAMED_AUTHOR} THEN '{NEW_FIRST_NAME}' "
+                          "ELSE first_name END AS first_name, last_name, username, email, affiliation FROM authors0")}.get(rule)
+    if change:
+        name, select = change
+        sql[name] = sql[name].replace(f"{name} AS (", f"{name}0 AS (", 1) + f",\n{name} AS ({select})"
+        if name == "keywords":      # links resolve through the texts the parts carry
+            sql["keyword_links"] = sql["keyword_links"].replace("JOIN keywords k ON", "JOIN keywords0 k ON")
+    return "WITH " + ",\n".join([sql["docs"], sql["authors"], sql["keywords"], sql["keyword_links"], sql["author_links"],
+                                 SEARCH_DOCS_SQL]) + "\nSELECT * FROM sd"
+
+
+def _register_rule(rule: str):
+    @register(f"refresh_{rule}", _rule_sql(rule))
+    def run(spark, d):
+        old, changes, new = _rule(spark, d, rule)
+        tag = "plain" if old is None else rule
+        held = stored_docs(spark, d, tag, lambda: S.build_search_docs(*(old or _rule_parts(spark, d)[:5])))
+        return S.refresh_search_docs(held, changes, *new)
+
+
+for _name in ("paper_insert", "paper_update", "paper_delete", "keyword_link_insert", "keyword_link_delete",
+              "keyword_link_update", "author_link_insert", "author_link_delete", "author_link_update",
+              "keyword_rename", "author_rename"):
+    _register_rule(_name)
+
+
 def _affected_sql() -> str:
     from ..sources.tables import AUTHOR_LINKS_SQL, KEYWORD_LINKS_SQL, KEYWORDS_SQL
     old_links = f"""kl_old AS (
@@ -261,8 +364,8 @@ al_old AS (
         FROM lineitem WHERE l_shipdate < TIMESTAMP '{LINKS_BEFORE}' GROUP BY l_orderkey, l_suppkey))"""
     return ("WITH " + ",\n".join([KEYWORDS_SQL, KEYWORD_LINKS_SQL, AUTHOR_LINKS_SQL, old_links]) + f"""
 SELECT DISTINCT paper_id FROM (
-  SELECT doc_id AS paper_id FROM labels
-  UNION ALL SELECT doc_id FROM documents WHERE lang = '{DELETED_LANG}'
+  SELECT doc_id AS paper_id FROM labels WHERE toxic = 1
+  UNION ALL SELECT doc_id FROM documents WHERE {DELETED_SQL}
   UNION ALL SELECT paper_id FROM (SELECT keyword_id, paper_id FROM keyword_links
                                   EXCEPT SELECT keyword_id, paper_id FROM kl_old)
   UNION ALL SELECT paper_id FROM (SELECT * FROM author_links EXCEPT SELECT * FROM al_old)

@@ -119,14 +119,14 @@ def _embedded(spark, d):
 SELECT paper_id, archive_id,
        CAST(floor((row_number() OVER (ORDER BY paper_id) - 1) / {VV.EMBED_BATCH}) AS BIGINT) AS batch,
        CAST(NULL AS VARCHAR) AS error, 64 AS dim
-FROM pending ORDER BY paper_id LIMIT {VV.EMBED_MAX}""")
+FROM pending""")
 def q_embed_pending(spark, d):
     r = _embedded(spark, d)
     return r.select("paper_id", "archive_id", "batch", "error", F.size("vec").alias("dim"))
 
 
-@register("embed_summary", with_ctes(DOCS_SQL, PENDING_SQL) + f"""
-SELECT CAST(least(count(*), {VV.EMBED_MAX}) AS BIGINT) AS embedded, CAST(0 AS BIGINT) AS remaining,
+@register("embed_summary", with_ctes(DOCS_SQL, PENDING_SQL) + """
+SELECT count(*) AS embedded, CAST(0 AS BIGINT) AS remaining,
        '' AS errors FROM pending""")
 def q_embed_summary(spark, d):
     """A8 with a deterministic embedder that never fails: every selected
@@ -136,3 +136,22 @@ def q_embed_summary(spark, d):
     after = tb.pending(spark, d).join(emb, "paper_id", "left_anti")
     s = VV.embed_summary(r, after)
     return s.select("embedded", "remaining", F.array_join("errors", "|").alias("errors"))
+
+
+@register("embed_summary_failing", with_ctes(DOCS_SQL, PENDING_SQL) + f"""
+, batches AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY paper_id) - 1) / {VV.EMBED_BATCH}) AS BIGINT) AS batch FROM pending),
+bad AS (SELECT DISTINCT batch FROM batches WHERE paper_title LIKE 'T%')
+SELECT count(*) FILTER (WHERE batch NOT IN (FROM bad)) AS embedded, count(*) FILTER (WHERE batch IN (FROM bad)) AS remaining,
+       coalesce((SELECT string_agg('Batch ' || batch || ': rejected title', '|' ORDER BY batch) FROM bad), '') AS errors
+FROM batches""")
+def q_embed_summary_failing(spark, d):
+    """A8 with an embedder that refuses batches holding a title that starts with T."""
+    def embed(texts):
+        if any(t.startswith("T") for t in texts):
+            raise ValueError("rejected title")
+        return [[1.0] for _ in texts]
+    r = VV.embed_pending(tb.pending(spark, d), embed)
+    emb = r.filter(F.col("error").isNull()).select("paper_id")
+    after = tb.pending(spark, d).join(emb, "paper_id", "left_anti")
+    s = VV.embed_summary(r, after)
+    return s.select("embedded", "remaining", F.array_join("errors", "|").alias("errors"))

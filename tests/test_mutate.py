@@ -95,21 +95,25 @@ def test_fold_sync_runs(spark):
     assert (r[3].success, r[3].error_message) == (False, "boom")
 
 
-def test_versions(spark, tmp_root):
-    df1 = spark.createDataFrame([(1,)], "x long")
-    df2 = spark.createDataFrame([(1,), (2,)], "x long")
-    assert M.read_current(spark, tmp_root, "t") is None
-    M.write_version(df1, tmp_root, "t")
-    cur = M.read_current(spark, tmp_root, "t")
-    M.write_version(cur.unionByName(df2.filter("x = 2")), tmp_root, "t")
-    assert M.current_version(spark, tmp_root, "t") == 1
-    assert sorted(r.x for r in M.read_current(spark, tmp_root, "t").collect()) == [1, 2]
+def test_rows_count_once_their_run_is_committed(spark, tmp_root):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "x long")
+    read = lambda: sorted(r.x for r in M.read_runs(spark, tmp_root, "t").collect())
+    assert M.read_runs(spark, tmp_root, "t") is None and M.committed_runs(spark, tmp_root) == {}
+    M.write_run(rows(1), tmp_root, "t", "a")
+    assert M.read_runs(spark, tmp_root, "t") is None
+    M.commit_run(spark, tmp_root, "a")
+    M.write_run(rows(2, 3), tmp_root, "t", "b")                 # stopped before its commit
+    assert read() == [1]
+    M.write_run(rows(2), tmp_root, "t", "b")                    # the replay replaces its own rows
+    M.commit_run(spark, tmp_root, "b", rows(7))
+    assert read() == [1, 2] and M.committed_runs(spark, tmp_root) == {"a": 0, "b": 1}
+    assert {r.x: r.seq for r in M.read_runs(spark, tmp_root, "t", with_seq=True).collect()} == {1: 0, 2: 1}
 
 
 def test_enforce_unique(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, None)], "p long, a long, n string")
     v = V.enforce_unique(df, ["p", "a"], not_null=["n"], name="link").collect()
-    assert sorted(r.violation for r in v) == ["link:not_null:n", "link:unique", "link:unique"]
+    assert sorted((r.n or "", r.violation) for r in v) == [("", "link:not_null:n"), ("b", "link:unique")]
 
 
 def test_mark_embedded(spark):
@@ -133,3 +137,23 @@ def test_insert_into_modes(spark):
     assert sorted(tuple(r) for r in nxt.collect()) == [(1, "a"), (2, "b"), (3, "c")]
     with pytest.raises(M.WriteModeError):
         M.insert_into(ex, inc, ["k"], on_conflict="nothing", returning=True)
+
+
+def test_insert_into_counts_a_repeated_key_once(spark):
+    ex = spark.createDataFrame([(1, "u1", "old")], "id long, u string, v string")
+    inc = spark.createDataFrame([("u5", "a"), ("u5", "a"), ("u1", "x"), ("u1", "y")], "u string, v string")
+    for mode, want, rejected in ((None, [("u1", "old"), ("u5", "a")], 3), ("nothing", [("u1", "old"), ("u5", "a")], 0),
+                                 ("update", [("u1", "x"), ("u5", "a")], 2)):
+        nxt, _, rej = M.insert_into(ex, inc, ["u"], on_conflict=mode)
+        assert sorted((r.u, r.v) for r in nxt.collect()) == want
+        assert {r.id for r in nxt.filter("u = 'u1'").collect()} == {1}
+        assert rej.count() == rejected
+    ids = spark.createDataFrame([(7, "u1", "x")], ex.schema)
+    assert M.insert_into(ex, ids, ["u"], on_conflict="update", id_col="id")[0].first().id == 1
+
+
+def test_rejects_are_complete(spark):
+    inc = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0)], "author_id long, paper_id long, author_position int")
+    held = spark.createDataFrame([], "author_id long, paper_id long")
+    ok, bad = M.insert_links(held, inc, ["author_id", "paper_id"], ["author_position"])
+    assert ok.count() == 2 and bad.count() == 1

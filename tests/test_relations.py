@@ -31,6 +31,15 @@ def test_incremental_cutoff(spark):
     assert R.incremental_cutoff(acts, full=True).count() == 7
 
 
+def test_page_without_rows_stops_the_run(spark):
+    acts = spark.createDataFrame([(0, "full-scrape"), (2, "full-scrape")], "page long, action string")
+    pages = spark.range(4).withColumnRenamed("id", "page")
+    assert [(r.page, r.process) for r in R.incremental_cutoff(acts, pages=pages).collect()] == [(0, True)]
+    assert sorted(r.page for r in R.fetched_pages(acts, pages).collect()) == [0, 1]
+    stats = R.run_stats(R.incremental_cutoff(acts, pages=pages), R.fetched_pages(acts, pages).count()).first()
+    assert (stats.pages, stats.seen) == (2, 1)
+
+
 @pytest.mark.parametrize("n,size,expect", [(6, 2, [2, 2, 2]), (5, 2, [2, 2, 1]), (0, 3, []),
                                            (3, 10, [3]), (4, 1, [1, 1, 1, 1])])
 def test_batch_assign(spark, n, size, expect):
@@ -76,7 +85,7 @@ def test_lookups_and_filters(spark):
                               "author_id long, username string, email string")
     assert R.lookup_first(a, "email", "x@e", "author_id").first().author_id == 1
     assert R.lookup_first(a, "username", "nobody", "author_id").count() == 0
-    assert R.filter_ids(a, "author_id", []).count() == 3
+    assert R.filter_ids(a, "author_id", []).count() == 0
     assert R.filter_ids(a, "author_id", [1, 3]).count() == 2
     assert R.filter_ids(a, "author_id", spark.createDataFrame([(3,)], "x long")).count() == 1
     assert [r.author_id for r in R.scan(a, "author_id", 2).collect()] == [1, 2]

@@ -56,3 +56,34 @@ def test_group_positions_hot_group_matches_window(spark):
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     want = {(r.g, r.o): r.pos for r in ref.collect()}
     assert got == want
+
+
+def test_numbers_are_dense_and_distinct_at_size(spark, tmp_root):
+    n = 2_000_000
+    payload = F.concat(F.lit("payload "), F.sha2(F.col("id").cast("string"), 256))
+    spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50 + 1)
+                          .alias("g"), payload.alias("p")).write.parquet(f"{tmp_root}/rows")
+    df = spark.read.parquet(f"{tmp_root}/rows")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = R.dense_index(df, ["k"], "i").agg(F.countDistinct("i").alias("d"), F.min("i").alias("a"), F.max("i").alias("z"),
+                                                F.count_if(F.col("i") != F.col("k")).alias("off")).first()
+        assert tuple(got) == (n, 0, n - 1, 0)
+        held = spark.createDataFrame([(5,)], "paper_id long")
+        ids = M.assign_ids(df, held, "paper_id", ["k"]).agg(F.countDistinct("paper_id").alias("d"), F.max("paper_id").alias("z")).first()
+        assert tuple(ids) == (n, n + 5)
+        hot = R.group_positions(df, "g", ["k"], "pos", hot_rows=100_000).groupBy("g").agg(
+            F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("z"), F.sum(F.xxhash64("pos", "k") % 1009).alias("h"))
+        cold = R.group_positions(df, "g", ["k"], "pos").groupBy("g").agg(
+            F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("z"), F.sum(F.xxhash64("pos", "k") % 1009).alias("h"))
+        assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, cold.collect()))
+        assert all(r.n == r.d == r.z for r in cold.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_no_row_is_lost_between_first_and_rest(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 5, "a"), (2, None, "b"), (None, 1, "c"), (None, 1, "c")],
+                               "k long, seq long, v string")
+    first, rest = R.split_first_per_key(df, ["k"], ["seq"])
+    assert first.count() == 3 and rest.count() == 3

@@ -22,7 +22,8 @@ def test_sync_batch_twice_is_idempotent(spark, tmp_root):
     st = QJ.held_state(spark, d)
     pages, det = H.render_listing_pages(spark, d), H.render_detail_pages(spark, d)
     r1 = J.sync_batch(st, pages, det, None, NOW)
-    J.commit(r1, tmp_root)
+    J.start_state(spark, st, tmp_root)
+    J.commit(r1, tmp_root, "first")
     s1 = r1.stats.first()
     st2 = J.load_state(spark, tmp_root)
     n_papers = st2.papers.count()
@@ -37,6 +38,62 @@ def test_sync_batch_twice_is_idempotent(spark, tmp_root):
     assert p.select("archive_id").distinct().count() == n_papers
 
 
+def _tables(spark, root):
+    return {n: sorted(map(str, df.collect())) for n, df in J.load_state(spark, root).tables().items()}
+
+
+@pytest.mark.parametrize("stop_after", range(6))
+def test_replay_after_a_stop_at_any_write(spark, tmp_root, monkeypatch, stop_after):
+    """A run stopped after k of its five table writes (5: before the log row)
+    is replayed and ends with the tables of an undisturbed run."""
+    d = SF_SMALL
+    pages = H.render_listing_pages(spark, d).filter("page_id < 3")
+    det, prof = H.render_detail_pages(spark, d), H.render_profile_pages(spark, d)
+    pages.write.parquet(f"{tmp_root}/drops/d=0")
+    held = QJ.held_state(spark, d)
+
+    def stream(where):
+        ST.stream_sync(spark, f"{tmp_root}/drops", det, f"{tmp_root}/{where}", f"{tmp_root}/{where}-ckpt", held, prof, NOW)
+
+    J.start_state(spark, held, f"{tmp_root}/broken")
+    real, n = M.write_run, [0]
+
+    def failing(*a):
+        if n[0] == stop_after:
+            raise RuntimeError("stopped")
+        n[0] += 1
+        real(*a)
+    monkeypatch.setattr(M, "write_run", failing)
+    if stop_after == 5:
+        monkeypatch.setattr(M, "commit_run", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(Exception, match="stopped"):
+        stream("broken")
+    assert set(M.committed_runs(spark, f"{tmp_root}/broken")) == {M.BASE_RUN}
+    monkeypatch.undo()
+    stream("broken")
+    stream("whole")
+    assert _tables(spark, f"{tmp_root}/broken") == _tables(spark, f"{tmp_root}/whole")
+
+
+def test_index_stream_needs_a_stored_index_and_keeps_postings_in_step(spark, tmp_root):
+    from scriptorium.operators import search as S
+    from tests.test_search import seed
+    rel = seed(spark)
+    names = dict(zip(("papers", "authors", "keywords", "author_links", "keyword_links"), rel))
+    spark.createDataFrame([(2,)], "paper_id long").write.parquet(f"{tmp_root}/changes/d=0")
+    args = (f"{tmp_root}/changes", names, f"{tmp_root}/index", f"{tmp_root}/ckpt")
+    with pytest.raises(Exception, match="no search index"):
+        ST.stream_refresh_index(spark, *args)
+    old = names["papers"].withColumn("abstract", F.when(F.col("paper_id") == 2, F.lit("an older abstract")).otherwise(F.col("abstract")))
+    ST.start_index(spark, S.rebuild_search_index(old, *rel[1:], fold=True, stem=True), f"{tmp_root}/index")
+    ST.stream_refresh_index(spark, *args)                       # the batch was not lost
+    got, want = ST.current_index(spark, f"{tmp_root}/index"), S.rebuild_search_index(*rel, fold=True, stem=True)
+    for t in ("docs", "postings", "doclen"):
+        a, b = getattr(got, t), getattr(want, t)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    assert S.match_count(got, S.term("olden")).first().total == 0
+
+
 def test_stream_sync_restart(spark, tmp_root):
     d = SF_SMALL
     pages = H.render_listing_pages(spark, d)
@@ -45,12 +102,17 @@ def test_stream_sync_restart(spark, tmp_root):
     args = (f"{tmp_root}/drops", det, f"{tmp_root}/tables", f"{tmp_root}/ckpt", QJ.held_state(spark, d),
             prof, NOW)
     ST.stream_sync(spark, *args)
-    log1 = M.read_current(spark, f"{tmp_root}/tables", ST.RUN_LOG).count()
+    log1 = ST.sync_runs(spark, f"{tmp_root}/tables").count()
     ST.stream_sync(spark, *args)                      # restart, nothing new
-    assert M.read_current(spark, f"{tmp_root}/tables", ST.RUN_LOG).count() == log1 == 1
+    assert ST.sync_runs(spark, f"{tmp_root}/tables").count() == log1 == 1
     pages.filter("page_id > 0").write.parquet(f"{tmp_root}/drops/d=1")
     ST.stream_sync(spark, *args)
-    assert M.read_current(spark, f"{tmp_root}/tables", ST.RUN_LOG).count() == 2
+    assert ST.sync_runs(spark, f"{tmp_root}/tables").count() == 2
+    before = _tables(spark, f"{tmp_root}/tables")
+    # a new checkpoint folder reads every drop again: the tables stay as they are
+    ST.stream_sync(spark, *args[:3], f"{tmp_root}/ckpt2", *args[4:])
+    assert _tables(spark, f"{tmp_root}/tables") == before
+    assert ST.sync_runs(spark, f"{tmp_root}/tables").count() == 4
 
 
 def test_papers_json_round_trip(spark, tmp_root):
@@ -86,5 +148,5 @@ def test_run_log_has_timing(spark, tmp_root):
     pages.write.parquet(f"{tmp_root}/drops/d=0")
     ST.stream_sync(spark, f"{tmp_root}/drops", H.render_detail_pages(spark, d), f"{tmp_root}/tables",
                    f"{tmp_root}/ckpt", QJ.held_state(spark, d), None, NOW)
-    r = M.read_current(spark, f"{tmp_root}/tables", ST.RUN_LOG).first()
+    r = ST.sync_runs(spark, f"{tmp_root}/tables").first()
     assert r.finished_at >= r.started_at and r.duration_ms >= 0 and r.success

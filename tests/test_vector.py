@@ -48,8 +48,9 @@ def test_first_batch_fails(spark):
     assert sorted(r.paper_id for r in res.filter("error IS NULL").collect()) == list(range(101, 151))
 
 
-def test_limit_500_and_texts(spark):
-    res = VV.embed_pending(pending(spark, 620), const_embedder())
+def test_limit_and_texts(spark):
+    assert VV.embed_pending(pending(spark, 620), const_embedder()).count() == 620
+    res = VV.embed_pending(pending(spark, 620), const_embedder(), limit=500)
     assert res.count() == 500
     assert [r["count"] for r in res.groupBy("batch").count().orderBy("batch").collect()] == [100] * 5
     t = VV.embedding_texts(pending(spark, 2)).orderBy("paper_id").collect()
@@ -75,8 +76,9 @@ def test_topk_matches_brute_force(spark):
     exp = _brute(m, m[7], 10)
     assert [g[0] for g in got] == [e[0] for e in exp]
     assert all(abs(g[1] - e[1]) < 1e-9 for g, e in zip(got, exp))
-    assert VV.vector_topk(df, m[0], 200).count() == 50      # clamp to 50
-    assert VV.clamp_k("0") == 1 and VV.clamp_k(None) == 10
+    assert VV.vector_topk(df, m[0], 200).count() == 200
+    assert VV.clamp_k("0") == 1 and VV.clamp_k(None) == 10 and VV.clamp_k(200) == 50      # requests only
+    assert VV.clamp_k("7abc") == 7 and VV.clamp_k("abc") == 10 and VV.clamp_k("-3") == 1
 
 
 @pytest.mark.parametrize("budget", [VV.BROADCAST_BUDGET, 16 * 8 * 3])
@@ -90,6 +92,28 @@ def test_batch_topk_equals_single(spark, budget):
         assert [i for _, i in got] == [e[0] for e in _brute(m, m[q], 5)]
 
 
+def test_zero_and_null_vectors_alike_in_both_forms(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, 0.0])], "id long, vec array<double>")
+    qs = spark.createDataFrame([(9, [2.0, 0.0]), (10, [0.0, 0.0]), (11, None)], "qid long, vec array<double>")
+    one = [(r.id, r.score) for r in VV.vector_topk(df, [2.0, 0.0], 10).collect()]
+    zero = [(r.id, r.score) for r in VV.vector_topk(df, [0.0, 0.0], 10).collect()]
+    assert one == [(1, 1.0), (2, 0.0), (4, -1.0)] and zero == [(1, 0.0), (2, 0.0), (4, 0.0)]
+    both = VV.vector_topk_batch(df, qs, 10).orderBy("qid", "rank").collect()
+    assert [(r.id, r.score) for r in both if r.qid == 9] == one
+    assert [(r.id, r.score) for r in both if r.qid == 10] == zero
+    assert all(r.qid != 11 for r in both)
+
+
+def test_tiles_and_ties_keep_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(VV, "TILE_CELLS", 7)
+    qids, q = np.array([1, 2]), np.eye(2)
+    import pandas as pd
+    rows = pd.DataFrame({"id": np.arange(40)[::-1], "vec": [[1.0, 0.0]] * 30 + [[0.0, 1.0]] * 10})
+    (out,) = VV._topk_block(qids, q, 4, None)([rows.iloc[:13], rows.iloc[13:]])
+    got = {k: sorted(g["id"][g["score"] == 1.0]) for k, g in out.groupby("qid")}
+    assert got == {1: [10, 11, 12, 13], 2: [0, 1, 2, 3]}
+
+
 def test_upsert_vectors_and_semantic_search(spark):
     idx = spark.createDataFrame(
         [("000001", [1.0, 0.0], ("000001", "old", 1)), ("000002", [0.0, 1.0], ("000002", "two", 2))],
