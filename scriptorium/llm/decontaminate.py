@@ -10,8 +10,8 @@ Broadcast bound: at most ``chunk_windows`` windows at a time.  A larger test
 set is cut into chunks by window hash, one pass over the documents each, and
 the hit words of all passes are merged per document; nothing is dropped.
 
-Inputs out of the ordinary: null text has no words; a null or wordless item
-gives no window; repeated items, or items that share windows, are all
+Inputs out of the ordinary: null text has no words; a null or wordless item,
+or one without an id, gives no window; repeated items, or items that share windows, are all
 reported; repeated document rows are judged alike; clashing input columns are
 replaced; an empty test set leaves every document clean.
 """
@@ -62,14 +62,13 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_i
                     out["length"].append(k)
                     out["hash"].append(x - (1 << 64) if x >> 63 else x)
                     out["words"].append(b" ".join(raw[s[q]:e[q]] for q in range(p, p + k)).decode("utf-8"))
-                    out["item"].append(str(ids[i]))
-            yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema(
-                [("length", pa.int32()), ("hash", pa.int64()), ("words", pa.string()), ("item", pa.string())])) \
-                if out else pa.RecordBatch.from_pylist([], schema=pa.schema(
-                    [("length", pa.int32()), ("hash", pa.int64()), ("words", pa.string()), ("item", pa.string())]))
-
-    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(f"{text_col} is not null") \
-        .mapInArrow(run, "length int, hash long, words string, item string").filter("item is not null").distinct()
+                    out["item"].append(ids[i])
+            kinds = [("length", pa.int32()), ("hash", pa.int64()), ("words", pa.string()), ("item", pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds], names=[n for n, _ in kinds])
+
+    known = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return (known.select(F.col(id_col).cast("string"), F.col(text_col))
+            .mapInArrow(run, "length int, hash long, words string, item string").distinct())
 
 
 class WindowSet:

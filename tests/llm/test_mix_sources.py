@@ -66,7 +66,8 @@ def test_schedule_follows_the_weights(spark, make_docs):
     rows = [(i, "w " * 100, None, "abc"[i % 3]) for i in range(600)]
     sized, pieces = M.mix(make_docs(rows), block=50)
     p = pieces.filter("slot is not null").groupBy("slot").agg(F.countDistinct("src").alias("s"), F.sum("words").alias("w")).collect()
-    assert all(r.s == 1 and r.w == 50 for r in p)               # a slot is one full block of one source
+    # a slot is one block of one source; only a source's last block is partial
+    assert all(r.s == 1 and r.w <= 50 for r in p) and sum(r.w < 50 for r in p) <= 3
     goal = {r.src: r.target for r in sized.select("src", "target").distinct().collect()}
     order = [r.src for r in pieces.select("slot", "src").distinct().filter("slot is not null").orderBy("slot").collect()]
     total = sum(goal.values())
