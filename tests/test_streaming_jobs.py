@@ -42,12 +42,15 @@ def _tables(spark, root):
     return {n: sorted(map(str, df.collect())) for n, df in J.load_state(spark, root).tables().items()}
 
 
+WHOLE = {}
+
+
 @pytest.mark.parametrize("stop_after", range(6))
 def test_replay_after_a_stop_at_any_write(spark, tmp_root, monkeypatch, stop_after):
     """A run stopped after k of its five table writes (5: before the log row)
     is replayed and ends with the tables of an undisturbed run."""
     d = SF_SMALL
-    pages = H.render_listing_pages(spark, d).filter("page_id < 3")
+    pages = H.render_listing_pages(spark, d).filter("page_id < 1")
     det, prof = H.render_detail_pages(spark, d), H.render_profile_pages(spark, d)
     pages.write.parquet(f"{tmp_root}/drops/d=0")
     held = QJ.held_state(spark, d)
@@ -71,8 +74,10 @@ def test_replay_after_a_stop_at_any_write(spark, tmp_root, monkeypatch, stop_aft
     assert set(M.committed_runs(spark, f"{tmp_root}/broken")) == {M.BASE_RUN}
     monkeypatch.undo()
     stream("broken")
-    stream("whole")
-    assert _tables(spark, f"{tmp_root}/broken") == _tables(spark, f"{tmp_root}/whole")
+    if not WHOLE:
+        stream("whole")
+        WHOLE.update(_tables(spark, f"{tmp_root}/whole"))
+    assert _tables(spark, f"{tmp_root}/broken") == WHOLE
 
 
 def test_index_stream_needs_a_stored_index_and_keeps_postings_in_step(spark, tmp_root):
