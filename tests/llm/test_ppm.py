@@ -108,3 +108,26 @@ def test_model_beats_simpler_ones_on_held_out_texts(spark):
     assert -got["score"].sum() / size.sum() < 0.75 * entropy        # well below single-byte code length
     again = P.score_documents(docs.repartition(7)).filter("held_out").toPandas().sort_values("doc_id")
     assert np.allclose(again["score"], got.sort_values("doc_id")["score"], rtol=1e-6)
+
+
+def same_scores(rows, df, **kw):
+    got = sorted(((r.doc_id, r.score) for r in P.score_documents(df, **kw).collect()), key=str)
+    texts = [(t or "").encode() for _, t in rows]
+    order = kw.get("order", P.ORDER)
+    want = sorted(zip((i for i, _ in rows), plain_ppm([t for (i, _), t in zip(rows, texts) if not held(i)], texts, order, 1 << 40)), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("order", [0, 1, 4])
+def test_scores_match_plain_ppm(make_docs, small_docs, order):
+    rows = [(i, t[:400]) for i, t, *_ in small_docs[:60]] + [(None, "no id é"), (900, None), (901, ""), (902, "zzz 漢字 \0\0 qq")]
+    same_scores(rows, make_docs(rows).repartition(3), order=order)
+
+
+def test_rare_contexts_stay_in_the_model(make_docs):
+    # "qzxj" holds far less than 1/8192 of all bytes, and its next byte is known from training
+    train = [i for i in range(40) if not held(i)]
+    out = next(i for i in range(100, 200) if held(i))
+    rows = [(i, "the cat sat on the mat " * 100) for i in train] + [(90 if not held(90) else 91, "qzxjw qzxjw")] + [(out, "qzxjw")]
+    same_scores(rows, make_docs(rows))
