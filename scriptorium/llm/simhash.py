@@ -6,6 +6,10 @@ occurs.  Each term hash votes on 64 signed bits: the votes are summed two bits
 to a long (32-bit lanes), in a partial-free aggregate that needs no shuffle
 because rows are already dealt by id range.
 
+The search takes fingerprints within RADIUS bits, which five-word shingles of
+Jaccard 0.98 or more mostly are; texts of similarity 0.8 mostly are not (README
+has the measured recall).  Such texts are the n-gram join's to find.
+
 Neighbours by id: ids are cut into ranges at approximate quantiles (any cut is
 correct, quantiles make it even), one shuffle deals texts to their range, and
 the largest id of each range is also dealt to the next higher range, so every

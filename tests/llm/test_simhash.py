@@ -109,3 +109,39 @@ def test_query(spark, small_docs):
     assert mine == [w[:5] for w in want]
     by = {w[0]: w for w in want}
     assert all(r.near_edited == near(by[r.doc_id][3], by[r.doc_id][4]) and r.near_next == near(by[r.doc_id][3], by[r.doc_id][5]) for r in got)
+
+
+def shingles(w):
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def edited_pairs(texts, n, seed=5):
+    """(Jaccard of the five-word shingles by brute force, text, the text with some words replaced)"""
+    rng = random.Random(seed)
+    texts = [t.split() for t in texts if t and len(t.split()) >= 30]
+    out = []
+    while len(out) < n:
+        w = rng.choice(texts)
+        e = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 30))):
+            e[rng.randrange(len(e))] = f"e{rng.randrange(10 ** 6)}"
+        a, b = shingles([x.lower() for x in w]), shingles([x.lower() for x in e])
+        out.append((len(a & b) / len(a | b), " ".join(w), " ".join(e)))
+    return out
+
+
+def recall_by_similarity(make_docs, texts, n, bands):
+    """Per band of Jaccard: pairs, and the share whose fingerprints lie within RADIUS bits."""
+    pairs = edited_pairs(texts, n)
+    rows = [(2 * i + k, t[k + 1]) for i, t in enumerate(pairs) for k in (0, 1)]
+    fp = {r.doc_id: r.fp % (1 << 64) for r in S.fingerprints(make_docs(rows)).select("doc_id", "fp").collect()}
+    near = [(p[0], (fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= S.RADIUS) for i, p in enumerate(pairs)]
+    return {b: (sum(b[0] <= j < b[1] for j, _ in near), sum(ok for j, ok in near if b[0] <= j < b[1])) for b in bands}
+
+
+def test_radius_covers_nearly_equal_texts_only(make_docs, small_docs):
+    """What README states: n_near is no search for texts of similarity 0.8."""
+    got = recall_by_similarity(make_docs, [t for _, t, *_ in small_docs], 1500, [(0.78, 0.86), (0.97, 1.01)])
+    (n, low), (m, high) = got.values()
+    assert n > 100 and m > 10
+    assert low < 0.15 * n and high > 0.45 * m
