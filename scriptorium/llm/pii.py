@@ -54,6 +54,9 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _SEP = str.maketrans("", "", " -")
+#: Characters of an IBAN by country; other countries' codes may have any length.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
+                "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 
 
 def luhn_ok(digits: str) -> bool:
@@ -73,6 +76,21 @@ def iban_ok(code: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(t: str) -> list[tuple[int, int]]:
+    """Confirmed codes.  A proposal may reach into upper-case text after the code, so its shorter group ends are
+    tried too: the country's length first, then the longest.  A rejected start does not hide later ones."""
+    out, m = [], _IBAN.search(t)
+    while m:
+        code, s = m.group(), m.start()
+        ends = [i for i in range(len(code), 14, -1) if i == len(code) or code[i] == " "]
+        ends.sort(key=lambda i: i - code.count(" ", 0, i) != IBAN_LENGTHS.get(code[:2]))
+        end = next((s + i for i in ends if iban_ok(code[:i])), None)
+        if end:
+            out.append((s, end))
+        m = _IBAN.search(t, end or s + 1)
+    return out
+
+
 def _emails(t: str) -> list[tuple[int, int]]:
     out, end, at = [], 0, t.find("@")
     while at >= 0:
@@ -114,7 +132,7 @@ def score(t: str, start: int, end: int, kind: str, window: int = WINDOW) -> floa
 def added_spans(t: str, taken: list[tuple[int, int, str]], window: int = WINDOW,
                 threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Confirmed and well-scored spans of the added kinds that touch no base span."""
-    found = [(m.start(), m.end(), "iban") for m in _IBAN.finditer(t) if iban_ok(m.group())]
+    found = [(s, e, "iban") for s, e in _ibans(t)]
     if "-" in t:
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(t)
                   if m.group()[:3] not in ("000", "666") and m.group()[0] != "9"

@@ -71,3 +71,12 @@ def test_odd_rows(make_docs):
     got = find_pii(make_docs(rows)).select("doc_id", "n", "spans", "n_email").collect()
     assert len(got) == len(rows) and all(r.n == "x" and r.n_email == 0 for r in got)
     assert find_pii(make_docs([])).count() == 0
+
+
+def test_iban_before_upper_case_text(make_docs):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"{iban} BIC COBADEFFXXX", f"{iban} 1234 5678 X", f"pay {iban.replace(' ', '')} BIC COBADEFFXXX", f"AB12 CDEF {iban} OK",
+             f"{iban} {iban}", "DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX"]
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.pii if s.kind == "iban"]
+           for r in find_pii(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: [iban], 1: [iban], 2: [iban.replace(" ", "")], 3: [iban], 4: [iban, iban], 5: []}
