@@ -29,11 +29,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; documents without an id stay."""
-    groups = ngram_join.near_duplicate_groups(docs)
-    firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group of near copies one row stays: the one with the smallest id, then row hash; rows without an id
+    come last.  A row is known by a hash of all its columns, so rows that repeat an id with another text are
+    documents of their own, and equal rows are one."""
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    groups = (ngram_join.near_duplicate_groups(keyed, id_col="_key")
+              .select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
+    firsts = (groups.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id")
+              .agg(first.alias("first")).select(F.col("first._key").alias("_key")))
+    return keyed.join(firsts, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,16 @@ def test_odd_documents(spark, make_docs, tmp_path):
         for _, stage in P.STAGES:
             out = P.materialize(stage(spark, out, SF), "odd")
         assert out.count() <= len(ODD)
+
+
+def test_only_near_copies_go(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text that is like no other text here"), (1, "a second text under the same id as the first one"),
+            (2, long), (3, long + " more"), (None, long), (None, "no id, and like nothing else in this table"),
+            (None, "no id, copied word by word in this table"), (None, "no id, copied word by word in this table"),
+            (4, "same row twice, word by word the same"), (4, "same row twice, word by word the same")]
+    docs = make_docs(rows).select(*P.COLUMNS)
+    want = {rows[i] for i in (0, 1, 2, 5, 6, 8)}
+    for n in (1, 5):
+        got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs.repartition(n), SF).collect()]
+        assert len(got) == len(want) and set(got) == want
