@@ -1,7 +1,13 @@
+import hashlib
+import math
+from collections import defaultdict
+
 import corpus_pipeline as P
 
 from scriptorium.llm import decontaminate
 
+from . import test_decontaminate, test_line_dedup, test_mix_sources, test_ngram_join
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -49,3 +55,30 @@ def test_only_near_copies_go(spark, make_docs):
     for n in (1, 5):
         got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs.repartition(n), SF).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def plain_stages(rows, items):
+    """The stages after language identification, on (doc_id, text, lang, source) rows with unique ids."""
+    other = {r[0]: r[2:] for r in rows}
+    rows = [(i, t, *other[i]) for i, _, _, t in test_line_dedup.brute(rows)]
+    stay = {i for i, _, c in test_ngram_join.brute(rows) if i == c}
+    rows = [r for r in rows if r[0] in stay]
+    gone = {i for i, n, hit, *_ in test_decontaminate.brute(rows, items) if hit and 20 * hit >= n}
+    rows = [r for r in rows if r[0] not in gone]
+    n, goal = test_mix_sources.targets(rows)
+    off, out = defaultdict(int), []
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}:mix-1".encode()).hexdigest()):
+        k, src, top = test_mix_sources.size(r[1]), r[3], math.floor(goal[r[3]])
+        taken = sum(max(0, min(k, top - p * n[src] - off[src])) for p in (0, 1))
+        off[src] += k
+        out.append((r[0], k, n[src], round(goal[src], 3), taken))
+    return sorted(out)
+
+
+def test_run_gives_the_rows_of_plain_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = P.materialize(P.identify_language(spark, docs, SF), "kept").collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = plain_stages([(r.doc_id, r.text, r.lang, r.source) for r in kept], items)
+    got = sorted((r.doc_id, r.size, r.source_size, round(r.target, 3), r.taken) for r in P.run(spark, SF).collect())
+    assert len(want) > 100 and got == want
