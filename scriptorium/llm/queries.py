@@ -3,13 +3,14 @@ express them.  Each reads its whole tables with production parameters."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, line_dedup, mix_sources, ngram_join, pii, ppm, simhash, suffix_dedup,
-               warc_zip)
+from . import (decontaminate, hard_negatives, language_id, line_dedup, mix_sources, ngram_join, one_bit_codes, pii, ppm,
+               simhash, spelling_variants, suffix_dedup, warc_zip)
 from .common import is_in_fold, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +231,112 @@ def op10(spark, sf_dir):
     model = language_id.fit(docs.filter(~held_out))
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+# ------------------------------------------------------ spelling variants ---
+_MISSPELT = 97      # of the runs of letters, one in so many loses a letter
+OP11_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)),
+           lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+  WHERE length(w) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || w, ''),
+           lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+                           ELSE [192 | (unicode(ch)::BIGINT >> 6), 128 | (unicode(ch)::BIGINT & 63)] END))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM runs, crc_table),
+spelt AS (
+  SELECT CASE WHEN h % {_MISSPELT} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed),
+counts AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM counts)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN counts b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN counts b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT counts.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+         CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM counts LEFT JOIN best USING (word)),
+up(word, top) AS (
+  SELECT word, word FROM forms UNION ALL SELECT up.word, forms.form FROM up JOIN forms ON up.top = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT up.word, top AS root FROM up JOIN forms ON up.top = forms.word WHERE forms.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN roots USING (word)
+"""
+
+
+def _misspelt(doc_id):
+    """The planted misspellings of a document; rows without an id have none."""
+    if doc_id is None:
+        return None
+    start = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(run: bytes) -> bytes:
+        h = zlib.crc32(run, start)
+        if h % _MISSPELT:
+            return run
+        word = run.decode()
+        at = h % len(word)
+        return (word[:at] + word[at + 1:]).encode()
+    return change
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark, sf_dir):
+    counts = spelling_variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), respell=_misspelt)
+    return spelling_variants.spelling_forms(counts)
+
+
+# --------------------------------------------------------- hard negatives ---
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor, a.label AS label_a, b.vec_id AS id, b.label AS label_b, list_inner_product(a.e, b.e)::BIGINT AS s
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor, id AS positive, s AS p FROM scores WHERE label_a = label_b
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, id) <= 5),
+negatives AS (
+  SELECT anchor, positive, p, id, s, row_number() OVER (PARTITION BY anchor, positive ORDER BY s DESC, id) AS rank
+  FROM positives JOIN scores USING (anchor) WHERE label_a <> label_b AND 50 * p <= 100 * s AND 100 * s <= 95 * p)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, id AS negative_id, p AS positive_score, s AS negative_score
+FROM negatives WHERE rank <= 3
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, moved)
+
+
+# ------------------------------------------------------ nearest neighbours ---
+#: Exact neighbours; what the bounds lose is below one row in many thousands (README), none on the small tables.
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scores
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@query("op13_one_bit_ann", OP13_SQL)
+def op13(spark, sf_dir):
+    found = one_bit_codes.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
