@@ -10,8 +10,9 @@ Broadcast bound: at most ``chunk_windows`` windows at a time.  A larger test
 set is cut into chunks by window hash, one pass over the documents each, and
 the hit words of all passes are merged per document; nothing is dropped.
 
-Inputs out of the ordinary: null text has no words; a null or wordless item,
-or one without an id, gives no window; repeated items, or items that share windows, are all
+Inputs out of the ordinary: null text has no words; a null or wordless item
+gives no window; items without an id count as one item, which is counted but
+not named in ``item_ids``; repeated items, or items that share windows, are all
 reported; repeated document rows are judged alike; clashing input columns are
 replaced; an empty test set leaves every document clean.
 """
@@ -66,8 +67,7 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_i
             kinds = [("length", pa.int32()), ("hash", pa.int64()), ("words", pa.string()), ("item", pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds], names=[n for n, _ in kinds])
 
-    known = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return (known.select(F.col(id_col).cast("string"), F.col(text_col))
+    return (benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col))
             .mapInArrow(run, "length int, hash long, words string, item string").distinct())
 
 
@@ -86,7 +86,7 @@ class WindowSet:
         s, e, of = words(low, offs, NON_ALNUM)
         w = word_hashes(low, s, e)
         cover = np.zeros(len(s) + 1, np.int32)
-        items: dict[int, set[str]] = defaultdict(set)
+        items: dict[int, set[str | None]] = defaultdict(set)
         for k, (keys, found) in self.sets.items():
             h, at = shingle_hashes(w, of, k)
             if not len(h):
@@ -115,12 +115,13 @@ def _scan(docs: DataFrame, text_col: str, rows, keep_text: bool) -> DataFrame:
         tests = WindowSet(shared.value)
         for rb in batches:
             col = rb.column(rb.schema.get_field_index(text_col))
-            n_words, n_hit, ids, spans = [], [], [], []
+            n_words, n_hit, n_items, ids, spans = [], [], [], [], []
             for i, j, b, offs in text_slices(col):
                 s, e, of, hit, items = tests.hits(b, offs)
                 n_words += np.bincount(of, minlength=j - i).tolist()
                 n_hit += np.bincount(of[hit], minlength=j - i).tolist()
-                ids += [sorted(items[x]) if x in items else [] for x in range(j - i)]
+                n_items += [len(items[x]) if x in items else 0 for x in range(j - i)]
+                ids += [sorted(y for y in items[x] if y is not None) if x in items else [] for x in range(j - i)]
                 runs = [[] for _ in range(j - i)]
                 at = np.flatnonzero(hit)
                 if len(at):     # maximal runs of hit words, as byte spans of their text
@@ -139,7 +140,7 @@ def _scan(docs: DataFrame, text_col: str, rows, keep_text: bool) -> DataFrame:
             keep = [(n, c) for n, c in zip(rb.schema.names, rb.columns) if keep_text or n != text_col]
             yield pa.RecordBatch.from_arrays(
                 [*(c for _, c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())),
+                 pa.array(n_items, pa.int64()), pa.array(ids, pa.list_(pa.string())),
                  pa.array(spans, pa.list_(span))], names=[*(n for n, _ in keep), *NEW])
 
     fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
@@ -173,13 +174,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         for a, z in zip(NEW, names):
             out = out.withColumnRenamed(a, z)
     every = lambda x: [F.col(f"_{x}_{c}") for c in range(chunks)]
+    unnamed = F.greatest(*[a - F.size(b) for a, b in zip(every("n_items"), every("item_ids"))])
     word_ids = F.array_distinct(F.flatten(F.array(*[
         F.flatten(F.transform(s, lambda r: F.sequence(r["first"], r["last"]))) for s in every("hit_spans")])))
     out = (out.withColumn("n_words", F.col("_n_words_0"))
            .withColumn("n_hit", F.size(word_ids).cast("long"))
+           .withColumn("_unnamed", unnamed)
            .withColumn("item_ids", F.array_sort(F.array_distinct(F.flatten(F.array(*every("item_ids"))))))
            .withColumn("hit_spans", _merged(F.array_sort(F.flatten(F.array(*every("hit_spans"))))))
-           .withColumn("n_items", F.size("item_ids").cast("long")))
+           .withColumn("n_items", (F.size("item_ids") + F.col("_unnamed")).cast("long")))
     keep = [c for c in docs.columns if keep_text or c != text_col]
     return out.select(*keep, *NEW)
 

@@ -21,7 +21,7 @@ def brute(rows, items, size=13):
         w = norm(t)
         k = min(size, len(w))
         for j in range(len(w) - k + 1 if k else 0):
-            tests.setdefault((k, tuple(w[j:j + k])), set()).add(str(i))
+            tests.setdefault((k, tuple(w[j:j + k])), set()).add(None if i is None else str(i))
     lengths = {k for k, _ in tests}
     for r in rows:
         w = norm(r[1])
@@ -32,7 +32,7 @@ def brute(rows, items, size=13):
                 if got:
                     hit |= set(range(j, j + k))
                     ids |= got
-        out.append((r[0], len(w), len(hit), len(ids), sorted(ids)))
+        out.append((r[0], len(w), len(hit), len(ids), sorted(x for x in ids if x is not None)))
     return sorted(out, key=str)
 
 
@@ -69,13 +69,11 @@ def rows(items):
 
 @pytest.mark.parametrize("chunk", [D.CHUNK_WINDOWS, 20])
 def test_matches_brute_force(make_docs, rows, items, chunk):
-    known = [x for x in items[0] if x[0] is not None]
-    assert run(make_docs(rows).repartition(3), items[1], chunk_windows=chunk) == brute(rows, known)
+    assert run(make_docs(rows).repartition(3), items[1], chunk_windows=chunk) == brute(rows, items[0])
 
 
 def test_removal(make_docs, rows, items):
-    known = [x for x in items[0] if x[0] is not None]
-    want = {r[0] for r in brute(rows, known) if not (r[2] > 0 and 20 * r[2] >= r[1])}
+    want = {r[0] for r in brute(rows, items[0]) if not (r[2] > 0 and 20 * r[2] >= r[1])}
     kept = D.remove_contaminated(make_docs(rows), items[1])
     assert kept.columns == make_docs([]).columns and {r.doc_id for r in kept.collect()} == want
     cut = D.remove_contaminated(make_docs(rows), items[1], mode="spans")
@@ -84,6 +82,15 @@ def test_removal(make_docs, rows, items):
     assert norm(texts[100]) == ["a", "b"] and norm(texts[102]) == [] and texts[1] is None
 
 
+def test_items_without_an_id_count_but_have_no_name(make_docs, spark):
+    words = [" ".join(f"{x}{i}" for i in range(13)) for x in "abc"]
+    bench = spark.createDataFrame([(None, words[0]), (None, words[1]), (7, words[2])], "item_id long, text string")
+    docs = make_docs([(1, words[0]), (2, f"{words[0]} x {words[1]}"), (3, f"{words[2]} {words[1]}"), (4, "nothing")])
+    for chunk in (D.CHUNK_WINDOWS, 1):
+        got = run(docs, bench, chunk_windows=chunk)
+        assert got == [(1, 13, 13, 1, []), (2, 27, 26, 1, []), (3, 26, 26, 2, ["7"]), (4, 1, 0, 0, [])]
+
+
 def test_empty_tables(make_docs, items, spark):
     assert D.find_contamination(make_docs([]), items[1]).count() == 0
     got = D.find_contamination(make_docs([(1, "alone")]), items[1].limit(0)).first()
