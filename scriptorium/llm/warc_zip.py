@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import join_back, materialize, scratch_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+READ_BYTES = 4 << 20
 ROLL_BYTES = 256 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -245,9 +246,10 @@ def record_ranges(manifest: DataFrame) -> DataFrame:
     return paths.repartition(F.col("path")).mapInArrow(run, "path string, start long, length long")
 
 
-def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_records(manifest: DataFrame, with_payload: bool = True, read_bytes: int = READ_BYTES) -> DataFrame:
     """The records of the packages: page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest (and payload), each read by its range."""
+    payload_bytes, payload_digest (and payload), each read by its range; a
+    task reads about ``read_bytes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
                  ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
@@ -265,5 +267,7 @@ def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
     ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
     ranges = record_ranges(manifest)
-    dealt = ranges.repartitionByRange(F.col("path"), F.col("start")).sortWithinPartitions("path", "start")
+    # the ranges are small rows that stand for many bytes, so the number of tasks follows from the packages' sizes
+    parts = manifest.agg(F.coalesce(F.ceil(F.sum("bytes") / read_bytes), F.lit(1))).first()[0]
+    dealt = ranges.repartitionByRange(int(parts), F.col("path"), F.col("start")).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(run, ddl + (", payload binary" if with_payload else ""))

@@ -40,6 +40,14 @@ def test_round_trip(spark, roll):
     assert {r.url for r in full if r.page_id == 3} == {"http://a/1"} and [r.url for r in full if r.page_id == 2] == [None]
 
 
+def test_ranges_are_read_in_tasks_by_their_bytes(spark):
+    rows = [(i, f"u{i}", f"{i} " * 300, "q") for i in range(400)]
+    manifest = W.write_packages(spark.createDataFrame(rows, PAGES).repartition(2))
+    size = manifest.agg({"bytes": "sum"}).first()[0]
+    read = W.read_records(manifest, read_bytes=size // 6)
+    assert read.rdd.getNumPartitions() >= 6 and sorted(r.page_id for r in read.collect()) == list(range(400))
+
+
 def test_least_size_and_empty_table(spark):
     assert records(spark.createDataFrame(ROWS, PAGES), min_bytes=9)[0] == brute(ROWS, 9)
     assert records(spark.createDataFrame([], PAGES))[0] == []
