@@ -6,8 +6,8 @@ Every proposal has a kind, a span in code points and a score:
   validators (parts at most 255, Luhn, digit counts).  They are kept whatever
   their score;
 * added kinds ``iban`` (mod-97), ``ssn`` and ``local_phone`` (no country code)
-  start from a prior, gain when a context word stands within ``window`` code
-  points and are kept from ``threshold`` on.  A bare digit pattern therefore
+  start from a prior, gain when a context word (a whole word, or its plural)
+  stands within ``window`` code points and are kept from ``threshold`` on.  A bare digit pattern therefore
   needs its context; a checksum alone is enough for an IBAN.  An added span
   that overlaps a base span is dropped.
 
@@ -35,15 +35,16 @@ THRESHOLD = 0.6
 #: Prior score, and the words that raise it when they stand near.
 PRIORS = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.8, "ssn": 0.35, "local_phone": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("email", "mail", "contact", "write"),
     "ip": ("ip", "server", "host", "address"),
     "card": ("card", "visa", "credit", "payment", "carte", "tarjeta", "karte"),
-    "phone": ("call", "phone", "tel", "mobile", "fax"),
+    "phone": ("call", "phone", "telephone", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security"),
-    "local_phone": ("call", "phone", "tel", "mobile", "fax"),
+    "local_phone": ("call", "phone", "telephone", "tel", "mobile", "fax"),
 }
 GAIN = 0.35
+_CONTEXT = {k: re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, v))})s?(?![^\W_])", re.IGNORECASE) for k, v in CONTEXT.items()}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -125,8 +126,12 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
 
 def score(t: str, start: int, end: int, kind: str, window: int = WINDOW) -> float:
     """Prior plus gain when a context word of the kind stands near."""
-    near = (t[max(0, start - window):start] + " " + t[end:end + window]).lower()
-    return min(1.0, PRIORS[kind] + (GAIN if any(w in near for w in CONTEXT[kind]) else 0.0))
+    word = _CONTEXT[kind]
+    # one character more on the far sides shows whether a word begins or ends there
+    near = word.search(t[max(0, start - window - 1):start], 1 if start > window else 0)
+    if not near:
+        near = next((m for m in word.finditer(t[end:end + window + 1]) if m.end() <= window), None)
+    return min(1.0, PRIORS[kind] + (GAIN if near else 0.0))
 
 
 def added_spans(t: str, taken: list[tuple[int, int, str]], window: int = WINDOW,

@@ -54,6 +54,17 @@ def test_added_spans_need_confirmation_or_context(make_docs):
     assert [k for k, _ in got[5]] == ["local_phone"] and got[6] == [("email", 1.0)]
 
 
+def test_context_words_are_whole_words(make_docs):
+    rows = [(1, "hotel 555-010-9999"), (2, "shipped locally 555-010-9999"), (3, "shipping 1.2.3.4"), (4, "ip 1.2.3.4"),
+            (5, "Tel.: 555-010-9999"), (6, "555-010-9999 (fax)"), (7, "phones 555-010-9999"),
+            # "call" begins 40 characters before the number, but inside a longer word
+            (8, "recall " + "." * 35 + " 555-010-9999"), (9, "555-010-9999 " + "." * 35 + " teller"),
+            (10, "call " + "." * 34 + " 555-010-9999"), (11, "555-010-9999 " + "." * 35 + " tel")]
+    got = {r.doc_id: [(s.kind, s.score) for s in r.pii] for r in find_pii(make_docs(rows)).collect()}
+    assert got[3] == [("ip", 0.7)] and got[4] == [("ip", 1.0)]
+    assert [i for i in got if i not in (3, 4) and got[i]] == [5, 6, 7, 10, 11]
+
+
 def test_query_equals_brute_force(spark, make_docs, small_docs):
     from scriptorium.llm.queries import QUERIES
     got = {r.doc_id: r for r in QUERIES["op2_pii"](spark, "/root/testdata/sf0.001").collect()}
