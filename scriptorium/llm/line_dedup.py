@@ -54,11 +54,12 @@ class LineRuns:
     and sorted by key, so a merge join reads them without a shuffle."""
 
     def __init__(self, spark: SparkSession, fan: int = 2):
-        self.spark, self.fan = spark, fan
+        self.spark, self.fan, self.names = spark, fan, []
         self.levels: dict[int, list[str]] = defaultdict(list)
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.names.append(name)
         (df.write.bucketBy(shuffle_partitions(self.spark), "h1", "h2").sortBy("h1", "h2")
          .option("path", scratch_path(self.spark, "line-run")).saveAsTable(name))
         return name
@@ -85,6 +86,12 @@ class LineRuns:
         self._compact()
         return self.spark.table(name)
 
+    def forget(self) -> None:
+        """Take the runs out of the catalog, once nothing reads them any more."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.levels = [], defaultdict(list)
+
     def _compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fan:
@@ -121,7 +128,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         d = d.select(F.lit(b).alias("batch"), "h1", "h2", "n", "owner")
         decided = d if decided is None else decided.unionByName(d)
     lost = join_back(pairs, decided, ["batch", "h1", "h2"], "n", "did").filter("did > owner")
-    return lost.groupBy("did").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    drops = materialize(lost.groupBy("did").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")), "lost-lines")
+    runs.forget()
+    return drops
 
 
 def _apply(text_col: str):

@@ -69,6 +69,14 @@ def test_runs_are_compacted_and_disjoint(spark, make_docs):
     assert every.count() == every.select("h1", "h2").distinct().count() == 7
 
 
+def test_no_run_stays_in_the_catalog(spark, make_docs):
+    rows = [(i, f"line number {i % 7} of some\nanother line {i}") for i in range(40)]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = dedup_lines(make_docs(rows), batches=3)
+    assert sum(r.n_dropped for r in got.collect()) == 33
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_query_on_small_tables(spark, small_docs):
     from scriptorium.llm.queries import QUERIES
     got = {r.doc_id: r.kept_sha256 for r in QUERIES["op1_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
