@@ -33,9 +33,8 @@ from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize
@@ -156,35 +155,13 @@ def near_pairs(a: list[str], b: list[str] | None) -> tuple[np.ndarray, np.ndarra
     return i[good], j[good]
 
 
-def _packed(groups: int):
-    """One row per block part: its words, one to a line, and their counts; and the keys of the blocks it meets."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("word")
-        key, part, parts = g["key"].iloc[0], int(g["part"].iloc[0]), int(g["parts"].iloc[0])
-        size, *sums = map(int, key.split(","))
-        meets = [key]
-        for x in range(groups):
-            more = sums.copy()
-            more[x] += 1
-            meets.append(",".join(map(str, (size + 1, *more))))
-            for y in range(groups):
-                if y != x and sums[y]:
-                    moved = more.copy()
-                    moved[y] -= 1
-                    if moved > sums:        # each two blocks once
-                        meets.append(",".join(map(str, (size, *moved))))
-        return pd.DataFrame({"key": [key], "part": [part], "words": ["\n".join(g["word"])],
-                             "n": [g["n"].to_numpy(np.int64).tobytes()], "meets": [meets]})
-    return run
-
-
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         cols: list[list] = [[], [], [], []]
-        for key, part, words, n, key2, part2, words2, n2 in zip(*(c.to_pylist() for c in rb.columns)):
-            a, na = words.split("\n"), np.frombuffer(n, np.int64)
-            same = (key, part) == (key2, part2)
-            b, nb = (a, na) if same else (words2.split("\n"), np.frombuffer(n2, np.int64))
+        for key, part, words, n, key2, part2, words2, n2 in zip(*rb.columns):
+            same = key.as_py() == key2.as_py() and part.as_py() == part2.as_py()
+            a, na = words.as_py().split("\n"), n.values.to_numpy()
+            b, nb = (a, na) if same else (words2.as_py().split("\n"), n2.values.to_numpy())
             i, j = near_pairs(a, None if same else b)
             if len(i):
                 wa, wb = np.array(a, object), np.array(b, object)
@@ -194,17 +171,33 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           for c, t in zip(cols, (pa.string(), pa.int64()) * 2)], names=["word", "n", "near", "near_n"])
 
 
+def _key(size, sums: Column) -> Column:
+    return F.concat_ws(",", F.col(size) if isinstance(size, str) else size, sums.cast("array<string>"))
+
+
+def _meets(groups: int) -> Column:
+    """The keys of the blocks that a block meets, each two blocks once: itself, the next length with a letter more in
+    a group, and the same length with a letter moved from a later group to an earlier one."""
+    def changed(by: dict[int, int]) -> Column:
+        return F.array(*[F.col("sums")[i] + by.get(i, 0) for i in range(groups)])
+
+    more = [_key(F.col("size") + 1, changed({i: 1})) for i in range(groups)]
+    moved = [F.when(F.col("sums")[j] > 0, _key("size", changed({i: 1, j: -1}))) for j in range(groups) for i in range(j)]
+    return F.array_compact(F.array(_key("size", F.col("sums")), *more, *moved))
+
+
 def near_words(counts: DataFrame) -> DataFrame:
     """(word, n, near, near_n): both directions of every two words one edit apart; ``counts`` is a written table."""
     groups = group_count(counts.count())
     points = F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(groups)))
     sums = [F.size(F.filter("g", lambda x: x == i)) for i in range(groups)]
-    keyed = (counts.withColumn("g", points)
-             .select("word", "n", F.length("word").alias("size"), F.concat_ws(",", F.length("word"), *sums).alias("key")))
-    per = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_CHARS)).alias("parts"))
-    placed = keyed.join(per, "key").withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")))
-    blocks = materialize(placed.select("key", "part", "parts", "word", "n").groupBy("key", "part")
-                         .applyInPandas(_packed(groups), "key string, part long, words string, n binary, meets array<string>"), "word-blocks")
+    sized = counts.withColumn("g", points).select("word", "n", F.length("word").alias("size"), F.array(*sums).alias("sums"))
+    shape = ["size", "sums"]
+    per = sized.groupBy(*shape).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_CHARS)).alias("parts"))
+    placed = sized.join(per, shape).withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")))
+    blocks = placed.groupBy(*shape, "part").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("x"))
+    blocks = materialize(blocks.select(_key("size", F.col("sums")).alias("key"), "part", F.array_join("x.word", "\n").alias("words"),
+                                       F.col("x.n").alias("n"), _meets(groups).alias("meets")), "word-blocks")
     left = blocks.select("key", "part", "words", "n", F.explode("meets").alias("key2"))
     right = blocks.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("words").alias("words2"), F.col("n").alias("n2"))
     pairs = left.join(right, "key2").filter("key <> key2 or part <= part2")
