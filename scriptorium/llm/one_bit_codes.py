@@ -62,10 +62,17 @@ def code_bits(dims: int, per_component: int) -> int:
     return max(8, -(-max(1, dims) * max(1, per_component) // 8) * 8)
 
 
+def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, lengths), whatever the size of the components."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    small = vectors / np.where(most > 0, most, 1)[:, None]
+    length = np.sqrt((small * small).sum(axis=1))
+    return small / np.where(length > 0, length, 1)[:, None], length * most
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, f, length) of each row."""
-    length = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = vectors / np.where(length > 0, length, 1)[:, None]
+    unit, length = units(vectors)
     turned = unit @ turn
     return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1]), length
 
@@ -75,13 +82,12 @@ def estimates(codes: np.ndarray, f: np.ndarray, length: np.ndarray, queries: np.
     """(estimated inner products, half-widths of their bounds), a row per query."""
     bits = turn.shape[1]
     signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32)
-    turned = (queries @ turn).astype(np.float32)
-    scale = (length / f / np.sqrt(bits)).astype(np.float32)
+    unit, size = units(queries)
+    turned = (unit @ turn).astype(np.float32)
     # <2 s - 1, q> over the +-1 signs, from the 0/1 bits
-    est = (2 * (turned @ signs.T) - turned.sum(axis=1, keepdims=True)) * scale
-    width = epsilon * length * np.sqrt(np.maximum(0, 1 - f * f) / (f * f * max(1, bits - 1))) + 1e-6 * length
-    size = np.sqrt((queries * queries).sum(axis=1))
-    return est, (size[:, None] * width).astype(np.float32)
+    along = 2 * (turned @ signs.T) - turned.sum(axis=1, keepdims=True)
+    width = epsilon * np.sqrt(np.maximum(0, 1 - f * f) / (f * f * max(1, bits - 1))) + 1e-6
+    return along * (length / f / np.sqrt(bits)) * size[:, None], width * length * size[:, None]
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,7 +113,7 @@ def _search(k: int, dims: int, bits: int, epsilon: float, seed: int):
                 lower, least = np.where(own, -np.inf, est - width), known[i:i + TILE].copy()
                 if len(ids) > k:
                     np.maximum(least, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k], out=least)
-                at, col = np.nonzero((est + width >= least[:, None]) & ~own)
+                at, col = np.nonzero(~(est + width < least[:, None]) & ~own)
                 score = np.concatenate([np.zeros(0), *(exact_scores(q[at[j:j + PAIRS]], vectors[col[j:j + PAIRS]])
                                                        for j in range(0, len(at), PAIRS))])
                 good = score >= known[i:i + TILE][at]
@@ -166,4 +172,4 @@ def recall_at(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact (query_id, id) pairs that were found."""
     wanted = exact.select("query_id", "id").distinct()
     got = found.select("query_id", "id", F.lit(1).alias("hit")).distinct()
-    return wanted.join(got, ["query_id", "id"], "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("r")).scalar()
+    return wanted.join(got, ["query_id", "id"], "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
