@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -21,6 +21,7 @@ from ..session import checkpoint_dir
 SLICE_BYTES = 1 << 20       # numpy work is done on runs of whole texts, or of words, of about this size
 HOT_KEYS = 1000             # a join treats at most this many keys as hot (see join_back)
 HOT_SALTS = 64
+EDGES_AT_ONCE = 1 << 20     # connected components: edges (16 bytes each) that one task may finish
 NULL_ID = -(1 << 63)        # stands for a null id inside jobs; it sorts below all ids
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +42,13 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` with totals taken while writing, without a job of their own (missing when there are no rows)."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in sums.items()]), name)
+    return out, seen.get
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -56,17 +64,18 @@ def is_in_fold(id_col: Column, mod: int, remainder: int) -> Column:
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: list[str], n_col: str, salt_by: str,
-              how: str = "inner") -> DataFrame:
+              how: str = "inner", total: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has one row per key and in ``n_col``
     the number of left rows of that key.
 
     A key with more than 1/HOT_KEYS of all rows is hot: its right row is
     copied HOT_SALTS times and its left rows are dealt over the copies by a
     hash of ``salt_by``.  At most HOT_KEYS keys can be hot, which bounds the
-    broadcast.  ``right`` is read three times: pass a written table.
+    broadcast.  ``right`` is read twice, and once more where ``total``, the sum
+    of ``n_col``, is not given: pass a written table.
     """
-    total = right.agg(F.coalesce(F.sum(n_col), F.lit(0)).alias("t")).scalar()
-    is_hot = F.col(n_col) * HOT_KEYS > total
+    most = right.agg(F.coalesce(F.sum(n_col), F.lit(0)).alias("t")).scalar() if total is None else F.lit(total)
+    is_hot = F.col(n_col) * HOT_KEYS > most
     hot = F.broadcast(right.filter(is_hot).select(*keys, F.lit(True).alias("_hot")))
     salted = (left.join(hot, keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(HOT_SALTS)))
@@ -76,17 +85,23 @@ def join_back(left: DataFrame, right: DataFrame, keys: list[str], n_col: str, sa
     return salted.join(copies.drop(n_col), [*keys, "_salt"], how).drop("_salt")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """(node, root): root is the smallest node reachable; ``edges`` has (a, b).
 
     Alternating large-star and small-star rounds.  Each round pre-aggregates
     the smallest neighbour per node and joins it back; rounds are written to
-    the shared folder, and one checksum row comes to the driver.
+    the shared folder, with their number of edges and a checksum.  As soon as
+    no more than ``at_once`` edges are left, which bounds its memory, one task
+    finishes them; more edges go on round by round until nothing changes.
     """
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .distinct(), "edges")
-    seen = None
+    def edge_table(df):
+        e, seen = written(df, "edges", n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")))
+        return e, (seen.get("n") or 0, seen.get("x"))
+
+    e, seen = edge_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
+        if seen[0] <= at_once:
+            return e.coalesce(1).mapInArrow(_finish, "node long, root long")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -94,17 +109,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == seen:
+        e, now = edge_table(small)
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of the edges (u, v) of one task."""
+    ends = [(rb.column(0).to_numpy(), rb.column(1).to_numpy()) for rb in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in ends)]) for k in (0, 1))
+    nodes, root = small_components(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], names=["node", "root"])
+
+
+def small_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable), sorted by node."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    low = np.arange(len(nodes))
+    while len(a):
+        m = np.minimum(low[a], low[b])      # the two roots of an edge hang under the smaller one
+        np.minimum.at(low, low[a], m)
+        np.minimum.at(low, low[b], m)
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        open_ = low[a] != low[b]
+        a, b = a[open_], b[open_]
+    return nodes, nodes[low]
+
+
 # ------------------------------------------------------------- task side ---
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty."""

@@ -75,6 +75,14 @@ def test_connected_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     want = {x: find(x) for x in root if any(y != x and find(y) == find(x) for y in root)}
-    got = C.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    for at_once in (C.EDGES_AT_ONCE, 100, 0):       # in one task, by rounds and then in one task, by rounds alone
+        got = C.connected_components(spark.createDataFrame(edges, "a long, b long"), at_once=at_once).collect()
+        assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_written_counts_while_writing(spark):
+    df, seen = C.written(spark.range(1000, numPartitions=7).withColumn("x", F.col("id") % 3), "t", n=F.count("*"), s=F.sum("x"))
+    assert seen == {"n": 1000, "s": 999} and df.count() == 1000
+    df, seen = C.written(spark.range(0), "t", n=F.count("*"), s=F.sum("id"))
+    assert not seen.get("n") and seen.get("s") is None and df.count() == 0
