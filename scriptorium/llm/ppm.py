@@ -17,10 +17,6 @@ has at most 256 symbols and is the suffix of at most 256 contexts, so no group
 of these joins is larger than that.  The answers meet the batch's texts again.
 The word baseline asks for corpus counts in the same way.
 
-``train_trie`` is the form in memory for small corpora and small models: one
-row of 256 log probabilities per node, contexts below 1/CONTEXTS of all bytes
-left out.  ``score_documents`` does not use it.
-
 Inputs out of the ordinary: null and empty texts have one token (the end) and
 PPM score 0; a row with null id is a training row; repeated rows count and are
 scored each; an empty training set scores all bytes alike; extra columns are
@@ -31,7 +27,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,13 +38,11 @@ from .common import (SLICE_BYTES, SPACES, fold_case, is_in_fold, materialize, mi
                      text_slices, unpack, unpack_sorted, word_hashes, words)
 
 ORDER = 4
-CONTEXTS = 8192
 FLUSH_TOKENS = 1_000_000
 FLUSH_BYTES = 8 << 20
 END = mix(np.array([0x656E64], np.uint64))[0]       # the end token's hash
 
 
-# ------------------------------------------------------------------ trie ---
 def _grams(b: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     """Each byte with the ``order`` bytes before it, most recent last, as one
     integer; before a text stand zero bytes."""
@@ -64,118 +57,6 @@ def _grams(b: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return g
 
 
-def gram_counts(train: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(gram, n) over all training texts, as a written table."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            parts = [np.unique(_grams(b, offs, order), return_counts=True)
-                     for _, _, b, offs in text_slices(rb.column(0)) if len(b)]
-            if not parts:
-                continue
-            g, c = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            if len(parts) > 1:
-                by = np.argsort(g)
-                g, c = g[by], c[by]
-                firsts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-                g, c = g[firsts], np.add.reduceat(c, firsts)
-            yield pa.RecordBatch.from_pydict({"gram": g, "n": c.astype(np.int64)})
-
-    grams = train.select(F.col(text_col)).mapInArrow(run, "gram long, n long")
-    return materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-
-
-@dataclass
-class Trie:
-    """Node 0 is the empty context.  child[node, byte] is the node of the
-    context lengthened by the byte before it (0: none); logp[node, byte] is
-    the byte's log10 probability after the node's context."""
-
-    child: np.ndarray
-    logp: np.ndarray
-    order: int
-
-    def score(self, b: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        n = len(offs) - 1
-        out = np.zeros(n)
-        if not len(b):
-            return out
-        doc = np.repeat(np.arange(n), np.diff(offs))
-        at = np.arange(len(b)) + (doc + 1) * self.order
-        padded = np.zeros(len(b) + n * self.order, np.uint8)
-        padded[at] = b
-        child, node = self.child.reshape(-1), np.zeros(len(b), np.int32)
-        live = np.arange(len(b))
-        for j in range(1, self.order + 1):
-            nxt = child[node[live] * 256 + padded[at[live] - j]]
-            ok = nxt > 0
-            live, nxt = live[ok], nxt[ok]
-            node[live] = nxt
-        v = self.logp.reshape(-1)[node * 256 + b]
-        full = np.flatnonzero(np.diff(offs))
-        out[full] = np.add.reduceat(v, offs[:-1][full], dtype=np.float64)
-        return out
-
-
-def build_trie(nodes: pd.DataFrame, order: int = ORDER) -> Trie:
-    """From rows (level, context, symbol, n); every context's suffix is a node too."""
-    ids: dict[tuple[int, int], int] = {(0, 0): 0}
-    levels = []
-    for level in range(order + 1):
-        rows = nodes[nodes["level"] == level]
-        contexts = np.unique(rows["context"].to_numpy()) if level else np.zeros(1, np.int64)
-        first = len(ids) if level else 0
-        for i, c in enumerate(contexts.tolist()):
-            ids[level, c] = first + i
-        levels.append((first, contexts, rows))
-    child, logp = np.zeros((len(ids), 256), np.int32), np.zeros((len(ids), 256), np.float32)
-    above = None        # counts and fall-back rows of the level above
-    for level, (first, contexts, rows) in enumerate(levels):
-        m = len(contexts)
-        if not m:
-            break
-        counts = np.zeros((m, 256))
-        counts[np.searchsorted(contexts, rows["context"].to_numpy()), rows["symbol"].to_numpy()] = rows["n"].to_numpy()
-        seen = counts > 0
-        n, d = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        if level == 0:
-            fall = np.where(seen, 0.0, 1.0 / np.maximum(1, 256 - d))
-        else:
-            mask = (1 << (8 * (level - 1))) - 1
-            up = np.searchsorted(above[0], contexts & mask)
-            child[above[3] + up, (contexts >> (8 * (level - 1))).astype(np.int64)] = first + np.arange(m)
-            rest = np.where(seen, 0.0, above[1][up])
-            total = rest.sum(1, keepdims=True) + (rest > 0).sum(1, keepdims=True)
-            escape = np.divide((rest > 0).sum(1, keepdims=True), total, out=np.ones((m, 1)), where=total > 0)
-            fall = np.where(rest > 0, np.divide(rest, total, out=np.zeros_like(rest), where=total > 0),
-                            escape * above[2][up])
-            fall = np.where(seen, 0.0, fall)
-        # a node that has seen every byte never escapes
-        open_ = (d < 256) * d
-        escape = np.divide(open_, n + open_, out=np.ones((m, 1)), where=n > 0)
-        p = np.where(seen, np.divide(counts, n + open_, out=np.zeros_like(counts), where=n > 0), escape * fall)
-        logp[first:first + m] = np.log10(p)
-        above = (contexts, counts, fall, first)
-    return Trie(child, logp, order)
-
-
-def train_trie(train: DataFrame, text_col: str = "text", order: int = ORDER, contexts: int = CONTEXTS) -> Trie:
-    """Count over all rows of ``train``; at most ``contexts`` nodes per order reach the driver."""
-    grams = gram_counts(train, text_col, order)
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = None
-    for level in range(order + 1):
-        mask = (1 << (8 * level)) - 1
-        rows = grams.select(F.lit(level).alias("level"), F.shiftright("gram", 8).bitwiseAND(mask).alias("context"),
-                            F.col("gram").bitwiseAND(255).alias("symbol"), "n")
-        rows = rows.groupBy("level", "context", "symbol").agg(F.sum("n").alias("n"))
-        if level:
-            big = rows.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") * contexts >= total)
-            rows = rows.join(big.select("context"), "context", "left_semi").select("level", "context", "symbol", "n")
-        kept = rows if kept is None else kept.unionByName(rows)
-    return build_trie(kept.toPandas(), order)
-
-
 # ------------------------------------------------------------- full model ---
 def _gram_blocks(g: np.ndarray, parts: int) -> np.ndarray:
     """The hash block of each gram."""
