@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +52,69 @@ def test_few_languages(make_docs):
     assert [r.lang_pred for r in L.predict(make_docs([(1, "text")]), none).collect()] == ["und"]
     one = L.fit(make_docs([(1, "text", "en")]))
     assert [(r.lang_pred, r.score) for r in L.predict(make_docs([(1, "text")]), one).collect()] == [("en", 1.0)]
+
+
+def plain_features(text):
+    """Counts of hashed byte trigrams with at most one blank, letters folded, other ASCII made blanks."""
+    b = [32, *(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in (text or "").encode()), 32]
+    out = Counter()
+    for t in zip(b, b[1:], b[2:]):
+        if t.count(32) <= 1:
+            key = t[0] << 16 | t[1] << 8 | t[2]
+            out[(key * 2654435761 % (1 << 32)) >> (32 - (L.DIMS.bit_length() - 1))] += 1
+    return out
+
+
+def plain_ecoc(train, texts):
+    """(language, score) of each text: codewords, linear bits and loss-weighted decoding with plain dictionaries."""
+    langs = sorted({lang for _, lang in train}, key=str.encode)
+    words = [[0] * ((1 << (len(langs) - 1)) - 1)] + [
+        [k >> i & 1 for k in range(1, 1 << (len(langs) - 1))] for i in range(len(langs) - 1)]
+    assert len(langs) <= 7 and words == L.code_book(len(langs)).tolist()
+    counts = {x: Counter() for x in langs}
+    for t, lang in train:
+        counts[lang].update(plain_features(t))
+    total = {x: sum(c.values()) + L.SMOOTH * L.DIMS for x, c in counts.items()}
+    bits = range(len(words[0]))
+
+    def weight(bit, f):
+        side = {0: [], 1: []}
+        for x, w in zip(langs, words):
+            side[w[bit]].append((counts[x][f] + L.SMOOTH) / total[x])
+        return math.log(sum(side[1]) / len(side[1])) - math.log(sum(side[0]) / len(side[0]))
+    known = {}
+
+    def margins(text):
+        fs = plain_features(text)
+        n = sum(fs.values())
+        for f in fs:
+            if f not in known:
+                known[f] = [weight(k, f) for k in bits]
+        return [sum(c * known[f][k] for f, c in fs.items()) / n if n else 0.0 for k in bits]
+    right = [0] * len(bits)
+    for t, lang in train:
+        for k, m in enumerate(margins(t)):
+            right[k] += (m > 0) == (words[langs.index(lang)][k] > 0)
+    share = [(r + 1) / (len(train) + 2) for r in right]
+    trust = [max(0.05, math.log(s / (1 - s))) for s in share]
+    trust = [t * len(trust) / sum(trust) for t in trust]
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        m = margins(text)
+        loss = [sum(t * math.log1p(math.exp(-L.SHARPNESS * x if b else L.SHARPNESS * x)) for t, x, b in zip(trust, m, w)) for w in words]
+        best = min(range(len(langs)), key=lambda i: loss[i])
+        out.append((langs[best], 1 / sum(math.exp(loss[best] - x) for x in loss)))
+    return out
+
+
+def test_query_equals_a_plain_version(spark, small_docs):
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in small_docs}
+    train = [(t, lang) for i, t, lang, _ in small_docs if not held[i] and t is not None and lang is not None]
+    want = dict(zip((r[0] for r in small_docs), plain_ecoc(train, [r[1] for r in small_docs])))
+    got = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(small_docs) == len(want)
+    for i, (lang, score) in want.items():
+        assert (got[i].lang_pred, got[i].held_out) == (lang, held[i]) and got[i].score == pytest.approx(score, abs=1e-3)
