@@ -6,18 +6,28 @@
    size / weight).
 2. Schedule: slot k stands at the fractional part of (k + 1/2) times the
    golden ratio's inverse; the point is mapped through the cumulative targets
-   to a source, and slots are ranked per source.
+   to a source, and slots are ranked per source.  There is about a slot for
+   each block of the mix.  A source whose target asks for more blocks than it
+   has slots gets the missing ranks in tail slots after all others, in order
+   of source and rank, so every prefix follows the weights and the whole meets
+   every target.
 3. Blocks: each source's documents are shuffled by a seeded hash and laid end
-   to end, epoch after epoch, in blocks of ``block`` words; the last block
-   stops at the source's target.  Block r of a source goes to its slot of
-   rank r (blocks beyond the ranked slots come after all slots).
+   to end, epoch after epoch, in blocks of ``block`` words.  Block r of a
+   source is taken at its slot of rank r: a source gives as many blocks as it
+   has slots, and its last block stops at its target.  What has no slot is
+   not in the mix.
+
+Points meet the cumulative targets by a join on equal parts of the range: no
+task holds all sources.
 
 Running totals are two-level (totals per group and bucket, then inside a
 bucket), so a source with most of the rows is summed in many tasks.
 
 Inputs out of the ordinary: null or wordless text has size 0 and is never
 taken; a null source is a source, last in order; repeated rows are laid out
-each for itself; ids may be null; an empty table gives an empty table.
+each for itself; ids may be null; texts of any length are counted whole and
+cut into blocks; extra columns, clashing ones too, are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -75,19 +85,31 @@ def running_total(df: DataFrame, group: str, bucket: str, order: list[str], valu
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, rank, slot): the low-discrepancy schedule, about one slot per block."""
+    """(src, rank, slot): the low-discrepancy schedule; each source has a slot for every block of its target."""
     spark = targets.sparkSession
-    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    n_sources, total = targets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     ends = F.sum("target").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
-    steps = targets.filter("target > 0").select(F.struct(ends.alias("end"), "src").alias("s"))
-    steps = steps.agg(F.array_sort(F.collect_list("s")).alias("steps")).scalar()     # one entry per source
+    spans = targets.filter("target > 0").withColumn("hi", ends).withColumn("lo", F.col("hi") - F.col("target"))
+    # the range in equal parts, about as many as sources; a span lies in the parts it touches
+    parts = max(1, n_sources)
+    part = lambda x: F.least(F.floor(x / F.lit(total) * parts), F.lit(parts - 1)).cast("long")
+    spans = materialize(spans.select("src", "lo", "hi", "target", part(F.col("lo")).alias("p"), part(F.col("hi")).alias("q")), "mix-spans")
     k = (F.col("slot") + F.lit(0.5)) * F.lit(PHI)
-    point = (k - F.floor(k)) * F.lit(float(total))
-    slots = spark.range(int(-(-total // block))).withColumnRenamed("id", "slot").withColumn("steps", steps)
-    slots = slots.select("slot", F.element_at("steps", F.least(
-        F.size("steps"), F.size(F.filter("steps", lambda s: s["end"] <= point)) + 1))["src"].alias("src"))
-    slots = slots.withColumn("_b", F.floor(F.col("slot") / 65536)).withColumn("_one", F.lit(1).cast("long"))
-    return running_total(slots, "src", "_b", ["slot"], "_one", "rank").select("src", "rank", "slot")
+    slots = spark.range(int(-(-total // block))).select(F.col("id").alias("slot")).withColumn("point", (k - F.floor(k)) * F.lit(float(total)))
+    touched = spans.select("src", "lo", "hi", F.explode(F.sequence("p", "q")).alias("part"))
+    # the last span ends at the total itself, and spans that end where the next begins share no point
+    met = (slots.withColumn("part", part(F.col("point"))).join(touched, "part")
+           .filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("src", "slot"))
+    met = met.withColumn("_b", F.floor(F.col("slot") / 65536)).withColumn("_one", F.lit(1).cast("long"))
+    ranked = materialize(running_total(met, "src", "_b", ["slot"], "_one", "rank").select("src", "rank", "slot"), "mix-slots")
+    have = ranked.groupBy("src").agg(F.count("*").alias("have"))
+    needed = F.ceil(F.floor("target") / block)
+    short = spans.join(have, "src", "left").select("src", F.coalesce("have", F.lit(0)).alias("have"), needed.alias("needed")).filter("needed > have")
+    before = F.sum(F.col("needed") - F.col("have")).over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1))
+    tail = short.withColumn("before", F.coalesce(before, F.lit(0))).select(
+        "src", "have", "before", F.explode(F.sequence("have", F.col("needed") - 1)).alias("rank"))
+    after = F.lit(int(-(-total // block)))
+    return ranked.unionByName(tail.select("src", "rank", (after + F.col("before") + F.col("rank") - F.col("have")).alias("slot")))
 
 
 def source_key(source: str) -> Column:
@@ -99,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         block: int = BLOCK, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(sized, pieces).  sized: row, doc_id, src, size, source_size, target.
-    pieces: slot (null: after all slots), src, block, row, epoch, first, words -
+    pieces: slot, src, block, row, epoch, first, words -
     the mix in order of (slot, first) takes ``words`` words of row ``row`` from
     word ``first`` on."""
     order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":" + seed)))
@@ -124,14 +146,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     lo, hi = F.greatest("a", F.col("block") * block), F.least("z", (F.col("block") + 1) * block)
     pieces = cuts.select("src", "block", "row", "epoch", (lo - F.col("a")).alias("first"), (hi - lo).alias("words"))
     slots = schedule(targets, block).withColumnRenamed("rank", "block")
-    pieces = pieces.join(slots, ["src", "block"], "left")
+    pieces = pieces.join(slots, ["src", "block"])
     sized = rows.join(per_source, "src").select("row", "doc_id", "src", "size", "source_size", "target")
     return sized, pieces
 
 
 def taken_words(docs: DataFrame, **kw) -> DataFrame:
-    """Per document row: doc_id, size, source_size, target, taken."""
+    """Per document row: doc_id, size, source_size, target, taken, and first_slot, where the mix first takes from it
+    (null: nowhere)."""
     sized, pieces = mix(docs, **kw)
-    took = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    took = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return sized.join(took, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

@@ -204,12 +204,36 @@ rated AS (SELECT *, left_words / left_w::DOUBLE AS rate FROM flow),
 final_rate AS (SELECT arg_min(rate, k) AS r FROM rated WHERE rate * w <= top),
 targets AS (
   SELECT src, source_size, CASE WHEN rate * w > top THEN top::DOUBLE ELSE r * w END AS target FROM rated, final_rate),
+spans AS (SELECT src, target, sum(target) OVER (ORDER BY src) AS hi FROM targets WHERE target > 0),
+total AS (SELECT coalesce(sum(target), 0) AS t, ceil(coalesce(sum(target), 0) / 2048)::BIGINT AS n FROM targets),
+points AS (
+  SELECT slot, ((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * t AS point
+  FROM (SELECT t, unnest(range(n)) AS slot FROM total)),
+ranked AS (
+  SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank
+  FROM points JOIN spans ON point >= hi - target AND point < hi),
+short AS (
+  SELECT spans.src, coalesce(have, 0) AS have, ceil(floor(target) / 2048)::BIGINT AS needed
+  FROM spans LEFT JOIN (SELECT src, count(*) AS have FROM ranked GROUP BY src) USING (src)
+  WHERE ceil(floor(target) / 2048) > coalesce(have, 0)),
+tail AS (
+  SELECT src, rank, n + before + rank - have AS slot FROM total,
+    (SELECT src, have, coalesce(sum(needed - have) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+            unnest(range(have, needed)) AS rank FROM short)),
+slots AS (SELECT src, rank, slot FROM ranked UNION ALL SELECT src, rank, slot FROM tail),
 laid AS (
-  SELECT doc_id, src, size, coalesce(sum(size) OVER (PARTITION BY src ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
-  FROM d)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target) - off)) + greatest(0, least(size, floor(target) - source_size - off)))::BIGINT AS taken
-FROM laid JOIN targets USING (src)
+  SELECT row_number() OVER () AS row, doc_id, src, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY src ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM d JOIN targets USING (src)),
+runs AS (
+  SELECT row, src, off + e * source_size AS a, least(off + e * source_size + size, floor(target)::BIGINT) AS z
+  FROM (SELECT *, unnest([0, 1]) AS e FROM laid WHERE size > 0)),
+pieces AS (
+  SELECT row, src, block, least(z, 2048 * (block + 1)) - greatest(a, 2048 * block) AS words
+  FROM (SELECT *, unnest(range(a // 2048, (z - 1) // 2048 + 1)) AS block FROM runs WHERE z > a)),
+took AS (
+  SELECT row, sum(words) AS taken, min(slot) AS first_slot FROM pieces JOIN slots ON pieces.src = slots.src AND block = rank GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM laid LEFT JOIN took USING (row)
 """
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -65,11 +66,11 @@ def test_reruns_agree_whatever_the_partitions(make_docs):
 def test_schedule_follows_the_weights(spark, make_docs):
     rows = [(i, "w " * 100, None, "abc"[i % 3]) for i in range(600)]
     sized, pieces = M.mix(make_docs(rows), block=50)
-    p = pieces.filter("slot is not null").groupBy("slot").agg(F.countDistinct("src").alias("s"), F.sum("words").alias("w")).collect()
+    p = pieces.groupBy("slot").agg(F.countDistinct("src").alias("s"), F.sum("words").alias("w")).collect()
     # a slot is one block of one source; only a source's last block is partial
     assert all(r.s == 1 and r.w <= 50 for r in p) and sum(r.w < 50 for r in p) <= 3
     goal = {r.src: r.target for r in sized.select("src", "target").distinct().collect()}
-    order = [r.src for r in pieces.select("slot", "src").distinct().filter("slot is not null").orderBy("slot").collect()]
+    order = [r.src for r in pieces.select("slot", "src").distinct().orderBy("slot").collect()]
     total = sum(goal.values())
     for k in (60, 300, 900):        # every prefix is close to the target shares
         for s, g in goal.items():
@@ -78,6 +79,64 @@ def test_schedule_follows_the_weights(spark, make_docs):
     assert {r.src: r.w for r in full} == {s: int(g) for s, g in goal.items()}
 
 
+def plain_schedule(goal, block):
+    """{(source, rank): slot} of the golden-ratio schedule and its tail."""
+    order = [s for s in sorted(goal, key=lambda s: (s is None, s or "")) if goal[s] > 0]
+    total, have, out = sum(goal[s] for s in order), defaultdict(int), {}
+    for k in range(math.ceil(total / block)):
+        x, end = (k + 0.5) * M.PHI, 0.0
+        x = (x - math.floor(x)) * total
+        for s in order:
+            end += goal[s]
+            if x < end:
+                out[s, have[s]] = k
+                have[s] += 1
+                break
+    k = math.ceil(total / block)
+    for s in order:
+        for r in range(have[s], math.ceil(math.floor(goal[s]) / block)):
+            out[s, r] = k
+            k += 1
+    return out
+
+
+def test_slots_equal_the_plain_schedule(spark, make_docs):
+    rows = corpus(random.Random(8))
+    n, goal = targets(rows)
+    sized, pieces = M.mix(make_docs(rows).repartition(3), block=32)
+    key = {(s is None, s or ""): s for s in goal}
+    by_src = {("1" if s is None else "0" + s): s for s in key.values()}
+    want = plain_schedule(goal, 32)
+    got = {(by_src[r.src], r.block): r.slot for r in pieces.select("src", "block", "slot").distinct().collect()}
+    assert got == {k: v for k, v in want.items() if k in got} and len(got) >= sum(math.floor(g) // 32 for g in goal.values())
+    first = {}
+    for r in pieces.collect():
+        first[r.row] = min(first.get(r.row, r.slot), r.slot)
+    ids = {r.row: r.doc_id for r in sized.collect()}
+    taken = M.taken_words(make_docs(rows).repartition(3), block=32).collect()
+    assert sorted(((r.doc_id, r.first_slot) for r in taken if r.first_slot is not None), key=str) == sorted(((ids[k], v) for k, v in first.items()), key=str)
+    assert all((r.first_slot is None) == (r.taken == 0) for r in taken)
+
+
+def test_without_slots_nothing_is_taken(make_docs, monkeypatch):
+    plain = M.schedule
+    monkeypatch.setattr(M, "schedule", lambda t, block: plain(t, block).filter("src <> '0a'"))
+    rows = [(i, "w " * 100, None, "ab"[i % 2]) for i in range(40)]
+    got = M.taken_words(make_docs(rows), block=50).collect()
+    assert all(r.taken == 0 and r.first_slot is None for r in got if r.doc_id % 2 == 0)
+    assert sum(r.taken for r in got) > 0
+
+
+def test_many_sources(make_docs):
+    rows = [(i, "w " * (1 + i % 9), None, f"s{i % 500:03d}") for i in range(1500)]
+    n, goal = targets(rows)
+    took = defaultdict(int)
+    by_id = {r[0]: r[3] for r in rows}
+    for r in M.taken_words(make_docs(rows), block=4).collect():
+        took[by_id[r.doc_id]] += r.taken
+    assert {s: math.floor(g) for s, g in goal.items()} == dict(took)
+
+
 def test_empty_tables(make_docs):
     assert M.taken_words(make_docs([])).count() == 0
     got = M.taken_words(make_docs([(1, None), (2, "  ")])).collect()
