@@ -436,6 +436,13 @@ def parse_paper_pages(pages: DataFrame, id_col: str = "paper_id") -> tuple[DataF
             checked.filter(F.size("violations") > 0).drop("error"))
 
 
+def legacy_records(parsed: DataFrame) -> DataFrame:
+    """H12, older form of the record: authors stay a list of names, the page's address is ``link``, and there is no
+    download address.  ``parsed`` is the first frame of :func:`parse_paper_pages`."""
+    return parsed.select(F.col("archive_id").alias("id"), "title", "authors", "date", "published_in", "keywords_raw", "keywords",
+                         "abstract", "downloads", F.col("paper_url").alias("link"))
+
+
 def parse_author_profiles(pages: DataFrame) -> DataFrame:
     """Email (first ' @ ' -> '@'), affiliation, website; missing -> ''."""
     raw = pages.select("page_id", "html").mapInPandas(_profile_batches, PROFILE_RAW_SCHEMA)

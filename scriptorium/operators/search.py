@@ -10,6 +10,13 @@ Layout of the index (all DataFrames, written as Parquet by ``write_index``):
                  the term and sorted by term, so a term lookup reads a few
                  row groups (``PushedFilters: [In(term, ...)]``).
 * ``doclen``   - paper_id, n_tokens over all indexed fields.
+* ``terms``    - the dictionary: one row per term with its bucket, the number of
+                 papers and of occurrences and the papers per field, sorted by
+                 term.  A prefix is resolved here first and reads only the
+                 buckets of its terms; document counts of plain terms come from
+                 here; phrases start from their rarest term.
+
+``segments`` keeps the same index as immutable segments, for incremental upkeep.
 
 Queries are structured values (``phrase``, ``prefix``, ``all_of``, ``any_of``,
 ``but_not``, ``near``, ``in_field``); a plain string means all of its words
@@ -42,6 +49,7 @@ DEFAULT_LIMIT, MIN_LIMIT, MAX_LIMIT, DEFAULT_OFFSET = 20, 1, 100, 0
 SNIPPET_TOKENS = 24
 MARK_OPEN, MARK_CLOSE, ELLIPSIS = "<mark>", "</mark>", "..."
 NEAR_DEFAULT = 10
+BROADCAST_PAPERS = 100_000      # ids (8 bytes each) of a phrase's rarest word that are sent to every task
 
 
 class SearchSyntaxError(ValueError):
@@ -283,6 +291,7 @@ class SearchIndex:
     stats: dict = dc_field(default_factory=dict)   # optional precomputed n_docs, avgdl
     fold: bool = False
     stem: bool = False
+    terms: DataFrame | None = None                 # the stored dictionary, see term_dictionary
 
     def corpus_stats(self) -> dict:
         """N and mean document length as Columns: literals when the index
@@ -308,6 +317,32 @@ def build_postings(docs: DataFrame, fold: bool = False, stem: bool = False) -> S
     return SearchIndex(docs, postings, doclen, fold=fold, stem=stem)
 
 
+def term_dictionary(postings: DataFrame) -> DataFrame:
+    """(term, df, cf, field_df): papers and occurrences of every term, and papers per field in the order of FIELDS.
+
+    Rows of a (term, paper) are joined first, so a frequent term is counted by many tasks."""
+    n_fields = [F.count_if(F.col("field") == f).alias(f"f{i}") for i, f in enumerate(FIELDS)]
+    per = postings.groupBy("term", "paper_id").agg(F.sum("tf").alias("cf"), *n_fields)
+    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("cf").alias("cf"),
+                                   F.array(*[F.sum(f"f{i}") for i in range(len(FIELDS))]).alias("field_df"))
+
+
+def lookup_terms(index: SearchIndex, tokens) -> dict:
+    """Dictionary rows of the query's own tokens; a token that is missing here is in no paper."""
+    rows = index.terms.filter(F.col("term").isin(sorted(set(tokens)))).select("term", "df", "cf", "field_df").collect()
+    return {r["term"]: r for r in rows}
+
+
+def prefix_terms(index: SearchIndex, start: str) -> DataFrame:
+    """The dictionary rows of the terms that begin with ``start``: a range of a table sorted by term."""
+    return index.terms.filter(F.col("term").startswith(start))
+
+
+def prefix_buckets(index: SearchIndex, start: str) -> list[int]:
+    """The posting buckets (at most all of them) that hold terms with this beginning."""
+    return sorted(r[0] for r in prefix_terms(index, start).select("bucket").distinct().collect())
+
+
 def term_bucket(term_col: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(term_col), F.lit(n_buckets))
 
@@ -331,6 +366,8 @@ def write_index(index: SearchIndex, path: str, n_buckets: int = 64) -> SearchInd
      .repartitionByRange("bucket", "term", "paper_id")      # count: shuffle partitions, AQE-coalesced
      .sortWithinPartitions("term", "paper_id")
      .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
+    (term_dictionary(spark.read.parquet(f"{path}/postings")).withColumn("bucket", term_bucket(F.col("term"), n_buckets))
+     .repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/terms"))
     index.doclen.write.mode("errorifexists").parquet(f"{path}/doclen")
     dl = spark.read.parquet(f"{path}/doclen")
     dl.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.lit(n_buckets).alias("n_buckets"),
@@ -345,16 +382,20 @@ def read_index(spark, path: str) -> SearchIndex:
                        spark.read.parquet(f"{path}/postings"),
                        spark.read.parquet(f"{path}/doclen"),
                        {"n_docs": int(st["n_docs"]), "avgdl": float(st["avgdl"] or 0.0),
-                        "n_buckets": int(st["n_buckets"])}, fold=st["fold"], stem=st["stem"])
+                        "n_buckets": int(st["n_buckets"])}, fold=st["fold"], stem=st["stem"],
+                       terms=spark.read.parquet(f"{path}/terms"))
 
 
-def _scan_terms(index: SearchIndex, p: DataFrame, toks, any_prefix: bool) -> DataFrame:
-    """Prune a persisted posting scan to the buckets of exact query terms."""
+def _scan_terms(index: SearchIndex, p: DataFrame, toks, last_is_prefix: bool) -> DataFrame:
+    """Prune a persisted posting scan to the buckets of the query's terms; a prefix is resolved in the dictionary."""
     nb = index.stats.get("n_buckets") if index.stats else None
-    if nb and "bucket" in p.columns and not any_prefix:
-        # bucket(lit) constant-folds, so this prunes bucket folders at planning
-        p = p.filter(F.col("bucket").isin(*[term_bucket(F.lit(t), nb) for t in toks]))
-    return p
+    if not nb or "bucket" not in p.columns or (last_is_prefix and index.terms is None):
+        return p
+    # bucket(lit) constant-folds, so this prunes bucket folders at planning
+    wanted = [term_bucket(F.lit(t), nb) for t in (toks[:-1] if last_is_prefix else toks)]
+    if last_is_prefix:
+        wanted += [F.lit(b) for b in prefix_buckets(index, toks[-1])]
+    return p.filter(F.col("bucket").isin(*wanted)) if wanted else p.filter(F.lit(False))
 
 
 # ---------------------------------------------------------------- matching ---
@@ -365,49 +406,67 @@ def _term_match(c: Column, tok: str, is_prefix: bool) -> Column:
 def _leaf_hits(postings: DataFrame, leaf, i: int, index: SearchIndex | None = None) -> DataFrame:
     """(paper_id, leaf, hits) for one leaf."""
     if isinstance(leaf, Near):
-        return _near_hits(postings, leaf, i)
-    p = postings
-    if index is not None:
-        p = _scan_terms(index, p, leaf.tokens, leaf.prefix)
-    if leaf.fields is not None:
-        p = p.filter(F.col("field").isin(list(leaf.fields)))
-    n = len(leaf.tokens)
-    if n == 1 and not leaf.initial:
+        return _near_hits(postings, leaf, i, index)
+    p = _leaf_postings(postings, leaf, index)
+    if len(leaf.tokens) == 1 and not leaf.initial:
         # raw posting rows: the per-paper pivot sums them (no shuffle here)
         hits = p.filter(_term_match(F.col("term"), leaf.tokens[0], leaf.prefix)) \
                 .select("paper_id", F.col("tf").alias("hits"))
     else:
-        starts = _phrase_starts(p, leaf)
-        if leaf.initial:
-            starts = starts.filter(F.col("start") == 0)
-        hits = starts.select("paper_id", F.lit(1).alias("hits"))
+        starts = _phrase_starts(p, leaf, index)
+        n = F.array_contains("starts", 0).cast("int") if leaf.initial else F.size("starts")
+        hits = starts.select("paper_id", n.alias("hits")).filter("hits > 0")
     return hits.select("paper_id", F.lit(i).alias("leaf"), F.col("hits").cast("long"))
 
 
-def _phrase_starts(p: DataFrame, leaf: Phrase) -> DataFrame:
-    """(paper_id, field, start) of every occurrence of a multi-token phrase.
+def _leaf_postings(postings: DataFrame, leaf: Phrase, index: SearchIndex | None) -> DataFrame:
+    p = postings if index is None else _scan_terms(index, postings, leaf.tokens, leaf.prefix)
+    return p if leaf.fields is None else p.filter(F.col("field").isin(list(leaf.fields)))
+
+
+def _phrase_starts(p: DataFrame, leaf: Phrase, index: SearchIndex | None = None) -> DataFrame:
+    """(paper_id, field, starts): where a phrase begins, a row per paper and field that holds it.
 
-    Each posting row matching the k-th phrase token contributes its
-    positions minus k; a start seen for all n tokens is an occurrence.  One
-    grouping on (paper, field, start) instead of n-1 positional self-joins.
+    The position lists of its words meet per (paper, field) and are
+    intersected, each shifted by the word's place in the phrase, from the
+    rarest word on.  With a stored dictionary the other words' rows are first
+    cut to the papers of the rarest word, so a phrase costs what its rarest
+    word costs, however frequent the others are.
     """
     n = len(leaf.tokens)
-    conds = [_term_match(F.col("term"), t, leaf.prefix and k == n - 1)
-             for k, t in enumerate(leaf.tokens)]
+    last = n - 1 if leaf.prefix else None           # the place whose word is only a beginning
+    words = list(dict.fromkeys((t, k == last) for k, t in enumerate(leaf.tokens)))
+    conds = [_term_match(F.col("term"), t, pre) for t, pre in words]
     any_cond = conds[0]
     for c in conds[1:]:
         any_cond = any_cond | c
-    ks = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(conds)]),
-                  lambda x: x.isNotNull())
-    occ = (p.filter(any_cond)
-           .select("paper_id", "field", F.explode(ks).alias("k"), "positions")
-           .select("paper_id", "field", "k", F.explode("positions").alias("pos"))
-           .withColumn("start", F.col("pos") - F.col("k")))
-    return (occ.groupBy("paper_id", "field", "start").agg(F.count("*").alias("m"))
-            .filter(F.col("m") == n).select("paper_id", "field", "start"))
-
-
-def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
+    order = list(range(n))
+    if index is not None and index.terms is not None and n > 1:
+        known = lookup_terms(index, [t for t, pre in words if not pre])
+        df = {k: (known[t]["df"] if t in known else 0) for k, t in enumerate(leaf.tokens) if k != last}
+        order.sort(key=lambda k: df.get(k, math.inf))
+        rarest = _term_match(F.col("term"), leaf.tokens[order[0]], False)
+        ids = p.filter(rarest).select("paper_id")
+        # a bounded set of ids is sent to the scan, a larger one meets it by paper
+        few = df[order[0]] <= BROADCAST_PAPERS
+        p = p.filter(any_cond).join(F.broadcast(ids) if few else ids, "paper_id", "left_semi")
+    per = p.filter(any_cond).groupBy("paper_id", "field").agg(*[
+        F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"w{i}") for i, c in enumerate(conds)])
+    for i in range(len(words)):
+        per = per.filter(F.size(f"w{i}") > 0)
+    starts = None
+    for k in order:
+        i = words.index((leaf.tokens[k], k == last))
+        shifted = _shifted(f"w{i}", k)
+        starts = shifted if starts is None else F.array_intersect(starts, shifted)
+    return per.select("paper_id", "field", starts.alias("starts")).filter(F.size("starts") > 0)
+
+
+def _shifted(positions: str, k: int) -> Column:
+    return F.transform(positions, lambda x: x - F.lit(k))
+
+
+def _near_hits(postings: DataFrame, leaf: Near, i: int, index: SearchIndex | None = None) -> DataFrame:
     """NEAR: an occurrence of every phrase inside one field such that at most
     ``distance`` tokens stand between the end of any of them and the start of
     the last.
@@ -420,13 +479,12 @@ def _near_hits(postings: DataFrame, leaf: Near, i: int) -> DataFrame:
     n = len(leaf.phrases)
     rows = None
     for k, ph in enumerate(leaf.phrases):
-        p = postings if ph.fields is None else postings.filter(F.col("field").isin(list(ph.fields)))
+        p = _leaf_postings(postings, ph, index)
         if len(ph.tokens) == 1:
-            r = (p.filter(_term_match(F.col("term"), ph.tokens[0], ph.prefix))
-                 .select("paper_id", "field", F.explode("positions").alias("start")))
+            r = p.filter(_term_match(F.col("term"), ph.tokens[0], ph.prefix)).withColumnRenamed("positions", "starts")
         else:
-            r = _phrase_starts(p, ph)
-        r = r.select("paper_id", "field", F.lit(k).alias("k"), "start",
+            r = _phrase_starts(p, ph, index)
+        r = r.select("paper_id", "field", F.lit(k).alias("k"), F.explode("starts").alias("start"),
                      F.lit(len(ph.tokens)).alias("len"))
         rows = r if rows is None else rows.unionByName(r)
     w = Window.partitionBy("paper_id", "field").orderBy("start", "k") \
@@ -483,35 +541,57 @@ def match_count(index: SearchIndex, q) -> DataFrame:
     return match_boolean(index, q).agg(F.count("*").alias("total"))
 
 
-def bm25_rank(index: SearchIndex, q, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def known_count(leaf, known: dict) -> int | None:
+    """Papers with a hit of a leaf, where the dictionary says it: a plain term, in all fields or in one."""
+    if not isinstance(leaf, Phrase) or len(leaf.tokens) != 1 or leaf.prefix or leaf.initial:
+        return None
+    row = known.get(leaf.tokens[0])
+    if leaf.fields is None:
+        return row["df"] if row else 0
+    if len(leaf.fields) == 1:
+        return row["field_df"][FIELDS.index(leaf.fields[0])] if row else 0
+    return None
+
+
+def idf(n_docs: Column, n: Column) -> Column:
+    raw = F.log((n_docs - n + F.lit(0.5)) / (n + F.lit(0.5)))
+    return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
+
+
+def bm25_rank(index: SearchIndex, q, k1: float = BM25_K1, b: float = BM25_B, with_total: bool = False) -> DataFrame:
     """(paper_id, rank) for matching papers; lower rank = better.
 
     Per leaf: idf = ln((N - n + .5) / (n + .5)) floored at 1e-6, n = papers
     with a hit; score = sum idf * f * (k1 + 1) / (f + k1 * (1 - b + b * len / avgdl)).
-    The per-leaf n are one scalar subquery returning an array, projected
-    once into a column (``_leafn``) and read element by element; N and avgdl come
-    from the index's stored statistics (or one more scalar subquery).
+    The n of plain terms come from a stored dictionary.  Those of other leaves,
+    and the number of matches (``with_total``: a column ``total``), are one
+    scalar subquery over the same match set, returning an array that is
+    projected once into a column and read element by element; N and avgdl
+    come from the index's stored statistics (or one more scalar subquery).
     """
     piv, leaves = match_hits(index, q)
     st = index.corpus_stats()
-    counts = piv.select(F.array(*[F.count_if(F.col(f"h{i}") > 0).cast("double")
-                                  for i in range(len(leaves))])).scalar()
-    m = (piv.filter("matched").join(index.doclen, "paper_id")
-         .withColumn("_leafn", counts).withColumn("_ndocs", st["n_docs"].cast("double"))
-         .withColumn("_avgdl", st["avgdl"].cast("double")))
+    known = {}
+    if index.terms is not None:
+        known = lookup_terms(index, [t for x in leaves if isinstance(x, Phrase) for t in x.tokens])
+    ns = [known_count(x, known) if index.terms is not None else None for x in leaves]
+    asked = [i for i, n in enumerate(ns) if n is None]
+    counts = [F.count_if(F.col(f"h{i}") > 0).cast("double") for i in asked]
+    counts += [F.count_if("matched").cast("double")] if with_total else []
+    m = piv.filter("matched").join(index.doclen, "paper_id")
+    if counts:
+        m = m.withColumn("_counts", piv.select(F.array(*counts)).scalar())
+    m = m.withColumn("_ndocs", st["n_docs"].cast("double")).withColumn("_avgdl", st["avgdl"].cast("double"))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("n_tokens") / F.col("_avgdl"))
-    idf_cols = []
-    for i in range(len(leaves)):
-        n = F.col("_leafn")[i]
-        raw = F.log((F.col("_ndocs") - n + F.lit(0.5)) / (n + F.lit(0.5)))
-        idf_cols.append(F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR)).alias(f"_idf{i}"))
-    m = m.select("paper_id", "n_tokens", "_avgdl", *[F.col(f"h{i}") for i in range(len(leaves))],
-                 *idf_cols)
+    idfs = [idf(F.col("_ndocs"), F.col("_counts")[asked.index(i)] if n is None else F.lit(float(n))).alias(f"_idf{i}")
+            for i, n in enumerate(ns)]
+    total = [F.col("_counts")[len(asked)].cast("long").alias("total")] if with_total else []
+    m = m.select("paper_id", "n_tokens", "_avgdl", *[F.col(f"h{i}") for i in range(len(leaves))], *idfs, *total)
     score = F.lit(0.0)
     for i in range(len(leaves)):
         f = F.col(f"h{i}").cast("double")
         score = score + F.col(f"_idf{i}") * (f * F.lit(k1 + 1)) / (f + norm)
-    return m.select("paper_id", (-score).alias("rank"))
+    return m.select("paper_id", (-score).alias("rank"), *(["total"] if with_total else []))
 
 
 def clamp_paging(limit=None, offset=None) -> tuple[int, int]:
@@ -529,34 +609,36 @@ def clamp_paging(limit=None, offset=None) -> tuple[int, int]:
 
 
 def search_page(index: SearchIndex, q, limit=None, offset=None,
-                round_digits: int | None = None) -> DataFrame:
+                round_digits: int | None = None, with_total: bool = False) -> DataFrame:
     """Ranked page: order by rank then paper_id, offset, limit.
 
     Planned as TakeOrderedAndProject (a per-partition top-(offset+limit)
     heap, then one merge), never a full sort of the match set.
     """
     lim, off = clamp_paging(limit, offset)
-    r = bm25_rank(index, q)
+    r = bm25_rank(index, q, with_total=with_total)
     if round_digits is not None:
         r = r.withColumn("rank", F.round("rank", round_digits))
     return r.orderBy("rank", "paper_id").offset(off).limit(lim)
 
 
 def search_papers(index: SearchIndex, query, field: str = "all", limit=None, offset=None,
-                  round_digits: int | None = None, with_snippet: bool = True):
+                  round_digits: int | None = None, with_snippet: bool = True, with_total: bool = False):
     """(page DataFrame, total DataFrame).
 
     Page columns: paper_id, archive_id, title, abstract ('' -> null),
-    snippet, rank.  The page has at most 100 rows, so it is broadcast into the
+    snippet, rank, and with ``with_total`` the total of all matches, counted on
+    the match set that is ranked (the second frame plans it again, for a page
+    without rows).  The page has at most 100 rows, so it is broadcast into the
     document join and the snippet runs only on those rows.
     """
     if isinstance(query, str):
         query = words_query(query)
     q = in_field(query, field)
-    page = search_page(index, q, limit, offset, round_digits)
+    page = search_page(index, q, limit, offset, round_digits, with_total)
     rows = (F.broadcast(page).join(index.docs, "paper_id")
             .select("paper_id", "archive_id", "title",
-                    F.nullif(F.col("abstract"), F.lit("")).alias("abstract"), "rank"))
+                    F.nullif(F.col("abstract"), F.lit("")).alias("abstract"), "rank", *(["total"] if with_total else [])))
     if with_snippet:
         rows = rows.withColumn("snippet", snippet_col(F.coalesce("abstract", F.lit("")), q, fold=index.fold, stem=index.stem))
     total = match_count(index, q)

@@ -140,9 +140,9 @@ def q_search_page(spark, d):
 def q_search_papers(spark, d):
     """X8 page + total in one frame (snippet is checked by unit tests: its
     fragment choice has no SQL formulation)."""
-    page, total = S.search_papers(built_index(spark, d), Q_PAGE, "all", PAGE_LIMIT, PAGE_OFFSET,
-                                  RANK_DIGITS, with_snippet=False)
-    return page.withColumn("total", total.select("total").scalar())
+    page, _ = S.search_papers(built_index(spark, d), Q_PAGE, "all", PAGE_LIMIT, PAGE_OFFSET,
+                              RANK_DIGITS, with_snippet=False, with_total=True)
+    return page
 
 
 @register("snippet", note="rows-only: FTS-style fragment choice; unit-tested on fixtures")
@@ -169,30 +169,32 @@ RENAMED_AUTHOR, NEW_FIRST_NAME = 7, "Renamed"
 DELETED_SQL = "source = 'src7' AND lang = 'de'"
 
 
+def old_relations(spark, d) -> tuple:
+    """(papers, authors, keywords, author links, keyword links) of the old state: links of earlier shipments only."""
+    from ..operators.relations import author_positions
+    from ..sources.tables import table
+    old_li = table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit(LINKS_BEFORE).cast("timestamp_ntz"))
+    keywords = tb.keywords(spark, d)
+    kl = tb.keyword_links(spark, d).join(
+        old_li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"),
+                    "l_partkey").join(keywords.withColumnRenamed("keyword", "p_name"), "p_name")
+        .select("keyword_id", F.col("l_orderkey").alias("paper_id")).distinct(),
+        ["keyword_id", "paper_id"], "left_semi")
+    first = old_li.groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id")).agg(
+        F.min("l_linenumber").alias("first_line"))
+    al = author_positions(first).select("author_id", "paper_id", "author_position")
+    return tb.docs(spark, d), tb.authors(spark, d), keywords, al, kl
+
+
 def _old_new_state(spark, d):
     from ..sources.tables import table
-    li = table(spark, d, "lineitem")
-    docs_all = tb.docs(spark, d)
+    docs_all, au_old, kw_old, al_old, kl_old = old_relations(spark, d)
     deleted = (table(spark, d, "documents").filter(F.expr(DELETED_SQL))
                .select(F.col("doc_id").alias("paper_id")))
     kl_new = tb.keyword_links(spark, d)
     al_new = tb.author_links(spark, d)
-    old_li = li.filter(F.col("l_shipdate") < F.lit(LINKS_BEFORE).cast("timestamp_ntz"))
-    kl_old = kl_new.join(
-        old_li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"),
-                    "l_partkey").join(tb.keywords(spark, d).withColumnRenamed("keyword", "p_name"),
-                                      "p_name")
-        .select("keyword_id", F.col("l_orderkey").alias("paper_id")).distinct(),
-        ["keyword_id", "paper_id"], "left_semi")
-    first = old_li.groupBy(F.col("l_orderkey").alias("paper_id"),
-                           F.col("l_suppkey").alias("author_id")).agg(
-        F.min("l_linenumber").alias("first_line"))
-    from ..operators.relations import author_positions
-    al_old = author_positions(first).select("author_id", "paper_id", "author_position")
-    kw_old = tb.keywords(spark, d)
     kw_new = kw_old.withColumn("keyword", F.when(F.col("keyword") == RENAMED_KEYWORD,
                                                  F.lit(NEW_KEYWORD_TEXT)).otherwise(F.col("keyword")))
-    au_old = tb.authors(spark, d)
     au_new = au_old.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR,
                                                     F.lit(NEW_FIRST_NAME)).otherwise(F.col("first_name")))
     papers_new = docs_all.join(deleted, "paper_id", "left_anti")
@@ -350,9 +352,8 @@ for _name in ("paper_insert", "paper_update", "paper_delete", "keyword_link_inse
     _register_rule(_name)
 
 
-def _affected_sql() -> str:
-    from ..sources.tables import AUTHOR_LINKS_SQL, KEYWORD_LINKS_SQL, KEYWORDS_SQL
-    old_links = f"""kl_old AS (
+#: The link rows of the old state.
+OLD_LINKS_SQL = f"""kl_old AS (
   SELECT DISTINCT k.keyword_id, l.l_orderkey AS paper_id FROM lineitem l
   JOIN part p ON p.p_partkey = l.l_partkey JOIN keywords k ON k.keyword = p.p_name
   WHERE l.l_shipdate < TIMESTAMP '{LINKS_BEFORE}'),
@@ -362,7 +363,11 @@ al_old AS (
            AS author_position
   FROM (SELECT l_orderkey AS paper_id, l_suppkey AS author_id, min(l_linenumber) AS first_line
         FROM lineitem WHERE l_shipdate < TIMESTAMP '{LINKS_BEFORE}' GROUP BY l_orderkey, l_suppkey))"""
-    return ("WITH " + ",\n".join([KEYWORDS_SQL, KEYWORD_LINKS_SQL, AUTHOR_LINKS_SQL, old_links]) + f"""
+
+
+def _affected_sql() -> str:
+    from ..sources.tables import AUTHOR_LINKS_SQL, KEYWORD_LINKS_SQL, KEYWORDS_SQL
+    return ("WITH " + ",\n".join([KEYWORDS_SQL, KEYWORD_LINKS_SQL, AUTHOR_LINKS_SQL, OLD_LINKS_SQL]) + f"""
 SELECT DISTINCT paper_id FROM (
   SELECT doc_id AS paper_id FROM labels WHERE toxic = 1
   UNION ALL SELECT doc_id FROM documents WHERE {DELETED_SQL}

@@ -31,10 +31,6 @@ def register(name: str, sql: str | None = None, note: str = ""):
 def load_all() -> dict[str, Entry]:
     # importing the modules fills the registry
     import importlib
-    for m in ("q_search", "q_relations", "q_text", "q_extract", "q_mutate", "q_vector", "q_jobs"):
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if m not in str(e):
-                raise
+    for m in ("q_search", "q_segments", "q_relations", "q_text", "q_extract", "q_mutate", "q_vector", "q_versions", "q_jobs"):
+        importlib.import_module(f"{__package__}.{m}")
     return REGISTRY

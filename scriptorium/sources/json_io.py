@@ -7,6 +7,7 @@ inferred) and write JSON Lines folders, which split across tasks.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,26 +46,20 @@ class PapersLoadError(RuntimeError):
     pass
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).limit(1).count()
-        return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
-
-
 def load_papers_json(spark: SparkSession, path: str, schema: T.StructType = PAPER_SCHEMA) -> DataFrame:
-    """S3: a missing path is an empty table; malformed JSON raises
-    ``PapersLoadError('Error loading papers data')`` when read."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
+    """S3: a missing path is an empty table; anything else that can't be read,
+    and malformed JSON, raises ``PapersLoadError('Error loading papers data')``."""
     try:
         # one JSON array file (legacy) or a JSON Lines folder
         df = (spark.read.schema(schema).option("multiLine", path.endswith(".json"))
               .option("mode", "FAILFAST").json(path))
         df.limit(1).collect()       # surface a malformed head now, not later
         return df
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise PapersLoadError("Error loading papers data") from e
+    except Exception as e:  # noqa: BLE001 - whatever Spark raises for bad content
         raise PapersLoadError("Error loading papers data") from e
 
 
