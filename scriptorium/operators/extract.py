@@ -474,3 +474,38 @@ def front_page_ids(front: DataFrame) -> DataFrame:
         "page_id", "link_pos",
         F.regexp_extract("href", T.PAPER_ID_PATTERN, 1).cast("long").alias("id"))
     return x.groupBy("id").agg(F.min(F.struct("page_id", "link_pos")).alias("first_seen"))
+
+
+# ------------------------------------------------- pages of any other site ---
+SITE_RAW_SCHEMA = "page_id long, title string, heading string, links array<struct<href:string,text:string>>, error string"
+
+
+def _site_batches(it):
+    for pdf in it:
+        out = []
+        for pid, html in zip(pdf["page_id"], pdf["html"]):
+            try:
+                doc = parse_html(html)
+                h1 = doc.find("h1")
+                links = [{"href": a.attrs.get("href"), "text": a.text()} for a in doc.find_all("a") if "href" in a.attrs]
+                out.append((pid, page_title(doc), None if h1 is None else h1.text(), links, None))
+            except Exception as ex:  # noqa: BLE001
+                out.append((pid, None, None, None, f"{type(ex).__name__}: {ex}"))
+        yield pd.DataFrame(out, columns=["page_id", "title", "heading", "links", "error"])
+
+
+def parse_site_pages(pages: DataFrame) -> DataFrame:
+    """Title, first heading (H13 text rules) and links of crawled pages of any layout.
+
+    A page without html has no title, heading or links; one that can't be
+    parsed has ``error`` and nothing else.  Links without an address are left
+    out; the others stay in document order."""
+    raw = pages.select("page_id", "html").mapInPandas(_site_batches, SITE_RAW_SCHEMA)
+    links = F.transform("links", lambda x: F.struct(x["href"].alias("href"), T.normalize_text(x["text"]).alias("text")))
+    return raw.select("page_id", T.normalize_text(F.col("title")).alias("title"),
+                      T.normalize_text(F.col("heading")).alias("heading"), links.alias("links"), "error")
+
+
+def site_links(parsed: DataFrame) -> DataFrame:
+    """One row per link: page_id, link_no (from 0), href, text."""
+    return parsed.select("page_id", F.posexplode("links").alias("link_no", "link")).select("page_id", "link_no", "link.*")

@@ -45,16 +45,19 @@ def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order_by: list)
 
 
 def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "archive_id",
-                  order_col: str = "seq", now=None) -> tuple[DataFrame, DataFrame]:
+                  order_col: str = "seq", now=None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """M1: plain insert of parsed papers.
 
+    ``known``: the held keys, here and below, where they are stored apart
+    (:mod:`held_keys`); by default they are taken from ``existing``.
+
     A key already present, or a repeated key within the batch (after its
     first occurrence), is a constraint error: that row goes to ``rejects``
     (counted as failed) instead of aborting the batch.  Inserted rows get
     year/month from the "Month Year" date, the ``REFERENCE_PREFIX + id`` reference, ids
     (M5) and audit stamps (M6).
     """
-    known = existing.select(key).distinct()
+    known = existing.select(key).distinct() if known is None else known
     stored = incoming.join(known, key, "left_semi").withColumn(
         "error", F.lit("duplicate key: already stored"))
     fresh = incoming.join(known, key, "left_anti")
@@ -71,21 +74,21 @@ def insert_papers(existing: DataFrame, incoming: DataFrame, key: str = "archive_
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str,
-                  id_col: str | None = None, now=None) -> DataFrame:
+                  id_col: str | None = None, now=None, known: DataFrame | None = None) -> DataFrame:
     """M2: ON CONFLICT DO NOTHING - the rows actually inserted."""
     new = incoming.select(key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct() \
-        .join(existing.select(key), key, "left_anti")
+        .join(existing.select(key) if known is None else known, key, "left_anti")
     if id_col:
         new = assign_ids(new, existing, id_col, [key])
     return new.withColumn("row_created_at", _ts(now))
 
 
 def insert_links(existing: DataFrame, incoming: DataFrame, key: list[str],
-                 order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                 order: list[str] | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """M3: link rows; a duplicate composite key (already stored or repeated
     in the batch) is rejected and reported, the first occurrence is kept."""
     order = order or [c for c in incoming.columns if c not in key]
-    known = existing.select(*key).distinct()
+    known = existing.select(*key).distinct() if known is None else known
     stored = incoming.join(known, key, "left_semi")
     ok, again = split_first_per_key(incoming.join(known, key, "left_anti"), key, order)
     return ok, stored.unionByName(again).withColumn("error", F.lit("duplicate link"))
@@ -167,7 +170,7 @@ def insert_into(existing: DataFrame, incoming: DataFrame, key: list[str],
 
 
 def upsert_authors(existing: DataFrame, listed: DataFrame, profiles: DataFrame | None = None,
-                   now=None) -> tuple[DataFrame, DataFrame]:
+                   now=None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """M4: resolve listing authors to ids.
 
     Existing username -> its id, nothing refreshed and no profile fetched.
@@ -179,7 +182,7 @@ def upsert_authors(existing: DataFrame, listed: DataFrame, profiles: DataFrame |
     rejects = listed.filter(F.col("username") == "").withColumn("error", F.lit("blank username"))
     order = [c for c in ("seq", "position") if c in listed.columns] or ["first_name", "last_name"]
     lst = first_per_key(lst, ["username"], order)
-    new = lst.join(existing.select("username"), "username", "left_anti")
+    new = lst.join(existing.select("username") if known is None else known, "username", "left_anti")
     if profiles is not None:
         new = new.join(profiles.select("username", "email", "affiliation", "website"),
                        "username", "left")

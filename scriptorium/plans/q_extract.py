@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..sources import html as H
+from ..sources import tables as tb
 from ..sources.tables import (AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_LINKS_SQL,
                               KEYWORDS_SQL, LISTING_SQL, PAPERS_SQL, with_ctes)
 from .registry import register
@@ -162,3 +163,39 @@ def q_parse_paper_page(spark, d):
           "CAST(NULL AS VARCHAR) AS error FROM authors")
 def q_parse_author_profile(spark, d):
     return X.parse_author_profiles(H.render_profile_pages(spark, d))
+
+
+# ------------------------------------------------------- the given pages ----
+def _refs_sql(x: str) -> str:
+    """Character references resolved."""
+    for ref, ch in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{ref}', '{ch}')"
+    return x
+
+
+def _text_sql(x: str) -> str:
+    """Text of an element without children: references, then H13."""
+    return normalize_sql(_refs_sql(x))
+
+
+def _element_sql(tag: str) -> str:
+    return (f"CASE WHEN regexp_matches(html, '<{tag}>[^<]*</{tag}>') THEN "
+            + _text_sql(f"regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)") + " END")
+
+
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@register("site_page_titles", f"SELECT page_id, {_element_sql('title')} AS title, {_element_sql('h1')} AS heading, "
+          f"CAST(len(regexp_extract_all(coalesce(html, ''), '{_LINK}')) AS INTEGER) AS n_links FROM pages")
+def q_site_page_titles(spark, d):
+    """Title, heading and number of links of the given pages by the tree builder, against regular expressions."""
+    return X.parse_site_pages(tb.table(spark, d, "pages")).select("page_id", "title", "heading", F.size("links").alias("n_links"))
+
+
+@register("site_page_links", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS link_no, {_refs_sql('hrefs[i]')} AS href,
+  {_text_sql('texts[i]')} AS text
+FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i
+  FROM (SELECT page_id, regexp_extract_all(html, '{_LINK}', 1) AS hrefs, regexp_extract_all(html, '{_LINK}', 2) AS texts FROM pages))""")
+def q_site_page_links(spark, d):
+    return X.site_links(X.parse_site_pages(tb.table(spark, d, "pages")))

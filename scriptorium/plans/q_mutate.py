@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import held_keys as K
 from ..operators import mutate as M
 from ..operators import relations as R
 from ..operators import validate as V
+from ..session import write_once
 from ..sources import tables as tb
 from ..sources.tables import (AUTHORS_SQL, DOCS_SQL, KNOWN_SQL, LISTING_SQL, PAPERS_SQL,
                               with_ctes)
 from .q_relations import CLASSIFY_SQL, classified
-from .registry import register
+from .registry import REGISTRY, register
 from .sqltext import REFERENCE_SQL
 
 # Fixed clock and split points of the mutation checks.
@@ -68,8 +71,11 @@ FROM inc WHERE archive_id IN (SELECT archive_id FROM ex)
    OR seq NOT IN (SELECT seq FROM fresh WHERE r = 1) AND archive_id NOT IN (SELECT archive_id FROM ex)
 """)
 def q_insert_papers(spark, d):
-    existing, incoming = _papers_split(spark, d)
-    ok, bad = M.insert_papers(existing, incoming, "archive_id", "seq", NOW)
+    return _inserted_papers(*_papers_split(spark, d))
+
+
+def _inserted_papers(existing, incoming, known=None):
+    ok, bad = M.insert_papers(existing, incoming, "archive_id", "seq", NOW, known)
     cols = ["paper_id", "archive_id", "title", "paper_year", "paper_month", "paper_reference", "seq"]
     a = ok.select(*cols, F.lit(None).cast("string").alias("error"))
     b = bad.select(F.lit(None).cast("long").alias("paper_id"), "archive_id", "title",
@@ -87,11 +93,15 @@ SELECT CAST((SELECT max(keyword_id) FROM held) + row_number() OVER (ORDER BY key
          AS keyword_id, keyword
 FROM kw WHERE keyword NOT IN (SELECT keyword FROM held)""")
 def q_insert_ignore(spark, d):
+    held, inc = _keywords_split(spark, d)
+    return M.insert_ignore(held, inc, "keyword", "keyword_id", NOW).select("keyword_id", "keyword")
+
+
+def _keywords_split(spark, d):
     p = tb.table(spark, d, "part")
     held = (p.filter(F.col("p_name") < KEYWORD_HELD_BELOW).groupBy(F.col("p_name").alias("keyword"))
             .agg(F.min("p_partkey").alias("keyword_id")))
-    inc = p.select(F.col("p_name").alias("keyword"))
-    return M.insert_ignore(held, inc, "keyword", "keyword_id", NOW).select("keyword_id", "keyword")
+    return held, p.select(F.col("p_name").alias("keyword"))
 
 
 LINKS_IN_SQL = f"""inc AS (
@@ -113,6 +123,10 @@ ranked AS (SELECT inc.*, row_number() OVER (PARTITION BY author_id, paper_id
           "SELECT author_id, paper_id, author_position, l_partkey, l_extendedprice, "
           "CASE WHEN stored OR r > 1 THEN 'duplicate link' END AS error FROM ranked")
 def q_insert_links(spark, d):
+    return _inserted_links(*_links_split(spark, d))
+
+
+def _links_split(spark, d):
     li = tb.table(spark, d, "lineitem")
     o = tb.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     j = li.join(o, "l_orderkey")
@@ -121,8 +135,12 @@ def q_insert_links(spark, d):
         F.col("l_linenumber").alias("author_position"), "l_partkey", "l_extendedprice")
     held = j.filter(F.col("o_orderdate") < _ts(tb.KNOWN_BEFORE)).select(
         F.col("l_suppkey").alias("author_id"), F.col("l_orderkey").alias("paper_id")).distinct()
+    return held, inc
+
+
+def _inserted_links(held, inc, known=None):
     ok, bad = M.insert_links(held, inc, ["author_id", "paper_id"],
-                             ["author_position", "l_partkey", "l_extendedprice"])
+                             ["author_position", "l_partkey", "l_extendedprice"], known)
     return ok.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
@@ -136,14 +154,21 @@ UNION ALL
 SELECT CAST((SELECT max(author_id) FROM held) + row_number() OVER (ORDER BY username) AS BIGINT),
        username, first_name, last_name, email, affiliation, '' FROM newa""")
 def q_upsert_authors(spark, d):
+    return _upserted_authors(*_authors_split(spark, d))
+
+
+def _authors_split(spark, d):
     a = tb.authors(spark, d)
     s = tb.table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), "s_nationkey")
     held = (a.join(s, "author_id").filter(F.col("s_nationkey") < AUTHOR_HELD_MAX_NATION)
             .select("author_id", "username", "first_name", "last_name", "email", "affiliation",
                     F.lit("").alias("website")))
     listed = a.select("username", "first_name", "last_name", F.col("author_id").alias("seq"))
-    profiles = a.select("username", "email", "affiliation", F.lit("").alias("website"))
-    nxt, _rej = M.upsert_authors(held, listed, profiles, NOW)
+    return held, listed, a.select("username", "email", "affiliation", F.lit("").alias("website"))
+
+
+def _upserted_authors(held, listed, profiles, known=None):
+    nxt, _rej = M.upsert_authors(held, listed, profiles, NOW, known)
     return nxt.select("author_id", "username", "first_name", "last_name", "email", "affiliation",
                       "website")
 
@@ -385,3 +410,50 @@ def q_cascade_update(spark, d):
     remap = tb.table(spark, d, "orders").filter(F.col("o_orderkey") % 5 == 0).select(
         F.col("o_orderkey").alias("old_paper_id"), (F.col("o_orderkey") + 10_000_000).alias("new_paper_id"))
     return R.cascade_update(links, remap)
+
+
+# ------------------------------------- conflict checks on bucketed key tables ---
+KEY_BUCKETS = 64
+
+
+def _with_held_keys(held, key, insert):
+    """``insert(known)`` with the held keys in a bucketed table, which goes once the result is written."""
+    spark, name = held.sparkSession, f"held_keys_{uuid.uuid4().hex[:12]}"
+    K.add_keys(held, name, key, KEY_BUCKETS)
+    try:
+        return write_once(insert(K.held(spark, name, key)), "inserted")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _same_sql(key: str) -> str:
+    return REGISTRY[key].sql
+
+
+@register("insert_papers_held_keys", _same_sql("insert_papers"))
+def q_insert_papers_held_keys(spark, d):
+    """M1 against a bucketed table of the held ids: only the batch is shuffled."""
+    existing, incoming = _papers_split(spark, d)
+    return _with_held_keys(existing, ["archive_id"], lambda known: _inserted_papers(existing, incoming, known))
+
+
+@register("insert_ignore_held_keys", _same_sql("insert_ignore"))
+def q_insert_ignore_held_keys(spark, d):
+    """M2 against held keywords."""
+    held, inc = _keywords_split(spark, d)
+    return _with_held_keys(held, ["keyword"], lambda known: M.insert_ignore(
+        held, inc, "keyword", "keyword_id", NOW, known).select("keyword_id", "keyword"))
+
+
+@register("insert_links_held_keys", _same_sql("insert_links"))
+def q_insert_links_held_keys(spark, d):
+    """M3 against held pairs."""
+    held, inc = _links_split(spark, d)
+    return _with_held_keys(held, ["author_id", "paper_id"], lambda known: _inserted_links(held, inc, known))
+
+
+@register("upsert_authors_held_keys", _same_sql("upsert_authors"))
+def q_upsert_authors_held_keys(spark, d):
+    """M4 against held usernames."""
+    held, listed, profiles = _authors_split(spark, d)
+    return _with_held_keys(held, ["username"], lambda known: _upserted_authors(held, listed, profiles, known))
