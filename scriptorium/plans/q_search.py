@@ -8,7 +8,7 @@ from ..operators import search as S
 from ..session import write_once
 from ..sources import tables as tb
 from .registry import register
-from .search_sql import BASE_CTES, search_sql
+from .search_sql import BASE_CTES, search_sql, stemmed_ctes, stemmed_search_sql
 
 # Fixed query parameters of the registered search keys.
 Q_PAGE = S.but_not(S.any_of(S.phrase("of the"), S.prefix("ndt"), "estion"), "de")
@@ -145,6 +145,35 @@ def q_search_papers(spark, d):
     return page
 
 
+# ------------------------------------------ folded and stemmed, as the archive's index ---
+Q_STEMMED = S.but_not(S.any_of(S.phrase("of the"), S.prefix("ndt"), "estions", "ciónes"), S.all_of("dés", "threading"))
+
+
+def stemmed_index(spark, d) -> S.SearchIndex:
+    """The index with diacritics folded and words stemmed, stored once."""
+    return _stored(spark, d, "stemmed-index", lambda path: S.write_index(
+        S.build_postings(search_docs(spark, d), fold=True, stem=True), path))
+
+
+@register("stem_vocabulary", "WITH " + ",\n".join(stemmed_ctes()) + "\nSELECT w AS term, CAST(count(*) AS BIGINT) AS cf, "
+          "CAST(count(DISTINCT paper_id) AS BIGINT) AS df FROM raw_tok JOIN voc USING (term) GROUP BY w")
+def q_stem_vocabulary(spark, d):
+    """The dictionary of the stemmed index: every stem with its occurrences and papers."""
+    return stemmed_index(spark, d).terms.select("term", "cf", "df")
+
+
+@register("search_page_stemmed", stemmed_search_sql(
+    Q_STEMMED, f"SELECT paper_id, round(rank, {RANK_DIGITS}) AS rank FROM ranked "
+    f"ORDER BY round(rank, {RANK_DIGITS}), paper_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}"))
+def q_search_page_stemmed(spark, d):
+    return S.search_page(stemmed_index(spark, d), Q_STEMMED, PAGE_LIMIT, PAGE_OFFSET, RANK_DIGITS)
+
+
+@register("bm25_rank_stemmed", stemmed_search_sql(Q_STEMMED, f"SELECT paper_id, round(rank, {RANK_DIGITS}) AS rank FROM ranked"))
+def q_bm25_rank_stemmed(spark, d):
+    return S.bm25_rank(stemmed_index(spark, d), Q_STEMMED).select("paper_id", F.round("rank", RANK_DIGITS).alias("rank"))
+
+
 @register("snippet", note="rows-only: FTS-style fragment choice; unit-tested on fixtures")
 def q_snippet(spark, d):
     page, _ = S.search_papers(built_index(spark, d), Q_PAGE, "all", PAGE_LIMIT, PAGE_OFFSET,

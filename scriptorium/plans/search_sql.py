@@ -8,9 +8,10 @@ with left joins - deliberately a different plan from the Spark operator
 from __future__ import annotations
 
 from ..operators.search import (BM25_B, BM25_K1, FIELDS, IDF_FLOOR, And, Near, Not, Or,
-                                Phrase, _leaves)
+                                Phrase, _leaves, normalize_query)
 from ..sources.tables import (AUTHOR_LINKS_SQL, AUTHORS_SQL, DOCS_SQL, KEYWORD_LINKS_SQL,
                               KEYWORDS_SQL)
+from .stem_sql import stem_ctes
 
 TOKENS_SQL = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -113,3 +114,15 @@ def bm25_cte(q, k1=BM25_K1, b=BM25_B) -> str:
 def search_sql(q, select: str, with_rank: bool = True) -> str:
     ctes = BASE_CTES + [match_ctes(q)] + ([bm25_cte(q)] if with_rank else [])
     return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+def stemmed_ctes() -> list[str]:
+    """The base CTEs with folded and stemmed terms in ``tok``."""
+    raw = TOK_SQL.replace("tok AS (", "raw_tok AS (", 1)
+    tok = "tok AS (SELECT r.paper_id, r.field, v.w AS term, r.pos FROM raw_tok r JOIN voc v ON v.term = r.term)"
+    return [*BASE_CTES[:-1], raw, stem_ctes("raw_tok", "voc"), tok]
+
+
+def stemmed_search_sql(q, select: str) -> str:
+    q = normalize_query(q, True, True)
+    return "WITH " + ",\n".join([*stemmed_ctes(), match_ctes(q), bm25_cte(q)]) + "\n" + select
