@@ -34,6 +34,7 @@ DECISION_SCHEMA = "crawl string, page long, process boolean"
 STATE_SCHEMA = "next long, first_idle long, starts array<long>, ends array<long>"
 NO_IDLE = np.iinfo(np.int64).max
 EMIT_ROWS = 65_536
+FILES_PER_BATCH = 256       # a micro-batch opens every state partition, so it should hold many files
 
 
 def merge_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +106,10 @@ def page_decisions(pages: DataFrame, first_page: int = 0) -> DataFrame:
 
 
 def stream_cutoff(spark: SparkSession, drops_dir: str, out_dir: str, checkpoint: str,
-                  first_page: int = 0, files_per_batch: int = 1) -> None:
+                  first_page: int = 0, files_per_batch: int = FILES_PER_BATCH) -> None:
     """Decide the pages of every crawl as their files arrive (``availableNow``); decisions are appended to
-    ``out_dir`` by the exactly-once file sink.  ``drops_dir`` holds Parquet files of ``PAGE_SCHEMA``."""
+    ``out_dir`` by the exactly-once file sink.  ``drops_dir`` holds Parquet files of ``PAGE_SCHEMA``;
+    ``files_per_batch`` bounds a micro-batch, of which a task holds a crawl's page numbers."""
     pages = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").parquet(drops_dir))
     q = (page_decisions(pages, first_page).writeStream.outputMode("append").format("parquet").option("path", out_dir)

@@ -54,7 +54,7 @@ def test_stream_equals_batch_over_files_and_restarts(spark, tmp_root):
     for i, rows in enumerate(files):
         spark.createDataFrame(rows, SC.PAGE_SCHEMA).coalesce(1).write.parquet(f"{drops}/f={i}")
         if i in (1, 3, 5):                                       # two files, then a restart
-            SC.stream_cutoff(spark, drops, out, ckpt)
+            SC.stream_cutoff(spark, drops, out, ckpt, files_per_batch=1)
             seen.append(spark.read.parquet(out).count())
     assert seen[0] < seen[1] <= seen[2]
     got = {(r.crawl, r.page): r.process for r in spark.read.schema(SC.DECISION_SCHEMA).parquet(out).collect()}
