@@ -327,6 +327,21 @@ def term_dictionary(postings: DataFrame) -> DataFrame:
                                    F.array(*[F.sum(f"f{i}") for i in range(len(FIELDS))]).alias("field_df"))
 
 
+def vocabulary(docs: DataFrame, fold: bool = False, stem: bool = False) -> DataFrame:
+    """(term, df, cf) straight from the documents, one row per paper, without postings.
+
+    A paper gives each of its tokens as an occurrence and each distinct one as a paper; both are counted in
+    one grouping by term, so what is shuffled is a row per term and task."""
+    toks = F.flatten(F.array(*[token_array(F.col(f), fold, stem) for f in FIELDS]))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    as_cf = lambda t: F.struct(t.alias("term"), none.alias("df"), one.alias("cf"))
+    as_df = lambda t: F.struct(t.alias("term"), one.alias("df"), none.alias("cf"))
+    # the token arrays are a column of their own before they are used twice
+    rows = docs.select(F.explode(F.array(toks)).alias("toks")).select(F.inline(F.concat(
+        F.transform("toks", as_cf), F.transform(F.array_distinct("toks"), as_df))))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def lookup_terms(index: SearchIndex, tokens) -> dict:
     """Dictionary rows of the query's own tokens; a token that is missing here is in no paper."""
     rows = index.terms.filter(F.col("term").isin(sorted(set(tokens)))).select("term", "df", "cf", "field_df").collect()

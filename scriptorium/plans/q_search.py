@@ -158,8 +158,8 @@ def stemmed_index(spark, d) -> S.SearchIndex:
 @register("stem_vocabulary", "WITH " + ",\n".join(stemmed_ctes()) + "\nSELECT w AS term, CAST(count(*) AS BIGINT) AS cf, "
           "CAST(count(DISTINCT paper_id) AS BIGINT) AS df FROM raw_tok JOIN voc USING (term) GROUP BY w")
 def q_stem_vocabulary(spark, d):
-    """The dictionary of the stemmed index: every stem with its occurrences and papers."""
-    return stemmed_index(spark, d).terms.select("term", "cf", "df")
+    """Every stem with its occurrences and papers, as in the dictionary of the stemmed index."""
+    return S.vocabulary(search_docs(spark, d), fold=True, stem=True).select("term", "cf", "df")
 
 
 @register("search_page_stemmed", stemmed_search_sql(
