@@ -126,7 +126,7 @@ def letter_counts(points: np.ndarray) -> np.ndarray:
     return counts.astype(np.float32 if points.shape[1] ** 2 < EXACT32 else np.float64)
 
 
-def near_pairs(a: list[str], b: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(a: list[str], b: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the words of two lists that are one edit apart; the words of a list have one length, b's is the same
     or one more.  Without b: the pairs i < j within a."""
     n = len(a[0])
