@@ -218,10 +218,12 @@ def old_relations(spark, d) -> tuple:
 def _old_new_state(spark, d):
     from ..sources.tables import table
     docs_all, au_old, kw_old, al_old, kl_old = old_relations(spark, d)
+    # the links of both states meet one another and the documents many times: each is worked out once
+    al_old, kl_old = write_once(al_old, "old-author-links"), write_once(kl_old, "old-keyword-links")
     deleted = (table(spark, d, "documents").filter(F.expr(DELETED_SQL))
                .select(F.col("doc_id").alias("paper_id")))
-    kl_new = tb.keyword_links(spark, d)
-    al_new = tb.author_links(spark, d)
+    kl_new = write_once(tb.keyword_links(spark, d), "new-keyword-links")
+    al_new = write_once(tb.author_links(spark, d), "new-author-links")
     kw_new = kw_old.withColumn("keyword", F.when(F.col("keyword") == RENAMED_KEYWORD,
                                                  F.lit(NEW_KEYWORD_TEXT)).otherwise(F.col("keyword")))
     au_new = au_old.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR,

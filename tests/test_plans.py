@@ -38,3 +38,11 @@ def test_no_cartesian_in_join_queries(spark):
 def test_lookup_pushes_filter_to_scan(spark):
     txt = plan(E.queries()["author_by_username"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(s_name), EqualTo(s_name,Supplier#000000007)]" in txt
+
+
+def test_links_of_both_states_are_worked_out_once(spark):
+    from scriptorium.operators import search
+    from scriptorium.plans.q_search import _old_new_state
+    _, changes, (_, _, _, al, kl) = _old_new_state(spark, "/root/testdata/sf0.001")
+    plan = search.affected_papers(changes, kl, al)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
