@@ -155,3 +155,15 @@ def test_run_log_has_timing(spark, tmp_root):
                    f"{tmp_root}/ckpt", QJ.held_state(spark, d), None, NOW)
     r = ST.sync_runs(spark, f"{tmp_root}/tables").first()
     assert r.finished_at >= r.started_at and r.duration_ms >= 0 and r.success
+
+
+def test_a_drop_of_several_files_is_one_run(spark, tmp_root, monkeypatch):
+    """The sync stream makes a run per drop, however many files the drop was written in."""
+    pages = H.render_listing_pages(spark, SF_SMALL)
+    monkeypatch.setattr(QJ.H, "render_listing_pages", lambda *a: pages.repartition(3, "page_id"))
+    whole = QJ.write_once
+    monkeypatch.setattr(QJ, "write_once", lambda df, name="rows": whole(df, name).repartition(3, "page_id") if name == "listing-pages" else whole(df, name))
+    QJ._stream(spark, SF_SMALL, tmp_root)
+    assert spark.read.parquet(f"{tmp_root}/drops").filter("drop = 1").select(F.input_file_name()).distinct().count() > 1
+    runs = sorted((r.batch_id, r.pages, r.papers_seen) for r in ST.sync_runs(spark, f"{tmp_root}/tables").collect())
+    assert len(runs) == 2 and runs[0] == (0, 1, 30) and runs[1][1] > 1
