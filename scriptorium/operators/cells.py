@@ -35,6 +35,7 @@ ROUNDS = 12
 PROBES = 16
 QUERY_BYTES = 64 * 1024 * 1024      # query vectors held by a task
 ROWS_AT_ONCE = 4096
+PAIRS_AT_ONCE = 1_000_000           # (query, row) scores that a task has at once
 ZERO_CELL = -1
 
 
@@ -119,28 +120,45 @@ def _best(qids, units, probed, k: int, digits):
     """The k best rows per query among the rows of a task, by the cells that each query probes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
+        floor = np.full(len(qids), -np.inf)         # the k-th score so far: what is below cannot be among the best
         for rb in batches:
             for at in range(0, rb.num_rows, ROWS_AT_ONCE):
                 part = rb.slice(at, ROWS_AT_ONCE)
                 ids, m, cell = part.column(0), _unit(_matrix(part.column(1))), part.column(2).to_numpy()
                 for c in np.unique(cell):
-                    q = probed.get(int(c))
-                    if q is None:
+                    if int(c) not in probed:
                         continue
-                    rows = np.flatnonzero(cell == c)
-                    score = (units[q] @ m[rows].T)
-                    score = np.round(score, digits) if digits is not None else score
-                    new = (np.repeat(q, len(rows)), ids.take(pa.array(np.tile(rows, len(q)))), score.reshape(-1))
-                    held = new if held is None else (np.concatenate((held[0], new[0])), pa.concat_arrays([held[1], new[1]]),
-                                                     np.concatenate((held[2], new[2])))
-                    if len(held[0]) > 4 * k * max(1, len(qids)):
-                        held = _cut(held, k)
+                    rows, asked = np.flatnonzero(cell == c), probed[int(c)]
+                    size = max(1, PAIRS_AT_ONCE // len(rows))
+                    for some in range(0, len(asked), size):
+                        q = asked[some:some + size]
+                        score = units[q] @ m[rows].T
+                        score = np.round(score, digits) if digits is not None else score
+                        at_q, at_row = np.nonzero(~(score < _bound(score, floor[q], k)[:, None]))
+                        new = (q[at_q], ids.take(pa.array(rows[at_row])), score[at_q, at_row])
+                        held = new if held is None else (np.concatenate((held[0], new[0])), pa.concat_arrays([held[1], new[1]]),
+                                                         np.concatenate((held[2], new[2])))
+                        if len(held[0]) > 4 * k * max(1, len(qids)):
+                            held = _cut(held, k)
+                            whole = np.flatnonzero(np.bincount(held[0], minlength=len(qids)) >= k)
+                            worst = np.full(len(qids), np.inf)
+                            np.minimum.at(worst, held[0], np.where(np.isnan(held[2]), -np.inf, held[2]))
+                            floor[whole] = worst[whole]
         if held is not None:
             q, ids, score = _cut(held, k)
             yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(q)), ids, pa.array(score)], names=["qid", "id", "score"])
     return run
 
 
+def _bound(score: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+    """Per query (row of ``score``): no less than its k-th score here or so far; scores that aren't numbers are the worst."""
+    n = score.shape[1]
+    if n <= k:
+        return floor
+    known = np.where(np.isnan(score), -np.inf, score)
+    return np.maximum(floor, np.partition(known, n - k, axis=1)[:, n - k])
+
+
 def _cut(held: tuple, k: int) -> tuple:
     """k rows per query: highest score first, then smallest id."""
     q, ids, score = held

@@ -127,3 +127,26 @@ def test_cells_of_odd_tables(spark, tmp_root):
     assert found(VC.search_cells(one, q, 3)) == {1: [(9, 1.0), (7, 0.0)]}
     assert VC.search_cells(one, q.limit(0), 3).count() == 0
     assert math.isclose(float(one.reach[0]), 1.0)
+
+
+def test_cells_hold_bounded_scores():
+    """A task keeps the best rows of each query, never all pairs of its queries and rows; ties and NaN as in a full sort."""
+    import tracemalloc
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    n, q, d, k = 4096, 1500, 8, 5
+    vecs = np.round(rng.normal(size=(n, d)), 1)
+    vecs[:300] = vecs[0]
+    units = VC._unit(np.round(rng.normal(size=(q, d)), 1))
+    ids = rng.permutation(n)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(vecs.tolist()), pa.array(np.zeros(n, np.int32))], names=["id", "vec", "cell"])
+    run = VC._best(list(range(q)), units, {0: np.arange(q)}, k, 3)
+    tracemalloc.start()
+    (out,) = run(iter([batch.slice(0, 1000), batch.slice(1000)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    score = np.round(units @ VC._unit(vecs).T, 3)
+    want = {(i, ids[j], score[i, j]) for i in range(q) for j in np.lexsort((ids, -score[i]))[:k]}
+    assert {(r["qid"], r["id"], r["score"]) for r in out.to_pylist()} == want
+    assert VC._bound(np.array([[np.nan, 3.0, 1.0, 2.0]]), np.array([-np.inf]), 2).tolist() == [2.0]
