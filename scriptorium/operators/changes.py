@@ -48,6 +48,8 @@ def table_changes(old: DataFrame, new: DataFrame, key: list[str], watched: list[
     """(change, *key, old, new) of every key whose rows differ in the ``watched`` columns (default: all)."""
     columns = sorted(watched or old.columns)
     both = _side(old, key, columns, -1).unionByName(_side(new, key, columns, 1))
+    # dealt by key before they are grouped: grouping whole files first would hold every (distinct) key of a file
+    both = both.repartition(*key)
     had, has = F.count_if(F.col("side") < 0), F.count_if(F.col("side") > 0)
     kind = F.when(had == 0, "insert").when(has == 0, "delete").otherwise("update")
     found = both.groupBy(*key).agg(kind.alias("change"), F.sum("h1").alias("d1"), F.sum("h2").alias("d2"), (had == has).alias("even"))
