@@ -51,23 +51,27 @@ HOT_GROUP_ROWS = 1_000_000      # groups above this many rows are split across t
 
 
 def group_positions(df: DataFrame, group: str, order_cols: list[str], name: str = "pos",
-                    hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_GROUP_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """1-based position of each row inside its group, in ``order_cols`` order
     (``group`` + ``order_cols`` must be unique) - skew-safe.
 
-    Groups are split by size first (a partial-aggregated count per group):
-    ordinary groups (at most ``hot_rows`` rows) take one plain window, whose
-    task never holds more than ``hot_rows`` rows of a group; hot groups - at
-    most rows / ``hot_rows`` of them, so their key set is broadcast with a
-    proven bound - take :func:`_spread_positions`.
+    Groups are split by size first (a partial-aggregated count per group,
+    done once): ordinary groups (at most ``hot_rows`` rows) take one plain
+    window, whose task never holds more than ``hot_rows`` rows of a group; hot
+    groups - at most rows / ``hot_rows`` of them, so their key set is
+    broadcast with a proven bound - take :func:`_spread_positions`.  Both give
+    the same positions.  ``counted``: rows to count instead, at least as many
+    of each group, where ``df`` is dear to work out.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_gn"))
-    hot = sizes.filter(F.col("_gn") > hot_rows).select(group, F.lit(True).alias("_hot"))
+    sizes = (df if counted is None else counted).groupBy(group).agg(F.count("*").alias("_gn"))
+    hot = write_once(sizes.filter(F.col("_gn") > hot_rows).select(group, F.lit(True).alias("_hot")), "hot-groups")
+    w = Window.partitionBy(group).orderBy(*order_cols)
+    position = F.row_number().over(w).cast("int")
+    if hot.isEmpty():
+        return df.select(group, *[c for c in df.columns if c != group]).withColumn(name, position)
     tagged = df.join(F.broadcast(hot), group, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn(name, position)
     warm = tagged.filter(F.col("_hot")).drop("_hot")
-    w = Window.partitionBy(group).orderBy(*order_cols)
-    cold = cold.withColumn(name, F.row_number().over(w).cast("int"))
     return cold.unionByName(_spread_positions(warm, group, order_cols, name))
 
 
@@ -362,11 +366,12 @@ def legacy_run_stats(outcomes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- windows (W1-W3) ---
-def author_positions(raw_links: DataFrame, order_cols=("first_line",)) -> DataFrame:
+def author_positions(raw_links: DataFrame, order_cols=("first_line",), lines: DataFrame | None = None) -> DataFrame:
     """1-based author position within a paper after deduplicating the
     link key (keeps the first line of each (paper, author)).  Skew-safe:
-    see :func:`group_positions`."""
-    return group_positions(raw_links, "paper_id", [*order_cols, "author_id"], "author_position")
+    see :func:`group_positions`; ``lines``: the rows with repeats, if at
+    hand, which are counted more cheaply."""
+    return group_positions(raw_links, "paper_id", [*order_cols, "author_id"], "author_position", counted=lines)
 
 
 def listing_pages(listing: DataFrame, order_by: list, first: int = 30,

@@ -38,12 +38,13 @@ def esc(c: Column) -> Column:
 
 
 def _author_cells(spark, d) -> DataFrame:
-    """paper_id (long) -> listing author cell html, ordered by position."""
-    a = tb.author_links(spark, d).join(tb.authors(spark, d), "author_id")
+    """paper_id (long) -> listing author cell html, ordered by position.
+    An author's link is made once, not for each of their papers."""
     link = F.concat(F.lit('<a href="/_person/'), esc(F.col("username")), F.lit('">'),
                     esc(F.col("last_name")), F.lit(", "), esc(F.col("first_name")), F.lit("</a>"))
+    a = tb.author_links(spark, d).join(tb.authors(spark, d).select("author_id", link.alias("h")), "author_id")
     return a.groupBy("paper_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("author_position", link.alias("h")))),
+        F.array_sort(F.collect_list(F.struct("author_position", "h"))),
         lambda s: s["h"]), ",\n").alias("author_cell"))
 
 
@@ -69,8 +70,10 @@ def render_listing_pages(spark, d, order_by=None) -> DataFrame:
                   esc(F.col("status")), F.lit("</td><td>"), file_cell,
                   F.lit(f'</td><td><a href="{T.PAPER_PATH}'), pid, F.lit('">'), esc(F.col("title")),
                   F.lit("</a></td></tr>\n"))
+    # rows are dealt by page before they are grouped: lists made on the way there would be sorted and copied for nothing
+    rows = rows.select("page", "listing_pos", tr.alias("h")).repartition("page")
     pages = rows.groupBy("page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_pos", tr.alias("h")))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_pos", "h"))),
                                  lambda s: s["h"]), "").alias("body_rows"),
         F.count("*").alias("n_rows"))
     html = F.concat(

@@ -141,11 +141,10 @@ def author_links(spark, d) -> DataFrame:
     a paper in line order (W1).
     """
     from ..operators.relations import author_positions
-    li = table(spark, d, "lineitem")
-    first = li.groupBy(F.col("l_orderkey").alias("paper_id"),
-                       F.col("l_suppkey").alias("author_id")).agg(
-        F.min("l_linenumber").alias("first_line"))
-    return author_positions(first).select("author_id", "paper_id", "author_position")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"),
+                                            F.col("l_suppkey").alias("author_id"), "l_linenumber")
+    first = li.groupBy("paper_id", "author_id").agg(F.min("l_linenumber").alias("first_line"))
+    return author_positions(first, lines=li).select("author_id", "paper_id", "author_position")
 
 
 AUTHOR_LINKS_SQL = """author_links AS (

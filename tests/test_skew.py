@@ -58,6 +58,26 @@ def test_group_positions_hot_group_matches_window(spark):
     assert got == want
 
 
+def test_group_positions_without_hot_groups_take_one_window(spark):
+    df = spark.createDataFrame([(i % 7 or None, i) for i in range(100)], "g long, o long")
+    got = R.group_positions(df, "g", ["o"], "pos")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and plan.count("Window") == 1
+    assert sorted(r.pos for r in got.filter("g IS NULL").collect()) == list(range(1, 16))
+    # counting a frame of more rows may only change how the positions are found
+    many = R.group_positions(df, "g", ["o"], "pos", hot_rows=20, counted=df.unionByName(df))
+    assert got.columns == many.columns == ["g", "o", "pos"]
+    assert sorted(map(str, many.collect())) == sorted(map(str, got.collect()))
+
+
+def test_listing_rows_are_listed_where_their_page_is(spark):
+    from scriptorium.sources import html as H
+    plan = H.render_listing_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    top = plan[:plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("Join")]
+    assert top.count("RepartitionByExpression") + top.count("Exchange hashpartitioning(page") == 1
+    assert top.index("collect_list") < top.index("Exchange hashpartitioning(page")
+
+
 def test_numbers_are_dense_and_distinct_at_size(spark, tmp_root):
     n = 2_000_000
     payload = F.concat(F.lit("payload "), F.sha2(F.col("id").cast("string"), 256))
