@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_once
+from ..session import write_once, write_parquet
 from .search import ChangeSet
 
 #: The key of each archive relation.
@@ -39,9 +39,15 @@ class ChangeFeed:
 
 
 def _side(df: DataFrame, key: list[str], columns: list[str], sign: int) -> DataFrame:
-    def h(salt: int) -> Column:     # summed as decimals, so rows of one key neither cancel nor overflow
-        return (F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)") * sign)
-    return df.select(*key, h(1).alias("h1"), h(2).alias("h2"), F.lit(sign).alias("side"))
+    def h(salt: int) -> Column:
+        return F.xxhash64(F.lit(salt), *columns)
+    return df.select(*key, h(1).alias("h1"), h(2).alias("h2"), F.lit(sign).cast("tinyint").alias("side"))
+
+
+def _balance(h: str) -> Column:
+    """The hashes of the new rows less those of the old: as decimals, so rows of one key neither cancel nor overflow."""
+    x = F.col(h).cast("decimal(38,0)")
+    return F.sum(F.when(F.col("side") < 0, -x).otherwise(x))
 
 
 def table_changes(old: DataFrame, new: DataFrame, key: list[str], watched: list[str] | None = None) -> DataFrame:
@@ -52,7 +58,7 @@ def table_changes(old: DataFrame, new: DataFrame, key: list[str], watched: list[
     both = both.repartition(*key)
     had, has = F.count_if(F.col("side") < 0), F.count_if(F.col("side") > 0)
     kind = F.when(had == 0, "insert").when(has == 0, "delete").otherwise("update")
-    found = both.groupBy(*key).agg(kind.alias("change"), F.sum("h1").alias("d1"), F.sum("h2").alias("d2"), (had == has).alias("even"))
+    found = both.groupBy(*key).agg(kind.alias("change"), _balance("h1").alias("d1"), _balance("h2").alias("d2"), (had == has).alias("even"))
     found = write_once(found.filter("d1 <> 0 or d2 <> 0 or not even").select(*key, "change"), "changed-keys")
 
     def images(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +90,7 @@ def write_feed(feed: ChangeFeed, path: str) -> ChangeFeed:
     """Store a feed (in a shared folder) and read it back."""
     spark = feed.papers.sparkSession
     for t in KEYS:
-        getattr(feed, t).write.parquet(f"{path}/{t}")
+        write_parquet(getattr(feed, t), f"{path}/{t}")
     return read_feed(spark, path)
 
 

@@ -215,20 +215,29 @@ def old_relations(spark, d) -> tuple:
     return tb.docs(spark, d), tb.authors(spark, d), keywords, al, kl
 
 
-def _old_new_state(spark, d):
+def _both_states(spark, d) -> tuple[tuple, tuple]:
+    """The relations of the old and of the new state.  The links of both meet one another and the documents many times:
+    each is worked out once."""
     from ..sources.tables import table
     docs_all, au_old, kw_old, al_old, kl_old = old_relations(spark, d)
-    # the links of both states meet one another and the documents many times: each is worked out once
     al_old, kl_old = write_once(al_old, "old-author-links"), write_once(kl_old, "old-keyword-links")
-    deleted = (table(spark, d, "documents").filter(F.expr(DELETED_SQL))
-               .select(F.col("doc_id").alias("paper_id")))
     kl_new = write_once(tb.keyword_links(spark, d), "new-keyword-links")
     al_new = write_once(tb.author_links(spark, d), "new-author-links")
     kw_new = kw_old.withColumn("keyword", F.when(F.col("keyword") == RENAMED_KEYWORD,
                                                  F.lit(NEW_KEYWORD_TEXT)).otherwise(F.col("keyword")))
     au_new = au_old.withColumn("first_name", F.when(F.col("author_id") == RENAMED_AUTHOR,
                                                     F.lit(NEW_FIRST_NAME)).otherwise(F.col("first_name")))
+    deleted = table(spark, d, "documents").filter(F.expr(DELETED_SQL)).select(F.col("doc_id").alias("paper_id"))
     papers_new = docs_all.join(deleted, "paper_id", "left_anti")
+    return (docs_all, au_old, kw_old, al_old, kl_old), (papers_new, au_new, kw_new, al_new, kl_new)
+
+
+def _old_new_state(spark, d):
+    from ..sources.tables import table
+    (docs_all, au_old, kw_old, al_old, kl_old), new_rel = _both_states(spark, d)
+    al_new, kl_new = new_rel[3:]
+    deleted = (table(spark, d, "documents").filter(F.expr(DELETED_SQL))
+               .select(F.col("doc_id").alias("paper_id")))
     old = stored_docs(spark, d, "before", lambda: S.build_search_docs(docs_all, au_old, kw_old, al_old, kl_old))
     changes = S.ChangeSet(
         papers_upserted=table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("paper_id")),
@@ -240,7 +249,6 @@ def _old_new_state(spark, d):
             .select(F.col("paper_id"))),
         keywords_renamed=kw_old.filter(F.col("keyword") == RENAMED_KEYWORD).select("keyword_id"),
         authors_renamed=au_old.filter(F.col("author_id") == RENAMED_AUTHOR).select("author_id"))
-    new_rel = (papers_new, au_new, kw_new, al_new, kl_new)
     return old, changes, new_rel
 
 

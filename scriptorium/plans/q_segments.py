@@ -8,7 +8,7 @@ from ..operators import changes as C
 from ..operators import search as S
 from ..operators import segments as G
 from ..session import write_once
-from .q_search import PAGE_LIMIT, PAGE_OFFSET, RANK_DIGITS, _new_state_sql, _old_new_state, _stored, _w, built_index
+from .q_search import PAGE_LIMIT, PAGE_OFFSET, RANK_DIGITS, _both_states, _new_state_sql, _old_new_state, _stored, _w, built_index, stored_docs
 from .registry import register
 from .search_sql import bm25_cte, match_ctes, search_sql
 
@@ -131,14 +131,13 @@ def q_top_k_not(spark, d):
 # ----------------------------------------------------------- change feed ---
 def _versions(spark, d) -> tuple[dict, dict]:
     """Two versions of the archive relations: links added, papers deleted, a keyword and an author renamed."""
-    from .q_search import old_relations
     names = ("papers", "authors", "keywords", "author_links", "keyword_links")
-    _, _, new = _old_new_state(spark, d)
-    return dict(zip(names, old_relations(spark, d))), dict(zip(names, new))
+    old, new = _both_states(spark, d)
+    return dict(zip(names, old)), dict(zip(names, new))
 
 
-def _feed(spark, d) -> C.ChangeFeed:
-    return _stored(spark, d, "change-feed", lambda path: C.write_feed(C.change_feed(*_versions(spark, d)), path))
+def _feed(spark, d, old: dict, new: dict) -> C.ChangeFeed:
+    return _stored(spark, d, "change-feed", lambda path: C.write_feed(C.change_feed(old, new), path))
 
 
 def _feed_sql() -> str:
@@ -172,8 +171,7 @@ def q_change_feed(spark, d):
 @register("feed_refresh", _new_state_sql("SELECT * FROM sd"))
 def q_feed_refresh(spark, d):
     """X9 from a stored feed: the search documents of the new state."""
-    from .q_search import stored_docs, old_relations
-    _, new = _versions(spark, d)
-    held = stored_docs(spark, d, "before", lambda: S.build_search_docs(*old_relations(spark, d)))
-    return S.refresh_search_docs(held, C.change_set(_feed(spark, d)), *new.values())
+    old, new = _versions(spark, d)
+    held = stored_docs(spark, d, "before", lambda: S.build_search_docs(*old.values()))
+    return S.refresh_search_docs(held, C.change_set(_feed(spark, d, old, new)), *new.values())
 

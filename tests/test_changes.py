@@ -150,3 +150,37 @@ def test_cells_hold_bounded_scores():
     want = {(i, ids[j], score[i, j]) for i in range(q) for j in np.lexsort((ids, -score[i]))[:k]}
     assert {(r["qid"], r["id"], r["score"]) for r in out.to_pylist()} == want
     assert VC._bound(np.array([[np.nan, 3.0, 1.0, 2.0]]), np.array([-np.inf]), 2).tolist() == [2.0]
+
+
+def test_feed_refresh_works_out_both_states_once(spark, tmp_root, monkeypatch):
+    from scriptorium.operators import search as S
+    from scriptorium.plans import q_segments as QG
+
+    def state(titles, author, links):
+        return (spark.createDataFrame([(i, str(i), t, None) for i, t in titles.items()], "paper_id long, archive_id string, paper_title string, abstract string"),
+                spark.createDataFrame([(7, author, "B", "u", None, None)], "author_id long, first_name string, last_name string, username string, email string, affiliation string"),
+                spark.createDataFrame([(1, "red")], "keyword_id long, keyword string"),
+                spark.createDataFrame([(7, p, 1) for p in links], "author_id long, paper_id long, author_position int"),
+                spark.createDataFrame([(1, p) for p in links], "keyword_id long, paper_id long"))
+    calls = []
+
+    def both(sp, d):
+        calls.append(d)
+        return state({1: "one", 2: "two", 3: "gone"}, "A", [1, 3]), state({1: "one", 2: "two"}, "Z", [1, 2])
+    monkeypatch.setattr(QG, "_both_states", both)
+    monkeypatch.setattr(QG, "_stored", lambda sp, d, tag, make: make(f"{tmp_root}/{tag}"))
+    monkeypatch.setattr(QG, "stored_docs", lambda sp, d, tag, build: build())
+    rows = {tuple(r) for r in QG.q_feed_refresh(spark, "nowhere").collect()}
+    assert len(calls) == 1
+    assert rows == {tuple(r) for r in S.build_search_docs(*both(spark, "")[1]).collect()}
+    assert rows == {(1, "1", "one", "", "red", "Z B"), (2, "2", "two", "", "red", "Z B")}
+
+
+def test_changed_keys_are_found_from_plain_hashes(spark):
+    """Rows go to their key's task as two longs, not as two decimals; rows that differ in one of many copies are still found."""
+    from scriptorium.operators import changes as C
+    old = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "id long, x string")
+    new = spark.createDataFrame([(1, "a"), (1, "A"), (2, "b"), (None, "d"), (3, "e")], "id long, x string")
+    assert dict(C._side(old, ["id"], ["x"], -1).dtypes)["h1"] == "bigint"
+    found = {(r.change, r.id) for r in C.table_changes(old, new, ["id"]).collect()}
+    assert found == {("update", 1), ("update", None), ("insert", 3)}
