@@ -167,3 +167,17 @@ def test_a_drop_of_several_files_is_one_run(spark, tmp_root, monkeypatch):
     assert spark.read.parquet(f"{tmp_root}/drops").filter("drop = 1").select(F.input_file_name()).distinct().count() > 1
     runs = sorted((r.batch_id, r.pages, r.papers_seen) for r in ST.sync_runs(spark, f"{tmp_root}/tables").collect())
     assert len(runs) == 2 and runs[0] == (0, 1, 30) and runs[1][1] > 1
+
+
+def test_a_run_reads_back_only_the_columns_it_needs(spark, tmp_root):
+    """What several branches of a run read is a written table, not a checkpoint that gives whole rows."""
+    listing = spark.createDataFrame([(0, "u", "<html><body>no rows</body></html>")], ST.CRAWL_SCHEMA)
+    for name, df in (("listing", listing), ("detail", spark.createDataFrame([], "page_id long, paper_id string, html string"))):
+        df.write.parquet(f"{tmp_root}/{name}")
+    for name, df in J.empty_state(spark).tables().items():
+        df.write.parquet(f"{tmp_root}/{name}")
+    state = J.ArchiveState(**{n: spark.read.parquet(f"{tmp_root}/{n}") for n in J.STATE_TABLES})
+    res = J.sync_batch(state, spark.read.parquet(f"{tmp_root}/listing"), spark.read.parquet(f"{tmp_root}/detail"), None, NOW)
+    plan = res.stats._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "listing-rows" in plan, plan
+    assert res.stats.first().asDict() == {"pages": 1, "seen": 0, "full_scrapes": 0, "version_updates": 0, "skipped": 0, "failed": 0}
